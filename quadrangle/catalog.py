@@ -3,8 +3,8 @@ whole-table form).  Each reads the whole campus tables."""
 
 from __future__ import annotations
 
-from .operators import grades
-from .oracle import grades_sql
+from .operators import grades, reports
+from .oracle import grades_sql, reports_sql
 from .registry import register
 
 
@@ -22,3 +22,57 @@ def _g2(c):
 @register("grade_general_average", grades_sql.GENERAL_AVERAGE)
 def _g3(c):
     return grades.general_average(c.notes, c.cours, c.etudiants)
+
+
+# -- overview reports (R1-R29) ---------------------------------------------------
+def _reg_total(name, table):
+    register(name, reports_sql.total(table))(lambda c: reports.total(c.table(table)))
+
+
+def _reg_count_by(name, table, col):
+    register(name, reports_sql.count_by(table, col))(
+        lambda c: reports.count_by(c.table(table), col))
+
+
+def _reg_per_dept(name, table):
+    register(name, reports_sql.per_department(table))(
+        lambda c: reports.children_per_parent(c.departements, c.table(table), "departement_id")
+        .select("nom", "count"))
+
+
+_reg_total("students_total", "etudiants")                                  # R1
+_reg_per_dept("students_by_department", "etudiants")                       # R2
+_reg_count_by("students_by_level", "etudiants", "niveau")                  # R3
+_reg_count_by("students_by_year", "etudiants", "annee_etude")              # R4
+_reg_total("professors_total", "professeurs")                              # R5
+_reg_per_dept("professors_by_department", "professeurs")                   # R6
+_reg_count_by("professors_by_grade", "professeurs", "grade")               # R7
+_reg_count_by("professors_by_specialty", "professeurs", "specialite")      # R8
+_reg_total("courses_total", "cours")                                       # R9
+_reg_per_dept("courses_by_department", "cours")                            # R10
+_reg_count_by("courses_by_semester", "cours", "semestre")                  # R11
+_reg_count_by("courses_by_academic_year", "cours", "annee_academique")     # R12
+register("grades_totals", reports_sql.GRADES_TOTALS)(                      # R13, R14
+    lambda c: reports.grades_totals(c.notes))
+register("grades_by_type", reports_sql.GRADES_BY_TYPE)(                    # R15
+    lambda c: reports.grades_by_type(c.notes))
+register("grade_bands", reports_sql.GRADE_BANDS)(                          # R16
+    lambda c: reports.grade_bands(c.notes))
+_reg_total("sessions_total", "emplois_temps")                              # R17
+_reg_count_by("sessions_by_day", "emplois_temps", "jour")                  # R18
+_reg_count_by("sessions_by_type", "emplois_temps", "type_seance")          # R19
+_reg_count_by("sessions_by_room", "emplois_temps", "salle")                # R20
+register("absences_totals", reports_sql.ABSENCES_TOTALS)(                  # R21-R23
+    lambda c: reports.absences_totals(c.absences))
+register("absences_by_month", reports_sql.ABSENCES_BY_MONTH)(              # R24
+    lambda c: reports.absences_by_month(c.absences))
+register("absences_top_courses", reports_sql.ABSENCES_BY_COURSE)(          # R25
+    lambda c: reports.absences_by_course(c.absences, c.cours))
+_reg_total("departments_total", "departements")                            # R26
+register("department_breakdown", reports_sql.DEPARTMENT_BREAKDOWN)(        # R27
+    lambda c: reports.department_breakdown(c.departements, c.etudiants, c.professeurs,
+                                           c.cours).drop("id"))
+register("accounting_summary", reports_sql.ACCOUNTING_SUMMARY)(            # R28
+    lambda c: reports.accounting_summary(c.bills, c.payments, c.expenses))
+register("staff_summary", reports_sql.STAFF_SUMMARY)(                      # R29
+    lambda c: reports.staff_summary(c.teaching_staff, c.admin_staff))

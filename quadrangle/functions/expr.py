@@ -43,7 +43,7 @@ def month_of(c) -> Column:
     Text input is parsed with the explicit format, so malformed text gives
     NULL rather than an error."""
     c = col(c)
-    return F.date_format(F.try_to_date(c.cast("string"), F.lit("yyyy-MM-dd")), "yyyy-MM")
+    return F.date_format(F.try_to_date(c.cast("string"), "yyyy-MM-dd"), "yyyy-MM")
 
 
 # Grade bands (lower bound, label), highest first.
