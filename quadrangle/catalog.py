@@ -3,8 +3,8 @@ whole-table form).  Each reads the whole campus tables."""
 
 from __future__ import annotations
 
-from .operators import grades, reports
-from .oracle import grades_sql, reports_sql
+from .operators import grades, listing, reports
+from .oracle import grades_sql, listing_sql, reports_sql
 from .registry import register
 
 
@@ -76,3 +76,104 @@ register("accounting_summary", reports_sql.ACCOUNTING_SUMMARY)(            # R28
     lambda c: reports.accounting_summary(c.bills, c.payments, c.expenses))
 register("staff_summary", reports_sql.STAFF_SUMMARY)(                      # R29
     lambda c: reports.staff_summary(c.teaching_staff, c.admin_staff))
+
+
+# -- listings (L1-L24, O5) ------------------------------------------------------------
+# Paged listings are registered as their first page (the page size is the
+# feature) and the pagination totals over the whole filtered table.
+S, Q = listing_sql, listing
+PS = listing.PAGE_SIZE
+
+
+def _reg_page(name, spark_fn, rows_sql, order_sql, base_sql, limit):
+    register(f"{name}_page", S.page(rows_sql, order_sql, limit))(
+        lambda c: spark_fn(c).rows)
+    register(f"{name}_pagination", S.pagination(base_sql, limit))(
+        lambda c: spark_fn(c).pagination)
+
+
+_reg_page("students", lambda c: Q.list_students(c.etudiants, c.departements),       # L1
+          S.STUDENTS, "e.nom NULLS FIRST, e.prenom NULLS FIRST, e.id",
+          "SELECT * FROM etudiants", PS["students"])
+_reg_page("students_search",                                                       # L1, F2
+          lambda c: Q.list_students(c.etudiants, c.departements, search="customer#0000001",
+                                    niveau="BUILDING"),
+          S.STUDENTS + " WHERE (e.nom ILIKE '%customer#0000001%' OR e.prenom ILIKE "
+          "'%customer#0000001%' OR e.matricule ILIKE '%customer#0000001%' OR e.email ILIKE "
+          "'%customer#0000001%') AND e.niveau = 'BUILDING'",
+          "e.nom NULLS FIRST, e.prenom NULLS FIRST, e.id",
+          "SELECT * FROM etudiants e WHERE (e.nom ILIKE '%customer#0000001%' OR e.prenom ILIKE "
+          "'%customer#0000001%' OR e.matricule ILIKE '%customer#0000001%' OR e.email ILIKE "
+          "'%customer#0000001%') AND e.niveau = 'BUILDING'", PS["students"])
+_reg_page("professors", lambda c: Q.list_professors(c.professeurs, c.departements),  # L2
+          S.PROFESSORS, "p.nom NULLS FIRST, p.prenom NULLS FIRST, p.id",
+          "SELECT * FROM professeurs", PS["professors"])
+_reg_page("courses", lambda c: Q.list_courses(c.cours, c.departements, c.professeurs),  # L3
+          S.COURSES, "c.nom NULLS FIRST, c.id", "SELECT * FROM cours", PS["courses"])
+_reg_page("grades", lambda c: Q.list_grades(c.notes, c.etudiants, c.cours),           # L4
+          S.GRADES, "n.date_evaluation DESC NULLS LAST, n.id", "SELECT * FROM notes",
+          PS["grades"])
+_reg_page("grades_by_type",                                                          # L4, F4
+          lambda c: Q.list_grades(c.notes, c.etudiants, c.cours, type_evaluation="A"),
+          S.GRADES + " WHERE n.type_evaluation = 'A'",
+          "n.date_evaluation DESC NULLS LAST, n.id",
+          "SELECT * FROM notes WHERE type_evaluation = 'A'", PS["grades"])
+_reg_page("timetable", lambda c: Q.list_timetable(c.emplois_temps, c.cours, c.professeurs),  # L5
+          S.TIMETABLE, "et.jour NULLS FIRST, et.heure_debut NULLS FIRST, et.id",
+          "SELECT * FROM emplois_temps", PS["timetable"])
+_reg_page("timetable_room_day",                                                      # L5, F3
+          lambda c: Q.list_timetable(c.emplois_temps, c.cours, c.professeurs, jour="Lundi",
+                                     salle="s1"),
+          S.TIMETABLE + " WHERE et.jour = 'Lundi' AND et.salle ILIKE '%s1%'",
+          "et.jour NULLS FIRST, et.heure_debut NULLS FIRST, et.id",
+          "SELECT * FROM emplois_temps WHERE jour = 'Lundi' AND salle ILIKE '%s1%'",
+          PS["timetable"])
+_reg_page("absences", lambda c: Q.list_absences(c.absences, c.etudiants, c.cours),      # L6
+          S.ABSENCES, "a.date_absence DESC NULLS LAST, a.id", "SELECT * FROM absences",
+          PS["absences"])
+_reg_page("absences_window",                                                         # L6, F5, F6
+          lambda c: Q.list_absences(c.absences, c.etudiants, c.cours, date_debut="1994-01-01",
+                                    date_fin="1995-06-30", justifiee="true"),
+          S.ABSENCES + " WHERE a.date_absence >= DATE '1994-01-01' AND a.date_absence <= "
+          "DATE '1995-06-30' AND a.justifiee = TRUE",
+          "a.date_absence DESC NULLS LAST, a.id",
+          "SELECT * FROM absences WHERE date_absence >= DATE '1994-01-01' AND date_absence <= "
+          "DATE '1995-06-30' AND justifiee = TRUE", PS["absences"])
+_reg_page("departments",                                                             # L8
+          lambda c: Q.list_departments(c.departements, c.etudiants, c.professeurs, c.cours),
+          S.DEPARTMENTS.format(where=""), "d.nom NULLS FIRST, d.id",
+          "SELECT * FROM departements", PS["departments"])
+_reg_page("departments_search",                                                      # L8, F2
+          lambda c: Q.list_departments(c.departements, c.etudiants, c.professeurs, c.cours,
+                                       search="me"),
+          S.DEPARTMENTS.format(where="AND (d.nom ILIKE '%me%' OR d.description ILIKE '%me%')"),
+          "d.nom NULLS FIRST, d.id",
+          "SELECT * FROM departements WHERE nom ILIKE '%me%' OR description ILIKE '%me%'",
+          PS["departments"])
+
+register("student_courses", S.STUDENT_COURSES)(                                     # L12
+    lambda c: Q.student_courses(c.cours, c.inscriptions, c.professeurs))
+register("student_grades", S.STUDENT_GRADES)(                                       # L13
+    lambda c: Q.student_grades(c.notes, c.cours))
+register("professor_courses", S.PROFESSOR_COURSES)(                                 # L14
+    lambda c: Q.professor_courses(c.cours.filter("professeur_id IS NOT NULL"), c.departements))
+register("course_roster", S.COURSE_ROSTER)(                                         # L15
+    lambda c: Q.course_roster(c.etudiants, c.inscriptions))
+register("timetable_by_day", S.TIMETABLE)(                                          # L16
+    lambda c: Q.timetable_of_day(c.emplois_temps, c.cours, c.professeurs))
+register("timetable_by_course", S.TIMETABLE)(                                       # L17
+    lambda c: Q.timetable_of_course(c.emplois_temps, c.cours, c.professeurs))
+register("bills_listing", S.BILLS)(                                                 # L18
+    lambda c: Q.bills_listing(c.bills, c.etudiants))
+register("payments_listing", S.PAYMENTS)(                                           # L19
+    lambda c: Q.payments_listing(c.payments, c.etudiants, c.bills))
+register("expenses_listing", S.EXPENSES)(                                           # L20
+    lambda c: Q.expenses_listing(c.expenses, c.departements))
+register("teaching_staff_listing", S.TEACHING_STAFF)(                               # L21
+    lambda c: Q.staff_listing(c.teaching_staff, c.departements))
+register("admin_staff_listing", S.ADMIN_STAFF)(                                     # L22
+    lambda c: Q.staff_listing(c.admin_staff, c.departements))
+register("departments_listing", S.DEPARTMENTS_PLAIN)(                               # L23
+    lambda c: Q.departments_plain(c.departements))
+register("scholarship_requests", S.SCHOLARSHIPS)(                                   # L24
+    lambda c: Q.scholarship_requests(c.demandes_bourse))

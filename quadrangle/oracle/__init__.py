@@ -11,15 +11,36 @@ from __future__ import annotations
 
 import re
 
+from ..sources.schemas import SCHEMAS
 from .fixture_sql import VIEW_SQL
 
+_DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+               "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+               "boolean": "BOOLEAN"}
+_VIEW_COLS = {
+    v: set(re.findall(r"\bAS\s+(\w+)\s*(?:,|\n|$)", sql)) | {"etudiant_id", "cours_id"}
+    for v, sql in VIEW_SQL.items()
+}
+
+
+def conformed_view(name: str) -> str:
+    """The fixture view with every column of the fixed schema: the columns the
+    view does not carry are typed NULLs (as the Spark loader does)."""
+    inner = VIEW_SQL[name].strip()
+    have = _VIEW_COLS[name]
+    cols = []
+    for f in SCHEMAS[name].fields:
+        t = _DUCK_TYPES[f.dataType.simpleString()]
+        cols.append(f"CAST({f.name if f.name in have else 'NULL'} AS {t}) AS {f.name}")
+    return f"SELECT {', '.join(cols)} FROM ({inner}) v"
+
 
 def with_views(body: str) -> str:
     """Prefix ``body`` with CTEs for every campus view it names."""
     used = [v for v in VIEW_SQL if re.search(rf"\b{v}\b", body)]
     if not used:
         return body.strip()
-    ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v].strip()})" for v in used)
+    ctes = ",\n".join(f"{v} AS ({conformed_view(v)})" for v in used)
     body = body.strip()
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
