@@ -3,8 +3,10 @@ whole-table form).  Each reads the whole campus tables."""
 
 from __future__ import annotations
 
-from .operators import grades, listing, reports
-from .oracle import grades_sql, listing_sql, reports_sql
+from pyspark.sql import functions as F
+
+from .operators import changes, grades, listing, quality, reports, schedule
+from .oracle import checks_sql, grades_sql, listing_sql, reports_sql
 from .registry import register
 
 
@@ -177,3 +179,85 @@ register("departments_listing", S.DEPARTMENTS_PLAIN)(
     lambda c: Q.departments_plain(c.departements))
 register("scholarship_requests", S.SCHOLARSHIPS)(                                   # L24
     lambda c: Q.scholarship_requests(c.demandes_bourse))
+
+
+# -- timetable conflicts (J9, F11, C1) and booking (W13) ---------------------------------
+register("session_conflicts", checks_sql.SESSION_CONFLICTS)(                        # C1
+    lambda c: schedule.session_conflicts(c.emplois_temps))
+
+
+def _exam_candidates(c):
+    return (c.emplois_temps.filter(F.col("type_seance") == "examen")
+            .select(F.col("id").alias("cand_id"), F.col("id").alias("emploi_id"),
+                    *schedule.CLASS))
+
+
+register("exam_conflicts", checks_sql.EXAM_CONFLICTS)(                              # C1, J9
+    lambda c: schedule.conflicts(_exam_candidates(c), c.emplois_temps, c.cours))
+
+
+def _book_exams(c):
+    sessions = c.emplois_temps
+    batch = sessions.filter(F.col("type_seance") == "examen").withColumn("seq", F.col("id"))
+    base = sessions.filter(F.col("type_seance") != "examen")
+    return schedule.book_sessions(base, batch, c.cours).select(
+        "seq", "cours_id", *schedule.CLASS, "accepted", "reason")
+
+
+register("book_exam_sessions")(_book_exams)                                         # W13
+
+
+# -- validation (V1-V11) -----------------------------------------------------------------
+def _errors(df, rules):
+    return quality.validate(df, quality.RULES[rules]).select(
+        "id", F.array_join("errors", ",").alias("errors"))
+
+
+register("grade_validation", checks_sql.GRADE_VALIDATION)(                          # V5
+    lambda c: _errors(c.notes, "grade"))
+register("timetable_validation", checks_sql.TIMETABLE_VALIDATION)(                  # V6
+    lambda c: _errors(c.emplois_temps, "timetable"))
+register("student_validation", checks_sql.STUDENT_VALIDATION)(                      # V1
+    lambda c: _errors(c.etudiants, "student"))
+register("course_validation", checks_sql.COURSE_VALIDATION)(                        # V3
+    lambda c: _errors(c.cours, "course"))
+register("absence_validation", checks_sql.ABSENCE_VALIDATION)(                      # V7
+    lambda c: _errors(c.absences, "absence"))
+register("scholarship_validation", checks_sql.SCHOLARSHIP_VALIDATION)(              # V10
+    lambda c: _errors(c.demandes_bourse, "scholarship"))
+
+
+# -- checked appends (W1, W2, W8) ----------------------------------------------------------
+def _grade_append_check(c):
+    v = quality.validate(c.notes, quality.RULES["grade"])
+    prior = F.when(F.size("errors") > 0, F.lit("invalide"))
+    out = quality.check_parents(v, [
+        quality.ParentCheck("etudiant_introuvable", c.etudiants, ("etudiant_id",), ("id",)),
+        quality.ParentCheck("cours_introuvable", c.cours, ("cours_id",), ("id",)),
+        quality.ParentCheck("non_inscrit", c.inscriptions, ("etudiant_id", "cours_id"),
+                            ("etudiant_id", "cours_id")),
+    ], prior=prior)
+    return out.select("id", "reason")
+
+
+register("grade_append_check", checks_sql.GRADE_APPEND_CHECK)(_grade_append_check)  # W1, W2
+
+
+def _enrol_check(c):
+    batch = (c.notes.groupBy("etudiant_id", "cours_id").agg(F.min("id").alias("seq")))
+    return changes.enrol_check(c.inscriptions, batch, c.etudiants, c.cours).select(
+        "seq", "etudiant_id", "cours_id", "reason")
+
+
+register("enrol_check", checks_sql.ENROL_CHECK)(_enrol_check)                       # W8, W3
+
+
+# -- orphans (W12) --------------------------------------------------------------------------
+register("orphan_grades", checks_sql.orphans("notes", "cours_id", "cours"))(
+    lambda c: quality.orphans(c.notes, c.cours, "cours_id"))
+register("orphan_absences", checks_sql.orphans("absences", "cours_id", "cours"))(
+    lambda c: quality.orphans(c.absences, c.cours, "cours_id"))
+register("orphan_sessions", checks_sql.orphans("emplois_temps", "cours_id", "cours"))(
+    lambda c: quality.orphans(c.emplois_temps, c.cours, "cours_id"))
+register("orphan_payments", checks_sql.orphans("payments", "studentId", "etudiants"))(
+    lambda c: quality.orphans(c.payments, c.etudiants, "studentId"))
