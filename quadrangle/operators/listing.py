@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ascii_lower, ceil_div, like_term, param_long, parse_bool
 
+_ASCII_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 # Default page sizes (fixed values of the reference's listings).
 PAGE_SIZE = {"students": 10, "professors": 10, "courses": 10, "departments": 10,
              "grades": 20, "absences": 20, "department_children": 20, "timetable": 50}
@@ -42,7 +44,8 @@ def search_cond(term: str, cols: list[str], ascii_only: bool = False) -> Column:
     as SQLite's LIKE does.  ``%`` and ``_`` in the term stay wildcards."""
     pat = like_term(term)
     if ascii_only:
-        conds = [ascii_lower(F.col(c)).like(ascii_lower(F.lit(pat))) for c in cols]
+        folded = pat.translate(_ASCII_FOLD)
+        conds = [ascii_lower(F.col(c)).like(folded) for c in cols]
     else:
         conds = [F.col(c).ilike(pat) for c in cols]
     return reduce(lambda a, b: a | b, conds)
