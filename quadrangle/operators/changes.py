@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import doc_number, parse_bool
-from ..sources.schemas import SCHEMAS, UNIQUE_KEYS, conform, with_defaults
+from ..sources.schemas import SCHEMAS, UNIQUE_KEYS, conform, typed, with_defaults
 from .quality import (RULES, ParentCheck, check_parents, check_unique, check_unique_multi,
                       validate)
 
@@ -85,6 +85,7 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
     """Validate -> parents exist -> no duplicate (vs the table and earlier
     rows of the batch) -> insert with defaults and ids."""
     v = validate(batch, RULES[rules]) if rules else batch.withColumn("errors", F.array())
+    v = typed(v, name)
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     checked = check_parents(v, list(parents), prior=prior)
     keys = UNIQUE_KEYS.get(name, []) if unique is None else unique
@@ -145,7 +146,7 @@ def add_departments(depts, batch, seq="seq", as_of=None) -> ChangeSet:
 def enrol_check(enrolments, batch, students, courses, seq="seq") -> DataFrame:
     """W8 checks: student id rule, course exists, student exists, not
     already enrolled (vs the table and earlier rows of the batch)."""
-    v = validate(batch, RULES["enrolment"])
+    v = typed(validate(batch, RULES["enrolment"]), "inscriptions")
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     out = check_parents(v, [
         ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
@@ -179,6 +180,7 @@ def full_update(base: DataFrame, changes: DataFrame, cols: list[str], name: str,
     Checks in order: rules, the row exists, unique keys not used by another
     row of the table or by an earlier change in the batch."""
     v = validate(changes, RULES[rules]) if rules else changes.withColumn("errors", F.array())
+    v = typed(v, name)
     reason = F.when(F.size("errors") > 0, F.lit("invalide"))
     if require_exists:
         ids = base.select(F.col(key).alias("_exists")).distinct()

@@ -206,7 +206,7 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
                                   for j, p in enumerate(ch.parent_cols)]).distinct()
         keys = keys.withColumn(f"_hit{i}", F.lit(True))
         cond = reduce(lambda a, b: a & b, [
-            out[b].cast(keys.schema[f"_p{i}_{j}"].dataType) == keys[f"_p{i}_{j}"]
+            out[b].try_cast(keys.schema[f"_p{i}_{j}"].dataType) == keys[f"_p{i}_{j}"]
             for j, b in enumerate(ch.batch_cols)])
         out = out.join(keys, cond, "left").drop(*[f"_p{i}_{j}" for j in
                                                   range(len(ch.parent_cols))])

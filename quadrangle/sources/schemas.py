@@ -145,3 +145,22 @@ def with_defaults(df: DataFrame, name: str, as_of=None) -> DataFrame:
     return df.select([
         (F.coalesce(F.col(c), fills[c]).alias(c) if c in fills else F.col(c)) for c in df.columns
     ])
+
+
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """Cast the columns of ``df`` that belong to table ``name`` to their
+    declared types with ``try_cast`` (malformed text -> NULL instead of an
+    ANSI error; validation has already flagged it).  Dates also accept the
+    ``YYYY/MM/DD`` form the validator accepts; other columns pass through."""
+    types = {f.name: f.dataType for f in SCHEMAS[name].fields}
+    out = []
+    for c, t in df.dtypes:
+        want = types.get(c)
+        if want is None or t == want.simpleString():
+            out.append(F.col(c))
+        elif isinstance(want, T.DateType) and t == "string":
+            out.append(F.try_to_date(F.regexp_replace(F.col(c), "/", "-"), "yyyy-MM-dd")
+                       .alias(c))
+        else:
+            out.append(F.col(c).try_cast(want).alias(c))
+    return df.select(out)
