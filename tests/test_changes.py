@@ -171,3 +171,18 @@ def test_enrol_and_scholarships(spark):
                                        "seq long, id long, statut string"))
     assert [r.statut for r in st.table.collect()] == ["Acceptée"]
     assert [r.reason for r in st.rejected.collect()] == ["introuvable"]
+
+
+def test_typed_validation_equals_text_validation(spark):
+    df = spark.createDataFrame([
+        (1, 2, "A", 20.0, 0.1, dt.date(2024, 2, 29)),
+        (None, 2, "", 20.5, 0.0, None),
+        (3, None, "B", float("nan"), float("inf"), dt.date(1999, 1, 1)),
+        (-4, 5, None, -0.0, 1e300, dt.date(2024, 1, 1)),
+    ], "etudiant_id long, cours_id long, type_evaluation string, note double, "
+       "coefficient double, date_evaluation date")
+    as_text = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+    a = [r.errors for r in quality.validate(df, quality.RULES["grade"]).collect()]
+    b = [r.errors for r in quality.validate(as_text, quality.RULES["grade"]).collect()]
+    assert a == b
+    assert a[0] == [] and a[2] == ["cours_id", "note", "coefficient"]
