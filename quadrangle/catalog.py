@@ -261,3 +261,63 @@ register("orphan_sessions", checks_sql.orphans("emplois_temps", "cours_id", "cou
     lambda c: quality.orphans(c.emplois_temps, c.cours, "cours_id"))
 register("orphan_payments", checks_sql.orphans("payments", "studentId", "etudiants"))(
     lambda c: quality.orphans(c.payments, c.etudiants, "studentId"))
+
+
+# -- bulk per-entity pages, details (L7, L9, D1-D8, A17) ---------------------------------
+register("student_absences_first_pages", S.STUDENT_ABSENCES_FIRST_PAGES)(           # L7
+    lambda c: Q.student_absences_first_pages(c.absences, c.cours))
+register("department_students_first_pages", S.DEPARTMENT_STUDENTS_FIRST_PAGES)(     # L9
+    lambda c: Q.department_children_first_pages(c.etudiants, c.departements))
+register("billed_students_detail", S.BILLED_STUDENTS_DETAIL)(                       # D1, F7
+    lambda c: Q.lookup(Q.students_rows(c.etudiants, c.departements), c.bills,
+                       "id", "studentId"))
+register("expense_departments_detail", S.EXPENSE_DEPARTMENTS_DETAIL)(               # D7
+    lambda c: Q.lookup(Q.departments_rows(c.departements, c.etudiants, c.professeurs,
+                                          c.cours), c.expenses, "id", "departmentId"))
+register("expense_departments_missing", S.EXPENSE_DEPARTMENTS_MISSING)(             # D7 404s
+    lambda c: Q.missing_keys(c.departements, c.expenses.filter("departmentId IS NOT NULL"),
+                             "id", "departmentId"))
+register("student_scholarships_detail", S.STUDENT_SCHOLARSHIPS_DETAIL)(             # D8
+    lambda c: Q.lookup(c.demandes_bourse, c.etudiants, "id", "id"))
+register("course_grades", S.COURSE_GRADES)(                                         # A17
+    lambda c: grades.course_grades(c.notes))
+register("enrolled_course_average", checks_sql.ENROLLED_COURSE_AVERAGE)(            # G1 pairs
+    lambda c: grades.course_average(c.notes, c.inscriptions))
+
+
+# -- change sets over table-derived batches (W5, W6, W7, W9) -----------------------------------
+def _dept_delete(c):
+    keys = c.departements.select("id")
+    return changes.guarded_delete(c.departements, keys, {
+        "etudiants": (c.etudiants, "departement_id"),
+        "professeurs": (c.professeurs, "departement_id"),
+        "cours": (c.cours, "departement_id")})
+
+
+register("department_delete_blocked", checks_sql.DEPARTMENT_DELETE_BLOCKED)(         # W6
+    lambda c: _dept_delete(c).rejected)
+register("department_delete_remaining", checks_sql.DEPARTMENT_DELETE_REMAINING)(     # W6
+    lambda c: _dept_delete(c).table)
+register("grades_without_orphans", checks_sql.GRADES_WITHOUT_ORPHANS)(               # W7, W12
+    lambda c: changes.delete(c.notes, quality.orphans(c.notes, c.cours, "cours_id")).table)
+
+
+def _bills_after_payments(c):
+    batch = c.payments.select(F.col("id").alias("seq"), "billId", "studentId", "amount",
+                              "method", "reference")
+    _, bills = changes.post_payments(c.bills, c.payments.limit(0), batch,
+                                     "2024-01-01 00:00:00")
+    return bills.select("id", "status")
+
+
+register("bills_after_payments", checks_sql.BILLS_AFTER_PAYMENTS)(_bills_after_payments)  # W9
+
+
+def _justify(c):
+    ch = (c.absences.filter(F.col("motif").isNotNull())
+          .select(F.col("id").alias("seq"), "id", F.lit("true").alias("justifiee"), "motif",
+                  F.lit(True).alias("motif_given")))
+    return changes.justify_absences(c.absences, ch).table.select("id", "justifiee", "motif")
+
+
+register("absences_justified_with_motif", checks_sql.ABSENCES_JUSTIFIED_WITH_MOTIF)(_justify)  # W5

@@ -465,3 +465,34 @@ def scholarship_requests(requests) -> DataFrame:
 def parse_flag(v):
     """Helper for callers that receive text flags: see :func:`parse_bool`."""
     return parse_bool(F.lit(v))
+
+
+# -- per-entity first pages in bulk ------------------------------------------------------------
+def first_page_per(rows: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
+    """The first page of every entity at once (e.g. each student's 20 latest
+    absences): ``row_number() <= limit`` per key.  Spark plans the rank
+    filter as a partial WindowGroupLimit before the shuffle, so each map
+    task forwards at most ``limit`` rows per key - a hot key cannot pile up
+    in one task."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy(*order)
+    return (rows.withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= limit).drop("_rn"))
+
+
+def absences_with_course(absences, courses) -> DataFrame:
+    """L7 rows for every student: absences with course name and code."""
+    return _join(absences, _course_name(courses), "cours_id", "_c_id", "inner")
+
+
+def student_absences_first_pages(absences, courses, limit=PAGE_SIZE["absences"]) -> DataFrame:
+    """L7 in bulk: page one of every student's absences (date desc, id)."""
+    return first_page_per(absences_with_course(absences, courses), "etudiant_id",
+                          _absence_order(), limit)
+
+
+def department_children_first_pages(students, depts, limit=PAGE_SIZE["department_children"]
+                                    ) -> DataFrame:
+    """L9 in bulk: page one of every department's students (nom, prenom)."""
+    rows = students_rows(students.filter(F.col("departement_id").isNotNull()), depts)
+    return first_page_per(rows, "departement_id", _student_order(), limit)

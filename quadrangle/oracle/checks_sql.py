@@ -153,3 +153,50 @@ def orphans(child: str, fk: str, parent: str) -> str:
 SELECT x.* FROM {child} x
 WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = x.{fk})
 """
+
+
+ENROLLED_COURSE_AVERAGE = """
+WITH g AS (
+  SELECT etudiant_id, cours_id,
+         CASE WHEN SUM(COALESCE(coefficient, 0)) > 0
+              THEN floor(SUM(note * COALESCE(coefficient, 0)) / SUM(COALESCE(coefficient, 0)) * 100 + 0.5) / 100
+              ELSE CAST(0 AS DOUBLE) END AS moyenne,
+         SUM(COALESCE(coefficient, 0)) AS totalCoefficients, COUNT(*) AS nb_notes
+  FROM notes GROUP BY etudiant_id, cours_id)
+SELECT i.etudiant_id, i.cours_id, g.moyenne, g.totalCoefficients, g.nb_notes
+FROM inscriptions i LEFT JOIN g ON g.etudiant_id = i.etudiant_id AND g.cours_id = i.cours_id
+"""
+
+_CHILD_COUNTS = """
+  SELECT d.id,
+         (SELECT COUNT(*) FROM etudiants e WHERE e.departement_id = d.id) AS etudiants,
+         (SELECT COUNT(*) FROM professeurs p WHERE p.departement_id = d.id) AS professeurs,
+         (SELECT COUNT(*) FROM cours c WHERE c.departement_id = d.id) AS cours
+  FROM departements d"""
+
+DEPARTMENT_DELETE_BLOCKED = f"""
+WITH k AS ({_CHILD_COUNTS})
+SELECT id, etudiants, professeurs, cours, 'enfants' AS reason FROM k
+WHERE etudiants > 0 OR professeurs > 0 OR cours > 0
+"""
+
+DEPARTMENT_DELETE_REMAINING = f"""
+WITH k AS ({_CHILD_COUNTS})
+SELECT d.* FROM departements d JOIN k ON k.id = d.id
+WHERE k.etudiants > 0 OR k.professeurs > 0 OR k.cours > 0
+"""
+
+GRADES_WITHOUT_ORPHANS = """
+SELECT n.* FROM notes n
+WHERE n.cours_id IS NULL OR n.cours_id IN (SELECT id FROM cours)
+"""
+
+BILLS_AFTER_PAYMENTS = """
+SELECT b.id, CASE WHEN p.billId IS NOT NULL THEN 'paid' ELSE b.status END AS status
+FROM bills b LEFT JOIN (SELECT DISTINCT billId FROM payments) p ON b.id = p.billId
+"""
+
+ABSENCES_JUSTIFIED_WITH_MOTIF = """
+SELECT id, CASE WHEN motif IS NOT NULL THEN TRUE ELSE justifiee END AS justifiee, motif
+FROM absences
+"""

@@ -94,3 +94,10 @@ def test_accepted_plus_rejected_is_input(spark):
     ok = df.filter(F.col("reason").isNull()).count()
     bad = df.filter(F.col("reason").isNotNull()).count()
     assert ok + bad == total and bad > 0 and ok > 0
+
+
+def test_first_pages_limit_before_the_shuffle(spark):
+    p = plan(E.queries()["student_absences_first_pages"](spark, SF_SMALL))
+    partial = p.find("row_number(), 20, Partial")
+    exchange = p.rfind("Exchange hashpartitioning(etudiant_id")
+    assert partial > exchange > 0   # the partial limit sits below (after, in text) the exchange
