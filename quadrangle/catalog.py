@@ -321,3 +321,25 @@ def _justify(c):
 
 
 register("absences_justified_with_motif", checks_sql.ABSENCES_JUSTIFIED_WITH_MOTIF)(_justify)  # W5
+
+
+register("professor_validation", checks_sql.PROFESSOR_VALIDATION)(                  # V2
+    lambda c: _errors(c.professeurs, "professor"))
+register("department_validation", checks_sql.DEPARTMENT_VALIDATION)(                # V9
+    lambda c: _errors(c.departements, "department"))
+register("scholarship_status_validation", checks_sql.SCHOLARSHIP_STATUS_VALIDATION)(  # V11
+    lambda c: _errors(c.demandes_bourse, "scholarship_status"))
+
+
+def _absence_append_check(c):
+    """W1 for absences: unjustified absences as the incoming batch (arrival
+    order = id) against the justified ones as the stored table."""
+    a = c.absences
+    batch = a.filter(~F.col("justifiee")).withColumn("seq", F.col("id")).drop("id")
+    base = a.filter(F.col("justifiee"))
+    cs = changes.add_absences(base, batch, c.etudiants, c.cours, c.inscriptions,
+                              as_of="2024-01-01 00:00:00", materialize=True)
+    return cs.report.select("seq", "reason")
+
+
+register("absence_append_check", checks_sql.ABSENCE_APPEND_CHECK)(_absence_append_check)  # W1-W3

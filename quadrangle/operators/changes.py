@@ -29,9 +29,15 @@ from .quality import (RULES, ParentCheck, check_parents, check_unique, check_uni
 
 @dataclass
 class ChangeSet:
+    """``table``: the new table; ``accepted`` / ``rejected``: the two halves
+    of the batch; ``report``: every batch row with its ``reason`` (NULL when
+    accepted), one pass.  When several of them are written, checkpoint the
+    report first (``report.checkpoint()``, to the shared checkpoint dir) so
+    the checks are not recomputed per output."""
     table: DataFrame
     accepted: DataFrame
     rejected: DataFrame
+    report: DataFrame | None = None
 
 
 def _max_id(base: DataFrame) -> int:
@@ -81,22 +87,29 @@ def to_json(df: DataFrame, path: str) -> None:
 # -- W1: checked append ----------------------------------------------------------------
 def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None,
                  parents: list[ParentCheck] = (), unique: list[list[str]] | None = None,
-                 seq: str = "seq", as_of=None) -> ChangeSet:
+                 seq: str = "seq", as_of=None, materialize: bool = False) -> ChangeSet:
     """Validate -> parents exist -> no duplicate (vs the table and earlier
-    rows of the batch) -> insert with defaults and ids."""
+    rows of the batch) -> insert with defaults and ids.
+
+    The duplicate check reads the checked batch twice (per-key first row,
+    then the join back).  With ``materialize=True`` the checked batch is
+    written once with ``checkpoint()`` (the shared ``spark.checkpoint.dir``)
+    so the upstream scans and joins are not run twice and lineage is cut."""
     v = validate(batch, RULES[rules]) if rules else batch.withColumn("errors", F.array())
     v = typed(v, name)
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     checked = check_parents(v, list(parents), prior=prior)
     keys = UNIQUE_KEYS.get(name, []) if unique is None else unique
     keys = [list(k) for k in keys]
+    if materialize and keys:
+        checked = checked.checkpoint()
     if len(keys) == 1:
         checked = check_unique(checked, keys[0], base, seq)
     elif len(keys) > 1:
         checked = check_unique_multi(checked, keys, base, seq)
     ok, bad = _split(checked)
-    rows = with_defaults(assign_ids(ok, base, seq), name, as_of)
-    return ChangeSet(append(base, rows, name), rows, bad)
+    rows = with_defaults(assign_ids(ok, base, seq), name, as_of, keep=(seq,))
+    return ChangeSet(append(base, rows, name), rows, bad, checked)
 
 
 def add_grades(notes, batch, students, courses, enrolments, seq="seq", as_of=None) -> ChangeSet:
@@ -109,7 +122,7 @@ def add_grades(notes, batch, students, courses, enrolments, seq="seq", as_of=Non
 
 
 def add_absences(absences, batch, students, courses, enrolments, seq="seq",
-                 as_of=None) -> ChangeSet:
+                 as_of=None, materialize=False) -> ChangeSet:
     """W1 for absences: rules, student, course, enrolment, then no other
     absence of the same student, course and date."""
     batch = batch.withColumn("justifiee", parse_bool("justifiee")) \
@@ -119,7 +132,8 @@ def add_absences(absences, batch, students, courses, enrolments, seq="seq",
         ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
         ParentCheck("non_inscrit", enrolments, ("etudiant_id", "cours_id"),
                     ("etudiant_id", "cours_id"))],
-        unique=[["etudiant_id", "cours_id", "date_absence"]], seq=seq, as_of=as_of)
+        unique=[["etudiant_id", "cours_id", "date_absence"]], seq=seq, as_of=as_of,
+        materialize=materialize)
 
 
 def add_students(students, batch, seq="seq", as_of=None) -> ChangeSet:
@@ -159,8 +173,8 @@ def enrol_check(enrolments, batch, students, courses, seq="seq") -> DataFrame:
 def enrol(enrolments, batch, students, courses, seq="seq", as_of=None) -> ChangeSet:
     checked = enrol_check(enrolments, batch, students, courses, seq)
     ok, bad = _split(checked)
-    rows = with_defaults(assign_ids(ok, enrolments, seq), "inscriptions", as_of)
-    return ChangeSet(append(enrolments, rows, "inscriptions"), rows, bad)
+    rows = with_defaults(assign_ids(ok, enrolments, seq), "inscriptions", as_of, keep=(seq,))
+    return ChangeSet(append(enrolments, rows, "inscriptions"), rows, bad, checked)
 
 
 # -- W4, W5: updates -------------------------------------------------------------------------

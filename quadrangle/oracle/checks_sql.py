@@ -200,3 +200,55 @@ ABSENCES_JUSTIFIED_WITH_MOTIF = """
 SELECT id, CASE WHEN motif IS NOT NULL THEN TRUE ELSE justifiee END AS justifiee, motif
 FROM absences
 """
+
+
+PROFESSOR_VALIDATION = f"""
+SELECT id, {errors(req('matricule'), req('nom'), req('prenom'),
+                   _fail(f"regexp_matches(email, {EMAIL})", 'email'),
+                   is_int('departement_id'), req('specialite'), req('grade'))} AS errors
+FROM professeurs
+"""
+
+DEPARTMENT_VALIDATION = f"""
+SELECT id, {errors(req('nom'))} AS errors FROM departements
+"""
+
+SCHOLARSHIP_STATUS_VALIDATION = f"""
+SELECT id, {errors(req('statut'))} AS errors FROM demandes_bourse
+"""
+
+ABSENCE_APPEND_CHECK = f"""
+WITH v AS (
+  SELECT a.id AS seq, a.etudiant_id, a.cours_id, a.date_absence,
+         {errors(is_int('etudiant_id'), is_int('cours_id'), is_date('date_absence'),
+                 _fail("lower(CAST(justifiee AS VARCHAR)) IN ('true','false','1','0')",
+                       'justifiee'))} AS errors
+  FROM absences a WHERE a.justifiee = FALSE),
+base AS (SELECT DISTINCT etudiant_id, cours_id, date_absence FROM absences
+         WHERE justifiee = TRUE),
+es AS (SELECT DISTINCT id FROM etudiants),
+cs AS (SELECT DISTINCT id FROM cours),
+ins AS (SELECT DISTINCT etudiant_id, cours_id FROM inscriptions),
+r AS (
+  SELECT v.*,
+         CASE WHEN v.errors <> '' THEN 'invalide'
+              WHEN es.id IS NULL THEN 'etudiant_introuvable'
+              WHEN cs.id IS NULL THEN 'cours_introuvable'
+              WHEN ins.etudiant_id IS NULL THEN 'non_inscrit' END AS r0,
+         b.etudiant_id IS NOT NULL AS in_base
+  FROM v
+  LEFT JOIN es ON v.etudiant_id = es.id
+  LEFT JOIN cs ON v.cours_id = cs.id
+  LEFT JOIN ins ON v.etudiant_id = ins.etudiant_id AND v.cours_id = ins.cours_id
+  LEFT JOIN base b ON v.etudiant_id = b.etudiant_id AND v.cours_id = b.cours_id
+                  AND v.date_absence = b.date_absence),
+firsts AS (
+  SELECT etudiant_id, cours_id, date_absence, MIN(seq) AS min_seq FROM r
+  WHERE r0 IS NULL AND NOT in_base GROUP BY ALL)
+SELECT r.seq,
+       COALESCE(r.r0, CASE WHEN r.in_base THEN 'doublon' END,
+                CASE WHEN f.min_seq IS NOT NULL AND r.seq > f.min_seq THEN 'doublon_lot' END)
+         AS reason
+FROM r LEFT JOIN firsts f ON r.etudiant_id = f.etudiant_id AND r.cours_id = f.cours_id
+                         AND r.date_absence = f.date_absence
+"""

@@ -121,26 +121,30 @@ def _defaults(now: Column, today: Column) -> dict[str, dict[str, Column]]:
     }
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
+def conform(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Project ``df`` onto the fixed schema of ``name``: known columns are cast,
-    missing ones become typed NULLs, unknown ones are dropped.  Unused NULL
-    columns cost nothing - column pruning removes them from the plan."""
+    missing ones become typed NULLs, unknown ones are dropped (except those
+    in ``keep``).  Unused NULL columns cost nothing - column pruning removes
+    them from the plan."""
     have = set(df.columns)
     return df.select([
         (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
         .alias(f.name)
         for f in SCHEMAS[name].fields
-    ])
+    ] + [F.col(k) for k in keep if k in have and k not in SCHEMAS[name].fieldNames()])
 
 
-def with_defaults(df: DataFrame, name: str, as_of=None) -> DataFrame:
+def with_defaults(df: DataFrame, name: str, as_of=None, keep: tuple[str, ...] = ()
+                  ) -> DataFrame:
     """S3: fill the declared defaults where a value is absent (NULL).
 
     ``as_of`` pins "now" (a ``datetime``) for reproducible runs; otherwise the
-    query's own ``current_timestamp()`` is used, as the database would."""
+    query's own ``current_timestamp()`` is used, as the database would.
+    Columns in ``keep`` (e.g. the batch ``seq``) are carried after the
+    table's columns."""
     now = F.lit(as_of).cast(T.TimestampType()) if as_of is not None else F.current_timestamp()
     today = now.cast(T.DateType())
-    df = conform(df, name)
+    df = conform(df, name, keep)
     fills = _defaults(now, today).get(name, {})
     return df.select([
         (F.coalesce(F.col(c), fills[c]).alias(c) if c in fills else F.col(c)) for c in df.columns
