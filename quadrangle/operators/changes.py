@@ -157,14 +157,19 @@ def add_departments(depts, batch, seq="seq", as_of=None) -> ChangeSet:
 
 
 # -- W8: enrolment -------------------------------------------------------------------------
-def enrol_check(enrolments, batch, students, courses, seq="seq") -> DataFrame:
+def enrol_check(enrolments, batch, students, courses, seq="seq", materialize=False
+                ) -> DataFrame:
     """W8 checks: student id rule, course exists, student exists, not
-    already enrolled (vs the table and earlier rows of the batch)."""
+    already enrolled (vs the table and earlier rows of the batch).
+    ``materialize`` checkpoints the checked batch before the duplicate check
+    reads it twice (see :func:`append_valid`)."""
     v = typed(validate(batch, RULES["enrolment"]), "inscriptions")
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     out = check_parents(v, [
         ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
         ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",))], prior=prior)
+    if materialize:
+        out = out.checkpoint()
     out = check_unique(out, ["etudiant_id", "cours_id"], enrolments, seq,
                        base_reason="deja_inscrit", batch_reason="deja_inscrit")
     return out.drop("errors")
@@ -180,9 +185,11 @@ def enrol(enrolments, batch, students, courses, seq="seq", as_of=None) -> Change
 # -- W4, W5: updates -------------------------------------------------------------------------
 def _latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
     """When a batch updates a row twice, the last change wins (applied in
-    order).  Max per key by aggregation, joined back on (key, seq)."""
-    last = changes.groupBy(key).agg(F.max(seq).alias(seq))
-    return changes.join(last, [key, seq], "left_semi")
+    order): one ``max_by`` aggregation per key (partial + final, so a key
+    changed many times is combined map-side) - no join back."""
+    others = [c for c in changes.columns if c != key]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_last"))
+    return last.select(key, *[F.col("_last")[c].alias(c) for c in others])
 
 
 def full_update(base: DataFrame, changes: DataFrame, cols: list[str], name: str,
@@ -288,27 +295,30 @@ def delete(base: DataFrame, keys: DataFrame, key: str = "id", keys_col: str | No
 def guarded_delete(base: DataFrame, keys: DataFrame, children: dict[str, tuple[DataFrame, str]],
                    key: str = "id") -> ChangeSet:
     """Delete only keys with no children; a blocked key is reported with
-    its child counts (as the department delete does).  Children are counted
-    per key by aggregation (semi-joined to the requested keys first), never
-    by joining child rows to the parent."""
+    its child counts (as the department delete does), a missing key as
+    ``introuvable``.  Each child is aggregated once by its foreign key
+    (partial + final), then the requested keys are left-joined to the
+    existing keys and to each child's counts - one report, from which the
+    table and both halves are filtered."""
     k = keys.select(F.col(key)).distinct()
-    found = k.join(base.select(key).distinct(), key, "left_semi")
-    counts = found
+    exists = base.select(F.col(key)).distinct().withColumn("_exists", F.lit(True))
+    report = k.join(exists, key, "left")
     for name, (child, fk) in children.items():
-        per = (child.select(F.col(fk).alias(key)).join(found, key, "left_semi")
-               .groupBy(key).agg(F.count(F.lit(1)).alias(name)))
-        counts = counts.join(per, key, "left")
-    counts = counts.fillna(0, list(children))
-    blocked_cond = None
+        per = (child.filter(F.col(fk).isNotNull())
+               .groupBy(F.col(fk).alias(key)).agg(F.count(F.lit(1)).alias(name)))
+        report = report.join(per, key, "left")
+    any_child = None
     for name in children:
-        c = F.col(name) > 0
-        blocked_cond = c if blocked_cond is None else (blocked_cond | c)
-    blocked = counts.filter(blocked_cond).withColumn("reason", F.lit("enfants"))
-    deletable = counts.filter(~blocked_cond).select(key)
-    missing = k.join(found, key, "left_anti").withColumn("reason", F.lit("introuvable"))
+        c = F.coalesce(F.col(name), F.lit(0)) > 0
+        any_child = c if any_child is None else (any_child | c)
+    report = report.select(
+        key, *[F.when(F.col("_exists").isNotNull(), F.coalesce(F.col(n), F.lit(0)))
+               .alias(n) for n in children],
+        F.when(F.col("_exists").isNull(), F.lit("introuvable"))
+         .when(any_child, F.lit("enfants")).alias("reason"))
+    deletable = report.filter(F.col("reason").isNull()).select(key)
     table = base.join(deletable, key, "left_anti")
-    rejected = blocked.unionByName(missing, allowMissingColumns=True)
-    return ChangeSet(table, deletable, rejected)
+    return ChangeSet(table, deletable, report.filter(F.col("reason").isNotNull()), report)
 
 
 def delete_enrolments(enrolments: DataFrame, pairs: DataFrame) -> ChangeSet:

@@ -291,18 +291,20 @@ def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None
 def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame | None = None,
                        seq: str = "seq", reason_col: str = "reason",
                        base_reason: str = "doublon", batch_reason: str = "doublon_lot",
-                       checkpoint_every: int = 4) -> DataFrame:
+                       checkpoint_every: int = 1) -> DataFrame:
     """W3 over several unique keys with strict first-come semantics: a row is
     accepted iff no key is in ``base`` and no *accepted* earlier row shares
     any key with it (a rejected row blocks nobody).
 
-    Resolved in rounds, all as joins and aggregations: in each round, for
-    every key, the smallest-seq row among the rows still in play (undecided
-    or accepted) is found by aggregation; an undecided row whose every key
-    points at itself is accepted, one whose key points at an accepted row
-    is rejected.  The smallest undecided row is always decided, so the loop
-    ends; rows without any collision are decided in round one.  Lineage is
-    cut with ``checkpoint()`` (the shared ``spark.checkpoint.dir``)."""
+    Rows whose every key is unique among the eligible rows of the batch are
+    settled at once (one count per key, joined back).  Only the colliding
+    rows are resolved in rounds, all as joins and aggregations: in each
+    round, for every key, the smallest-seq row among the rows still in play
+    (undecided or accepted) is found by aggregation; an undecided row whose
+    every key points at itself is accepted, one whose key points at an
+    accepted row is rejected.  The smallest undecided row is always decided,
+    so the loop ends.  Lineage is cut with ``checkpoint()`` (the shared
+    ``spark.checkpoint.dir``)."""
     if reason_col not in batch.columns:
         batch = batch.withColumn(reason_col, F.lit(None).cast("string"))
     cur = batch
@@ -314,12 +316,23 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
             cur = cur.withColumn(reason_col, F.coalesce(
                 F.col(reason_col), F.when(notnull & F.col(f"_b{i}").isNotNull(),
                                           F.lit(base_reason)))).drop(f"_b{i}")
-    # state: 0 undecided, 1 accepted, 2 rejected (rows with a reason start rejected)
-    cur = cur.withColumn("_state", F.when(F.col(reason_col).isNull(), 0).otherwise(2))
+    # rows with a key shared by another eligible row take part in the rounds
+    eligible = cur.filter(F.col(reason_col).isNull())
+    for i, k in enumerate(keys):
+        notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
+        n = (eligible.filter(notnull).groupBy(*k).agg(F.count(F.lit(1)).alias(f"_n{i}"))
+             .filter(F.col(f"_n{i}") > 1))
+        cur = cur.join(n, k, "left")
+    shared = reduce(lambda a, b: a | b, [F.col(f"_n{i}").isNotNull() for i in range(len(keys))])
+    cur = cur.withColumn("_collides", F.col(reason_col).isNull() & shared).drop(
+        *[f"_n{i}" for i in range(len(keys))])
+    settled = cur.filter(~F.col("_collides")).drop("_collides")
+    work = cur.filter(F.col("_collides")).drop("_collides").withColumn("_state", F.lit(0))
+    work = work.checkpoint()
     rnd = 0
-    while True:
-        live = cur.filter(F.col("_state") < 2)
-        step = cur
+    while not work.filter(F.col("_state") == 0).isEmpty():
+        live = work.filter(F.col("_state") < 2)
+        step = work
         for i, k in enumerate(keys):
             notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
             m = (live.filter(notnull).groupBy(*k)
@@ -333,15 +346,13 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
         new_state = (F.when(undecided & reduce(lambda a, b: a | b, blocked), 2)
                      .when(undecided & reduce(lambda a, b: a & b, own), 1)
                      .otherwise(F.col("_state")))
-        cur = step.withColumn("_state", new_state).drop(*[f"_m{i}" for i in range(len(keys))])
+        work = step.withColumn("_state", new_state).drop(*[f"_m{i}" for i in range(len(keys))])
         rnd += 1
         if rnd % checkpoint_every == 0:
-            cur = cur.checkpoint()
-        if cur.filter(F.col("_state") == 0).isEmpty():
-            break
-    return (cur.withColumn(reason_col, F.coalesce(
-        F.col(reason_col), F.when(F.col("_state") == 2, F.lit(batch_reason))))
-        .drop("_state"))
+            work = work.checkpoint()
+    work = (work.withColumn(reason_col, F.when(F.col("_state") == 2, F.lit(batch_reason)))
+            .drop("_state"))
+    return settled.unionByName(work)
 
 
 # -- W12: orphans ---------------------------------------------------------------------------
