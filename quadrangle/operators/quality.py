@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import annotate
+
 TIME_PATTERN = r"^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 INT_PATTERN = r"^[-+]?[0-9]+$"
@@ -224,22 +226,36 @@ class ParentCheck:
 
 
 def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str = "reason",
-                  prior: Column | None = None) -> DataFrame:
-    """Flag each check with a left join to the parent's *distinct*
-    keys (no fan-out, one row per batch row), then report the first failing
-    check in order.  ``prior`` is an earlier reason (e.g. validation) that
-    takes precedence.  Integer keys coming as text are ``try_cast``."""
+                  prior: Column | None = None, skew_safe: bool = True) -> DataFrame:
+    """Report the first failing parent check per batch row
+    (``prior``, e.g. the validation verdict, takes precedence).
+
+    Existence is decided per *key*, not per row: the batch is reduced to its
+    distinct foreign keys with their row counts (partial + final
+    aggregation), those are left-joined to the parent's distinct keys - a
+    key-level join, one row per key on each side - and the verdict is joined
+    back onto the rows with hot keys salted (:func:`plans.skew.annotate`).
+    With ``skew_safe`` and several checks, the batch is checkpointed first so
+    the per-check aggregations read it instead of recomputing its lineage.
+    Integer keys coming as text are ``try_cast``."""
     out = batch
+    for ch in checks:
+        for b, pcol in zip(ch.batch_cols, ch.parent_cols):
+            t = ch.parent.schema[pcol].dataType
+            if out.schema[b].dataType != t:
+                out = out.withColumn(b, F.col(b).try_cast(t))
+    if skew_safe and len(checks) > 1:
+        out = out.checkpoint()
+    spread = F.xxhash64(*[F.col(c) for c in out.columns])
     flags = []
     for i, ch in enumerate(checks):
-        keys = ch.parent.select(*[F.col(p).alias(f"_p{i}_{j}")
-                                  for j, p in enumerate(ch.parent_cols)]).distinct()
-        keys = keys.withColumn(f"_hit{i}", F.lit(True))
-        cond = reduce(lambda a, b: a & b, [
-            out[b].try_cast(keys.schema[f"_p{i}_{j}"].dataType) == keys[f"_p{i}_{j}"]
-            for j, b in enumerate(ch.batch_cols)])
-        out = out.join(keys, cond, "left").drop(*[f"_p{i}_{j}" for j in
-                                                  range(len(ch.parent_cols))])
+        bcols = list(ch.batch_cols)
+        notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in bcols])
+        need = out.filter(notnull).groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
+        pk = (ch.parent.select(*[F.col(p).alias(b) for p, b in zip(ch.parent_cols, bcols)])
+              .distinct().withColumn(f"_hit{i}", F.lit(True)))
+        verdict = need.join(pk, bcols, "left")
+        out = annotate(out, verdict, bcols, "_n", spread, skew_safe)
         flags.append((ch.reason, F.col(f"_hit{i}").isNull()))
     reason = prior if prior is not None else F.lit(None).cast("string")
     for r, failed in flags:
@@ -262,11 +278,14 @@ def first_in_batch(batch: DataFrame, key: list[str], seq: str = "seq",
 def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None,
                  seq: str = "seq", reason_col: str = "reason",
                  base_reason: str = "doublon", batch_reason: str = "doublon_lot",
-                 eligible: Column | None = None) -> DataFrame:
+                 eligible: Column | None = None, skew_safe: bool = True) -> DataFrame:
     """W3 for one unique key: rejected when the key exists in ``base`` or an
     earlier *eligible* row of the batch has it.  Rows that already carry a
     reason are not eligible (they will not be inserted, so they block
-    nobody).  NULL keys never collide (SQL UNIQUE)."""
+    nobody).  NULL keys never collide (SQL UNIQUE).
+
+    The first eligible ``seq`` per key is a partial+final aggregation; it is
+    joined back with hot keys salted (:func:`plans.skew.annotate`)."""
     if reason_col not in batch.columns:
         batch = batch.withColumn(reason_col, F.lit(None).cast("string"))
     elig = F.col(reason_col).isNull() if eligible is None else eligible
@@ -277,9 +296,10 @@ def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None
         out = out.join(bk, key, "left")
     else:
         out = out.withColumn("_in_base", F.lit(None).cast("boolean"))
-    cand = out.filter(elig & notnull & F.col("_in_base").isNull())
-    firsts = (cand.groupBy(*key).agg(F.min(seq).alias("_min_seq")))
-    out = out.join(firsts, key, "left")
+    firsts = out.filter(notnull).groupBy(*key).agg(
+        F.min(F.when(elig & F.col("_in_base").isNull(), F.col(seq))).alias("_min_seq"),
+        F.count(F.lit(1)).alias("_n"))
+    out = annotate(out, firsts, key, "_n", F.col(seq), skew_safe)
     reason = F.coalesce(
         F.col(reason_col),
         F.when(notnull & F.col("_in_base").isNotNull(), F.lit(base_reason)),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import conflict_cond, time_minutes
+from ..plans.skew import annotate
 
 ROOM_DAY = ["salle", "jour"]
 CLASS = ["salle", "jour", "heure_debut", "heure_fin"]
@@ -55,7 +56,8 @@ def class_matches(cand_classes: DataFrame, stored_classes: DataFrame) -> DataFra
     return c.join(s, on, "inner")
 
 
-def session_conflicts(sessions: DataFrame, numeric: bool = False) -> DataFrame:
+def session_conflicts(sessions: DataFrame, numeric: bool = False, skew_safe: bool = True
+                      ) -> DataFrame:
     """C1 for every stored session at once: the number of *other* sessions
     it conflicts with (as a candidate, ``emploi_id`` = itself) and the flag.
 
@@ -65,9 +67,11 @@ def session_conflicts(sessions: DataFrame, numeric: bool = False) -> DataFrame:
     m = class_matches(classes, classes)
     per_class = m.groupBy(*[f"c_{k}" for k in CLASS]).agg(F.sum("n").alias("_hits"))
     per_class = per_class.select(*[F.col(f"c_{k}").alias(k) for k in CLASS], "_hits")
+    per_class = classes.select(*CLASS, F.col("n").alias("_n")).join(per_class, CLASS, "left")
     self_hit = conflict_cond(F.col("_a"), F.col("_b"), F.col("_a"), F.col("_b"))
     s = _keys(sessions, numeric)
-    out = s.join(per_class, CLASS, "left")
+    # a class holding many sessions is joined back with its rows salted
+    out = annotate(s, per_class, CLASS, "_n", F.col("id"), skew_safe)
     nb = (F.coalesce(F.col("_hits"), F.lit(0))
           - F.when(F.coalesce(self_hit, F.lit(False)) & F.col("_hits").isNotNull(), 1)
           .otherwise(0)).cast("bigint")
