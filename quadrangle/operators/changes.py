@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import doc_number, parse_bool
 from ..sources.schemas import SCHEMAS, UNIQUE_KEYS, conform, typed, with_defaults
+from ..plans.materialize import materialize
 from .quality import (RULES, ParentCheck, check_parents, check_unique, check_unique_multi,
                       validate)
 
@@ -32,7 +33,8 @@ class ChangeSet:
     """``table``: the new table; ``accepted`` / ``rejected``: the two halves
     of the batch; ``report``: every batch row with its ``reason`` (NULL when
     accepted), one pass.  When several of them are written, checkpoint the
-    report first (``report.checkpoint()``, to the shared checkpoint dir) so
+    report first (``plans.materialize.materialize``, into the shared
+    checkpoint dir) so
     the checks are not recomputed per output."""
     table: DataFrame
     accepted: DataFrame
@@ -93,7 +95,7 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
 
     The duplicate check reads the checked batch twice (per-key first row,
     then the join back).  With ``materialize=True`` the checked batch is
-    written once with ``checkpoint()`` (the shared ``spark.checkpoint.dir``)
+    written once as a table in the shared ``spark.checkpoint.dir``
     so the upstream scans and joins are not run twice and lineage is cut."""
     v = validate(batch, RULES[rules]) if rules else batch.withColumn("errors", F.array())
     v = typed(v, name)
@@ -102,7 +104,7 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
     keys = UNIQUE_KEYS.get(name, []) if unique is None else unique
     keys = [list(k) for k in keys]
     if materialize and keys:
-        checked = checked.checkpoint()
+        checked = materialize(checked, "checked-batch")
     if len(keys) == 1:
         checked = check_unique(checked, keys[0], base, seq)
     elif len(keys) > 1:
@@ -169,7 +171,7 @@ def enrol_check(enrolments, batch, students, courses, seq="seq", materialize=Fal
         ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
         ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",))], prior=prior)
     if materialize:
-        out = out.checkpoint()
+        out = materialize(out, "checked-batch")
     out = check_unique(out, ["etudiant_id", "cours_id"], enrolments, seq,
                        base_reason="deja_inscrit", batch_reason="deja_inscrit")
     return out.drop("errors")

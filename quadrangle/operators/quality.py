@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
 from ..plans.skew import annotate
 
 TIME_PATTERN = r"^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
@@ -244,8 +245,9 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
             t = ch.parent.schema[pcol].dataType
             if out.schema[b].dataType != t:
                 out = out.withColumn(b, F.col(b).try_cast(t))
-    if skew_safe and len(checks) > 1:
-        out = out.checkpoint()
+    materialized = skew_safe and len(checks) > 1
+    if materialized:
+        out = materialize(out, "checked-batch")
     spread = F.xxhash64(*[F.col(c) for c in out.columns])
     flags = []
     for i, ch in enumerate(checks):
@@ -255,7 +257,8 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
         pk = (ch.parent.select(*[F.col(p).alias(b) for p, b in zip(ch.parent_cols, bcols)])
               .distinct().withColumn(f"_hit{i}", F.lit(True)))
         verdict = need.join(pk, bcols, "left")
-        out = annotate(out, verdict, bcols, "_n", spread, skew_safe)
+        out = annotate(out, verdict, bcols, "_n", spread, skew_safe,
+                       checkpoint=not materialized)
         flags.append((ch.reason, F.col(f"_hit{i}").isNull()))
     reason = prior if prior is not None else F.lit(None).cast("string")
     for r, failed in flags:
@@ -323,8 +326,8 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     (undecided or accepted) is found by aggregation; an undecided row whose
     every key points at itself is accepted, one whose key points at an
     accepted row is rejected.  The smallest undecided row is always decided,
-    so the loop ends.  Lineage is cut with ``checkpoint()`` (the shared
-    ``spark.checkpoint.dir``)."""
+    so the loop ends.  Lineage is cut by writing each round to the shared
+    ``spark.checkpoint.dir`` (:func:`plans.materialize.materialize`)."""
     if reason_col not in batch.columns:
         batch = batch.withColumn(reason_col, F.lit(None).cast("string"))
     cur = batch
@@ -348,7 +351,7 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
         *[f"_n{i}" for i in range(len(keys))])
     settled = cur.filter(~F.col("_collides")).drop("_collides")
     work = cur.filter(F.col("_collides")).drop("_collides").withColumn("_state", F.lit(0))
-    work = work.checkpoint()
+    work = materialize(work, "unique-rounds")
     rnd = 0
     while not work.filter(F.col("_state") == 0).isEmpty():
         live = work.filter(F.col("_state") < 2)
@@ -369,7 +372,7 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
         work = step.withColumn("_state", new_state).drop(*[f"_m{i}" for i in range(len(keys))])
         rnd += 1
         if rnd % checkpoint_every == 0:
-            work = work.checkpoint()
+            work = materialize(work, "unique-rounds")
     work = (work.withColumn(reason_col, F.when(F.col("_state") == 2, F.lit(batch_reason)))
             .drop("_state"))
     return settled.unionByName(work)

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 DEFAULT_MAX_KEYS = 1000
 DEFAULT_MIN_ROWS = 200_000
 DEFAULT_SALTS = 64
@@ -28,16 +30,19 @@ DEFAULT_SALTS = 64
 
 def heavy_hitters(counts: DataFrame, on: list[str], count_col: str,
                   max_keys: int = DEFAULT_MAX_KEYS, min_rows: int = DEFAULT_MIN_ROWS
-                  ) -> DataFrame:
-    """Keys whose ``count_col`` exceeds ``max(min_rows, total / max_keys)``;
-    at most ``max_keys`` rows (the total is one scalar through the driver).
-    The session settings ``quadrangle.skew.minRows`` / ``maxKeys`` override
-    the defaults."""
+                  ) -> DataFrame | None:
+    """Keys whose ``count_col`` exceeds ``max(min_rows, total / max_keys)`` -
+    at most ``max_keys`` of them - or ``None`` when no key does (the common
+    case: then no salting is needed).  One small job: total and largest
+    count come back as two scalars.  The session settings
+    ``quadrangle.skew.minRows`` / ``maxKeys`` override the defaults."""
     conf = counts.sparkSession.conf
     min_rows = int(conf.get("quadrangle.skew.minRows", str(min_rows)))
     max_keys = int(conf.get("quadrangle.skew.maxKeys", str(max_keys)))
-    total = counts.agg(F.sum(count_col)).first()[0] or 0
-    threshold = max(float(min_rows), total / float(max_keys))
+    total, largest = counts.agg(F.sum(count_col), F.max(count_col)).first()
+    threshold = max(float(min_rows), (total or 0) / float(max_keys))
+    if largest is None or largest <= threshold:
+        return None
     return counts.filter(F.col(count_col) > threshold).select(*on)
 
 
@@ -62,14 +67,18 @@ def salted_left_join(big: DataFrame, per_key: DataFrame, on: list[str], hot: Dat
 
 def annotate(big: DataFrame, per_key: DataFrame, on: list[str], count_col: str, spread: Column,
              skew_safe: bool = True, max_keys: int = DEFAULT_MAX_KEYS,
-             min_rows: int = DEFAULT_MIN_ROWS, salts: int = DEFAULT_SALTS) -> DataFrame:
+             min_rows: int = DEFAULT_MIN_ROWS, salts: int = DEFAULT_SALTS,
+             checkpoint: bool = True) -> DataFrame:
     """Left-join ``per_key`` (one row per key, with the number of ``big`` rows
-    of the key in ``count_col``) onto ``big``.  With ``skew_safe`` the
-    per-key frame is checkpointed (shared ``spark.checkpoint.dir``) so that
-    detecting the hot keys and the join itself read it once, and the hot
-    keys are salted."""
+    of the key in ``count_col``) onto ``big``, salting the hot keys.
+
+    ``checkpoint`` writes ``per_key`` once (shared ``spark.checkpoint.dir``)
+    so the detection job and the join do not both recompute it - worth it
+    when ``per_key`` is an aggregate over an expensive lineage; pass False
+    when ``big`` is itself already materialized."""
     if not skew_safe:
         return big.join(per_key.drop(count_col), on, "left")
-    per_key = per_key.checkpoint()
+    if checkpoint:
+        per_key = materialize(per_key, "per-key")
     hot = heavy_hitters(per_key, on, count_col, max_keys, min_rows)
     return salted_left_join(big, per_key.drop(count_col), on, hot, spread, salts)

@@ -137,4 +137,4 @@ def test_heavy_hitters_is_bounded(spark):
     assert sorted(r.k for r in hot.collect()) == ["k0", "k1", "k2", "k3", "k4"]
     # no more than max_keys keys can exceed total / max_keys
     flat = spark.createDataFrame([(f"k{i}", 100) for i in range(2000)], "k string, n long")
-    assert heavy_hitters(flat, ["k"], "n", max_keys=10, min_rows=1).count() == 0
+    assert heavy_hitters(flat, ["k"], "n", max_keys=10, min_rows=1) is None
