@@ -85,8 +85,10 @@ def apply_filters(df: DataFrame, conds: list[Column | None]) -> DataFrame:
 def lookup(df: DataFrame, keys: DataFrame, key: str = "id", keys_col: str | None = None
            ) -> DataFrame:
     """Rows whose key is in ``keys`` (bulk detail view) - a left
-    semi join, so duplicate keys never duplicate rows."""
-    k = keys.select(F.col(keys_col or key).alias("_k"))
+    semi join against the *distinct* keys (partial aggregation first, so a
+    key requested many times neither duplicates rows nor piles up in one
+    task)."""
+    k = keys.select(F.col(keys_col or key).alias("_k")).distinct()
     return df.join(k, df[key] == k["_k"], "left_semi")
 
 

@@ -354,13 +354,14 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     work = materialize(work, "unique-rounds")
     rnd = 0
     while not work.filter(F.col("_state") == 0).isEmpty():
-        live = work.filter(F.col("_state") < 2)
+        live = F.col("_state") < 2
         step = work
         for i, k in enumerate(keys):
             notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-            m = (live.filter(notnull).groupBy(*k)
-                 .agg(F.min(F.struct(F.col(seq), F.col("_state"))).alias(f"_m{i}")))
-            step = step.join(m, k, "left")
+            m = (work.filter(notnull).groupBy(*k)
+                 .agg(F.min(F.when(live, F.struct(F.col(seq), F.col("_state")))).alias(f"_m{i}"),
+                      F.count(F.lit(1)).alias("_n")))
+            step = annotate(step, m, k, "_n", F.col(seq), checkpoint=False)
         own = [F.col(f"_m{i}").isNull() | (F.col(f"_m{i}")[seq] == F.col(seq))
                for i in range(len(keys))]
         blocked = [F.col(f"_m{i}").isNotNull() & (F.col(f"_m{i}")["_state"] == 1)

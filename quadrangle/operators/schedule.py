@@ -160,12 +160,12 @@ def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
     ``conflit``).  Exact and skew-safe: all rows of one interval class share
     their conflicts, so only the first row of a class can be accepted; the
     ordered pass runs over those contenders only, per room-day."""
-    from .quality import RULES, validate  # local import: quality imports schedule
+    from .quality import RULES, ParentCheck, check_parents, validate
 
     v = validate(batch, RULES["timetable"])
-    crs = courses.select(F.col("id").alias("_crs")).distinct()
-    v = v.join(crs, v["cours_id"].try_cast("bigint") == crs["_crs"], "left")
-    v = v.withColumn("_course_ok", F.col("_crs").isNotNull()).drop("_crs")
+    v = check_parents(v, [ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",))],
+                      reason_col="_course_reason")
+    v = v.withColumn("_course_ok", F.col("_course_reason").isNull()).drop("_course_reason")
     ok = v.filter((F.size("errors") == 0) & F.col("_course_ok"))
 
     classes = interval_classes(ok, numeric)

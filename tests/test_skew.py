@@ -138,3 +138,16 @@ def test_heavy_hitters_is_bounded(spark):
     # no more than max_keys keys can exceed total / max_keys
     flat = spark.createDataFrame([(f"k{i}", 100) for i in range(2000)], "k string, n long")
     assert heavy_hitters(flat, ["k"], "n", max_keys=10, min_rows=1) is None
+
+
+def test_hot_key_over_two_unique_keys(spark):
+    from tests.test_sequential import simulate_unique
+    rng = random.Random(11)
+    rows = [{"seq": i, "matricule": f"m{rng.randint(1, 400)}",
+             "email": "hot@x.fr" if i % 3 == 0 else f"e{rng.randint(1, 900)}"}
+            for i in range(1, 1201)]
+    df = spark.createDataFrame(rows, "seq long, matricule string, email string")
+    with low_hot_threshold(spark, 20), forced_skew(spark):
+        got = {r.seq: r.reason for r in quality.check_unique_multi(
+            df, [["matricule"], ["email"]]).collect()}
+    assert got == simulate_unique(rows, ["matricule", "email"], [set(), set()])
