@@ -52,7 +52,13 @@ def _active_checkpoint_dir() -> str | None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir`` when one is set; only
     when it is unset (local tests) pick a scratch folder of our own."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
+        cur = spark.conf.get("spark.checkpoint.dir", None)
+        if not cur:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return cur
     cur = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
         cur = tempfile.mkdtemp(prefix="quad-ckpt-", dir=os.environ.get("QUAD_SCRATCH", "/tmp"))

@@ -101,3 +101,14 @@ def test_first_pages_limit_before_the_shuffle(spark):
     partial = p.find("row_number(), 20, Partial")
     exchange = p.rfind("Exchange hashpartitioning(etudiant_id")
     assert partial > exchange > 0   # the partial limit sits below (after, in text) the exchange
+
+
+def test_keyset_page_equals_offset_page(campus):
+    c = campus
+    rows = listing.students_rows(c.etudiants, c.departements)
+    order = listing._student_order()
+    first = listing.page_of(rows, order, 1, 10).collect()
+    last = first[-1]
+    nxt = listing.after_key(rows, order, ["nom", "prenom", "id"],
+                            (last.nom, last.prenom, last.id), 10).collect()
+    assert [r.id for r in nxt] == [r.id for r in listing.page_of(rows, order, 2, 10).collect()]
