@@ -113,9 +113,55 @@ def _check_page(page: int, limit: int):
         raise ValueError(f"page must be an integer >= 1, got {page!r}")
 
 
+# Above this many rows to skip, a page is cut from range partitions instead of
+# a top-k that would hold offset+limit rows in every task.
+DEEP_OFFSET = 100_000
+
+
 def page_of(rows: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
+    """Rows ``(page-1)*limit .. page*limit`` of ``rows`` in ``order``.
+
+    Shallow pages are ``orderBy().offset().limit()`` (TakeOrderedAndProject:
+    each task keeps offset+limit rows).  Deep pages use :func:`deep_page`."""
     _check_page(page, limit)
-    return rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    offset = (page - 1) * limit
+    if offset + limit > DEEP_OFFSET:
+        return deep_page(rows, order, offset, limit)
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def deep_page(rows: DataFrame, order: list[Column], offset: int, limit: int,
+              partitions: int | None = None) -> DataFrame:
+    """A page far into a large listing, without gathering the skipped rows:
+    the rows are range-partitioned on the sort order and written once to the
+    shared checkpoint folder (so the partitioning is fixed), rows are counted
+    per partition (one row per partition through the driver), and only the
+    partitions overlapping ``[offset, offset+limit)`` are read, numbered
+    within the partition and cut.  The sort ends with the primary key, so
+    range boundaries never split equal keys unevenly."""
+    from pyspark.sql import Window
+
+    from ..plans.materialize import materialize
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("_pid", F.spark_partition_id()), "deep-page")
+    counts = sorted((r["_pid"], r["n"]) for r in
+                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    start, wanted = 0, []
+    for pid, cnt in counts:
+        lo, hi = start, start + cnt
+        if hi > offset and lo < offset + limit:
+            wanted.append((pid, lo))
+        start = hi
+    if not wanted:
+        return rows.limit(0)
+    base = F.create_map(*[x for pid, lo in wanted for x in (F.lit(pid), F.lit(lo))])
+    w = Window.partitionBy("_pid").orderBy(*order)
+    part = (ranged.filter(F.col("_pid").isin([p for p, _ in wanted]))
+            .withColumn("_pos", base[F.col("_pid")] + F.row_number().over(w) - 1))
+    return (part.filter((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit))
+            .orderBy("_pos").drop("_pid", "_pos"))
 
 
 def pagination(base: DataFrame, page: int, limit: int) -> DataFrame:

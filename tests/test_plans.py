@@ -112,3 +112,14 @@ def test_keyset_page_equals_offset_page(campus):
     nxt = listing.after_key(rows, order, ["nom", "prenom", "id"],
                             (last.nom, last.prenom, last.id), 10).collect()
     assert [r.id for r in nxt] == [r.id for r in listing.page_of(rows, order, 2, 10).collect()]
+
+
+def test_deep_page_equals_offset_page(spark):
+    from quadrangle.operators.listing import deep_page
+    rows = spark.range(0, 5000).select((F.col("id") % 97).alias("k"), F.col("id"))
+    order = [F.col("k").asc(), F.col("id").asc()]
+    want = [r.id for r in rows.orderBy(*order).offset(3210).limit(25).collect()]
+    got = [r.id for r in deep_page(rows, order, 3210, 25, partitions=7).collect()]
+    assert got == want
+    assert deep_page(rows, order, 4990, 25, partitions=7).count() == 10
+    assert deep_page(rows, order, 6000, 25, partitions=7).count() == 0
