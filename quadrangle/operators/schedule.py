@@ -160,8 +160,10 @@ def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
     ``conflit``).  Exact and skew-safe: all rows of one interval class share
     their conflicts, so only the first row of a class can be accepted; the
     ordered pass runs over those contenders only, per room-day."""
+    from ..session import ship_package
     from .quality import RULES, ParentCheck, check_parents, validate
 
+    ship_package(batch.sparkSession)  # the pandas pass runs in Python workers
     v = validate(batch, RULES["timetable"])
     v = check_parents(v, [ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",))],
                       reason_col="_course_reason")
