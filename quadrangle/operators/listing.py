@@ -58,12 +58,13 @@ def equals_cond(col: str, v, integer: bool = False) -> Column:
 
 
 def date_range_cond(col: str, lo=None, hi=None) -> Column | None:
-    """inclusive range, each bound optional."""
+    """inclusive range, each bound optional; a bound that is not a date
+    matches nothing (``try_cast``) instead of raising."""
     conds = []
     if _given(lo):
-        conds.append(F.col(col) >= F.lit(lo).cast("date"))
+        conds.append(F.col(col) >= F.lit(str(lo)).try_cast("date"))
     if _given(hi):
-        conds.append(F.col(col) <= F.lit(hi).cast("date"))
+        conds.append(F.col(col) <= F.lit(str(hi)).try_cast("date"))
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 

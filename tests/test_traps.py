@@ -193,3 +193,12 @@ def test_x5_grade_bands(spark):
     df = spark.createDataFrame([(x,) for x in (16.0, 15.9, 14.0, 12.0, 10.0, 9.99)], "n double")
     assert [r.b for r in df.select(X.grade_band("n").alias("b")).collect()] == [
         "Très bien", "Bien", "Bien", "Assez bien", "Passable", "Insuffisant"]
+
+
+def test_f5_date_bounds_inclusive_and_malformed(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 31)),
+                                (3, dt.date(2024, 2, 1))], "id long, date_absence date")
+    got = listing.absences_base(df, date_debut="2024-01-01", date_fin="2024-01-31")
+    assert sorted(r.id for r in got.collect()) == [1, 2]
+    assert listing.absences_base(df, date_debut="not-a-date").count() == 0
+    assert listing.absences_base(df, date_debut="", date_fin=None).count() == 3
