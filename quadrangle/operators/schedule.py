@@ -187,3 +187,50 @@ def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
     return (out.withColumn("reason", reason)
             .withColumn("accepted", F.col("reason").isNull())
             .drop("_course_ok"))
+
+
+def update_sessions(sessions: DataFrame, changes: DataFrame, seq: str = "seq",
+                    numeric: bool = False):
+    """W4 for the timetable: rules (V6), the row exists, then the new slot
+    must not conflict with any *other* stored session (``id != ?``, F8);
+    accepted changes replace all slot columns (T19).  Checked against the
+    table as it stands before the batch.
+
+    Class-level as in :func:`session_conflicts`: the new slot's class is
+    matched against the stored classes, and the row's own stored slot is
+    taken off when it is among the matches."""
+    from .changes import ChangeSet, full_update
+    from .quality import RULES, validate
+
+    v = validate(changes, RULES["timetable"])
+    ids = sessions.select(F.col("id").alias("_exists"), F.col("salle").alias("_o_salle"),
+                          F.col("jour").alias("_o_jour"), F.col("heure_debut").alias("_o_a"),
+                          F.col("heure_fin").alias("_o_b"))
+    v = v.join(ids, v["id"] == ids["_exists"], "left")
+    ok = v.filter((F.size("errors") == 0) & F.col("_exists").isNotNull())
+    cand = _keys(ok.select(*CLASS).distinct(), numeric)
+    hits = (class_matches(cand, interval_classes(sessions, numeric))
+            .groupBy(*[f"c_{k}" for k in CLASS]).agg(F.sum("n").alias("_hits"))
+            .select(*[F.col(f"c_{k}").alias(k) for k in CLASS], "_hits"))
+    counts = ok.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_n"))
+    per_class = counts.join(hits, CLASS, "left")
+    v = annotate(v, per_class, CLASS, "_n", F.col(seq))
+    if numeric:
+        oa, ob = time_minutes("_o_a"), time_minutes("_o_b")
+        na, nb = time_minutes("heure_debut"), time_minutes("heure_fin")
+    else:
+        oa, ob, na, nb = (F.col("_o_a"), F.col("_o_b"), F.col("heure_debut"),
+                          F.col("heure_fin"))
+    own = ((F.col("_o_salle") == F.col("salle")) & (F.col("_o_jour") == F.col("jour"))
+           & conflict_cond(oa, ob, na, nb))
+    others = F.coalesce(F.col("_hits"), F.lit(0)) - F.when(F.coalesce(own, F.lit(False)), 1) \
+        .otherwise(0)
+    reason = (F.when(F.size("errors") > 0, F.lit("invalide"))
+              .when(F.col("_exists").isNull(), F.lit("introuvable"))
+              .when(others > 0, F.lit("conflit")))
+    v = v.withColumn("reason", reason).drop("_exists", "_o_salle", "_o_jour", "_o_a", "_o_b",
+                                             "_hits")
+    accepted = v.filter(F.col("reason").isNull()).drop("errors", "reason")
+    cols = ["cours_id", "jour", "heure_debut", "heure_fin", "salle", "type_seance"]
+    upd = full_update(sessions, accepted, cols, "emplois_temps", seq=seq, unique=[])
+    return ChangeSet(upd.table, upd.accepted, v.filter(F.col("reason").isNotNull()), v)

@@ -131,3 +131,32 @@ def test_conflict_listing_excludes_the_session_itself(spark):
     assert pairs == {(1, 2), (2, 1)}
     flags = {r.cand_id: r.hasConflits for r in schedule.has_conflicts(cand, s, courses).collect()}
     assert flags == {1: True, 2: True}
+
+
+def test_update_sessions_checks_other_rows_only(spark):
+    base = [
+        {"id": 1, "seq": 0, "cours_id": 1, "jour": "Lundi", "heure_debut": "8:00",
+         "heure_fin": "10:00", "salle": "S1", "type_seance": "tp"},
+        {"id": 2, "seq": 0, "cours_id": 1, "jour": "Lundi", "heure_debut": "10:00",
+         "heure_fin": "12:00", "salle": "S1", "type_seance": "tp"},
+    ]
+    changes = [
+        # moves within its own slot: conflicts only with itself -> accepted
+        {"id": 1, "seq": 1, "cours_id": 1, "jour": "Lundi", "heure_debut": "8:30",
+         "heure_fin": "9:30", "salle": "S1", "type_seance": "td"},
+        # moves onto session 1 -> conflict with another row
+        {"id": 2, "seq": 2, "cours_id": 1, "jour": "Lundi", "heure_debut": "8:00",
+         "heure_fin": "9:00", "salle": "S1", "type_seance": "tp"},
+        # unknown row
+        {"id": 9, "seq": 3, "cours_id": 1, "jour": "Lundi", "heure_debut": "8:00",
+         "heure_fin": "9:00", "salle": "S2", "type_seance": "tp"},
+        # invalid day
+        {"id": 2, "seq": 4, "cours_id": 1, "jour": "lundi", "heure_debut": "8:00",
+         "heure_fin": "9:00", "salle": "S2", "type_seance": "tp"},
+    ]
+    cs = schedule.update_sessions(spark.createDataFrame(base, SCHEMA),
+                                  spark.createDataFrame(changes, SCHEMA))
+    assert {r.seq: r.reason for r in cs.report.collect()} == {
+        1: None, 2: "conflit", 3: "introuvable", 4: "invalide"}
+    t = {r.id: (r.heure_debut, r.type_seance) for r in cs.table.collect()}
+    assert t == {1: ("8:30", "td"), 2: ("10:00", "tp")}
