@@ -93,3 +93,23 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def scale_settings(input_bytes: int, total_cores: int,
+                   target_partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Settings sized to the data for a cluster run: enough shuffle
+    partitions that each holds about ``target_partition_bytes`` of the input
+    (AQE coalesces the small ones and splits skewed join partitions), scans
+    split at the same size, and advisory post-shuffle sizes to match - so a
+    task's working set stays well under executor memory and spills stay
+    rare.  Pass to ``build_session(extra=...)`` or the cluster's config."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes":
+            str(4 * target_partition_bytes),
+    }

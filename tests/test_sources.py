@@ -23,3 +23,10 @@ def test_materialize_and_read_back(spark, campus):
     r2 = sorted(map(tuple, reports.department_breakdown(
         campus.departements, campus.etudiants, campus.professeurs, campus.cours).collect()))
     assert r1 == r2
+
+
+def test_scale_settings_for_100_tb():
+    from quadrangle.session import scale_settings
+    s = scale_settings(100 * 1024 ** 4, total_cores=8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 819200
+    assert scale_settings(10 * 1024 ** 2, total_cores=8)["spark.sql.shuffle.partitions"] == "16"
