@@ -344,3 +344,16 @@ def _absence_append_check(c):
 
 
 register("absence_append_check", checks_sql.ABSENCE_APPEND_CHECK)(_absence_append_check)  # W1-W3
+
+
+def _scholarship_submission(c):
+    """Every stored request submitted again as a batch (V10 rules, then
+    insert with 'En attente'); the report lists each row's verdict."""
+    batch = c.demandes_bourse.withColumn("seq", F.col("id")).drop("id", "statut",
+                                                                   "dateSoumission")
+    cs = changes.submit_scholarships(c.demandes_bourse, batch, as_of="2024-01-01 00:00:00")
+    return cs.report.select("seq", "reason")
+
+
+register("scholarship_submission_check", checks_sql.SCHOLARSHIP_SUBMISSION_CHECK)(  # W11
+    _scholarship_submission)

@@ -252,3 +252,13 @@ SELECT r.seq,
 FROM r LEFT JOIN firsts f ON r.etudiant_id = f.etudiant_id AND r.cours_id = f.cours_id
                          AND r.date_absence = f.date_absence
 """
+
+
+SCHOLARSHIP_SUBMISSION_CHECK = """
+SELECT id AS seq,
+       CASE WHEN NOT (COALESCE(length(nom), 0) > 0 AND COALESCE(length(prenoms), 0) > 0
+                      AND COALESCE(length(telephone), 0) > 0 AND COALESCE(length(email), 0) > 0
+                      AND COALESCE(length(serieBac), 0) > 0 AND moyenneBac IS NOT NULL)
+            THEN 'invalide' END AS reason
+FROM demandes_bourse
+"""
