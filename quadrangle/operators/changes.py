@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import doc_number, parse_bool
-from ..sources.schemas import SCHEMAS, UNIQUE_KEYS, conform, typed, with_defaults
+from ..sources.schemas import UNIQUE_KEYS, conform, typed, with_defaults
 from ..plans.materialize import materialize
 from .quality import (RULES, ParentCheck, check_parents, check_unique, check_unique_multi,
                       validate)
@@ -382,7 +382,3 @@ def submit_scholarships(requests: DataFrame, batch: DataFrame, seq: str = "seq",
     'En attente' and the submission time."""
     return append_valid(requests, batch, "demandes_bourse", "scholarship", [], unique=[],
                         seq=seq, as_of=as_of)
-
-
-def _schema_cols(name: str) -> list[str]:
-    return [f.name for f in SCHEMAS[name].fields]

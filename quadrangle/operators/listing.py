@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import ascii_lower, ceil_div, like_term, param_long, parse_bool
+from ..functions.expr import ascii_lower, ceil_div, like_term, param_long
 
 _ASCII_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -511,11 +511,6 @@ def scholarship_requests(requests) -> DataFrame:
     return requests.orderBy(_desc("dateSoumission"), F.col("id"))
 
 
-def parse_flag(v):
-    """Helper for callers that receive text flags: see :func:`parse_bool`."""
-    return parse_bool(F.lit(v))
-
-
 # -- per-entity first pages in bulk ------------------------------------------------------------
 def first_page_per(rows: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
     """The first page of every entity at once (e.g. each student's 20 latest

@@ -267,17 +267,6 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
 
 
 # -- W3: uniqueness, first by seq wins ----------------------------------------------------
-def first_in_batch(batch: DataFrame, key: list[str], seq: str = "seq",
-                   out: str = "_first") -> DataFrame:
-    """Flag the first row (smallest ``seq``) of each key within the batch.
-    The minimum is a partial+final aggregation (a hot key is combined
-    map-side), joined back on (key, seq) - no window over a hot key."""
-    firsts = (batch.groupBy(*key).agg(F.min(seq).alias(seq))
-              .withColumn(out, F.lit(True)))
-    j = batch.join(firsts, [*key, seq], "left")
-    return j.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-
-
 def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None,
                  seq: str = "seq", reason_col: str = "reason",
                  base_reason: str = "doublon", batch_reason: str = "doublon_lot",
