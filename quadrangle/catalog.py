@@ -183,7 +183,7 @@ register("scholarship_requests", S.SCHOLARSHIPS)(
 
 # -- timetable conflicts (J9, F11, C1) and booking (W13) ---------------------------------
 register("session_conflicts", checks_sql.SESSION_CONFLICTS)(                        # C1
-    lambda c: schedule.session_conflicts(c.emplois_temps))
+    lambda c: schedule.session_conflicts(c.emplois_temps, courses=c.cours))
 
 
 def _exam_candidates(c):

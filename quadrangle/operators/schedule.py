@@ -56,28 +56,38 @@ def class_matches(cand_classes: DataFrame, stored_classes: DataFrame) -> DataFra
     return c.join(s, on, "inner")
 
 
-def session_conflicts(sessions: DataFrame, numeric: bool = False, skew_safe: bool = True
-                      ) -> DataFrame:
+def session_conflicts(sessions: DataFrame, numeric: bool = False, skew_safe: bool = True,
+                      courses: DataFrame | None = None) -> DataFrame:
     """C1 for every stored session at once: the number of *other* sessions
     it conflicts with (as a candidate, ``emploi_id`` = itself) and the flag.
 
+    With ``courses`` given, only stored sessions whose course exists count,
+    as the checker lists conflicts through an inner join to the course.
     Every non-NULL session matches its own class (arm three), so one is
-    taken off for the session itself."""
-    classes = interval_classes(sessions, numeric)
-    m = class_matches(classes, classes)
+    taken off for the session itself when it is among the stored ones."""
+    s = _keys(sessions, numeric)
+    if courses is not None:
+        ids = courses.select(F.col("id").alias("cours_id")).withColumn("_own", F.lit(True))
+        s = s.join(ids, "cours_id", "left")
+        stored = s.filter(F.col("_own").isNotNull())
+        own_stored = F.col("_own").isNotNull()
+    else:
+        stored = s
+        own_stored = F.lit(True)
+    cand_classes = interval_classes(sessions, numeric)
+    m = class_matches(cand_classes, interval_classes(stored, numeric))
     per_class = m.groupBy(*[f"c_{k}" for k in CLASS]).agg(F.sum("n").alias("_hits"))
     per_class = per_class.select(*[F.col(f"c_{k}").alias(k) for k in CLASS], "_hits")
-    per_class = classes.select(*CLASS, F.col("n").alias("_n")).join(per_class, CLASS, "left")
+    per_class = cand_classes.select(*CLASS, F.col("n").alias("_n")).join(per_class, CLASS, "left")
     self_hit = conflict_cond(F.col("_a"), F.col("_b"), F.col("_a"), F.col("_b"))
-    s = _keys(sessions, numeric)
     # a class holding many sessions is joined back with its rows salted
     out = annotate(s, per_class, CLASS, "_n", F.col("id"), skew_safe)
     nb = (F.coalesce(F.col("_hits"), F.lit(0))
-          - F.when(F.coalesce(self_hit, F.lit(False)) & F.col("_hits").isNotNull(), 1)
-          .otherwise(0)).cast("bigint")
+          - F.when(F.coalesce(self_hit, F.lit(False)) & own_stored
+                   & F.col("_hits").isNotNull(), 1).otherwise(0)).cast("bigint")
     return (out.withColumn("nb_conflits", nb)
             .withColumn("hasConflits", F.col("nb_conflits") > 0)
-            .drop("_hits", "_a", "_b"))
+            .drop("_hits", "_a", "_b", "_own"))
 
 
 def conflicts(candidates: DataFrame, sessions: DataFrame, courses: DataFrame,

@@ -6,9 +6,10 @@ ARMS = """((s.heure_debut <= c.heure_debut AND s.heure_fin > c.heure_debut) OR
         (s.heure_debut >= c.heure_debut AND s.heure_fin <= c.heure_fin))"""
 
 SESSION_CONFLICTS = f"""
+WITH s AS (SELECT e.* FROM emplois_temps e JOIN cours co ON e.cours_id = co.id)
 SELECT c.*, COUNT(s.id) AS nb_conflits, COUNT(s.id) > 0 AS hasConflits
 FROM emplois_temps c
-LEFT JOIN emplois_temps s
+LEFT JOIN s
   ON s.salle = c.salle AND s.jour = c.jour AND s.id != c.id AND {ARMS}
 GROUP BY ALL
 """

@@ -160,3 +160,16 @@ def test_update_sessions_checks_other_rows_only(spark):
         1: None, 2: "conflit", 3: "introuvable", 4: "invalide"}
     t = {r.id: (r.heure_debut, r.type_seance) for r in cs.table.collect()}
     assert t == {1: ("8:30", "td"), 2: ("10:00", "tp")}
+
+
+def test_session_conflicts_ignore_sessions_of_missing_courses(spark):
+    rows = [{"id": 1, "seq": 1, "cours_id": 1, "jour": "Lundi", "heure_debut": "8:00",
+             "heure_fin": "9:00", "salle": "S1", "type_seance": "tp"},
+            {"id": 2, "seq": 2, "cours_id": 99, "jour": "Lundi", "heure_debut": "8:00",
+             "heure_fin": "9:00", "salle": "S1", "type_seance": "tp"},
+            {"id": 3, "seq": 3, "cours_id": 1, "jour": "Lundi", "heure_debut": "8:30",
+             "heure_fin": "9:30", "salle": "S1", "type_seance": "tp"}]
+    s = spark.createDataFrame(rows, SCHEMA)
+    courses = spark.createDataFrame([(1,)], "id long")
+    got = {r.id: r.nb_conflits for r in schedule.session_conflicts(s, courses=courses).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}   # session 2 (no course) is never counted as a conflict
