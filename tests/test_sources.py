@@ -30,3 +30,24 @@ def test_scale_settings_for_100_tb():
     s = scale_settings(100 * 1024 ** 4, total_cores=8000)
     assert int(s["spark.sql.shuffle.partitions"]) == 819200
     assert scale_settings(10 * 1024 ** 2, total_cores=8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_bucketed_facts_join_without_shuffle(spark, campus):
+    from pyspark.sql import functions as F
+    root = tempfile.mkdtemp(prefix="quad-bucketed-") + "/campus"
+    materialize(campus, root, ["notes", "absences", "cours"], buckets=8, database="campus_b")
+    t = CampusTables(spark, root, database="campus_b")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_student = t.notes.groupBy("etudiant_id").agg(F.count(F.lit(1)).alias("n_notes"))
+        abs_student = t.absences.groupBy("etudiant_id").agg(F.count(F.lit(1)).alias("n_abs"))
+        j = per_student.join(abs_student, "etudiant_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan          # co-partitioned: no shuffle at all
+        a = sorted(map(tuple, j.collect()))
+        n = campus.notes.groupBy("etudiant_id").agg(F.count(F.lit(1)).alias("n_notes"))
+        b = campus.absences.groupBy("etudiant_id").agg(F.count(F.lit(1)).alias("n_abs"))
+        assert a == sorted(map(tuple, n.join(b, "etudiant_id").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
