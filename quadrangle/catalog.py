@@ -357,3 +357,13 @@ def _scholarship_submission(c):
 
 register("scholarship_submission_check", checks_sql.SCHOLARSHIP_SUBMISSION_CHECK)(  # W11
     _scholarship_submission)
+
+
+def _session_resave(c):
+    """W4 for the timetable: every stored session re-saved unchanged as an
+    update - rejected only where another stored session conflicts."""
+    ch = c.emplois_temps.withColumn("seq", F.col("id"))
+    return schedule.update_sessions(c.emplois_temps, ch).report.select("seq", "reason")
+
+
+register("session_resave_check", checks_sql.SESSION_RESAVE_CHECK)(_session_resave)  # W4

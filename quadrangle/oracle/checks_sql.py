@@ -263,3 +263,13 @@ SELECT id AS seq,
             THEN 'invalide' END AS reason
 FROM demandes_bourse
 """
+
+
+SESSION_RESAVE_CHECK = f"""
+SELECT c.id AS seq,
+       CASE WHEN EXISTS (SELECT 1 FROM emplois_temps s
+                         WHERE s.salle = c.salle AND s.jour = c.jour AND s.id != c.id
+                           AND {ARMS})
+            THEN 'conflit' END AS reason
+FROM emplois_temps c
+"""
