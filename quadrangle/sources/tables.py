@@ -31,7 +31,7 @@ class CampusTables:
         self.database = database
 
     def table(self, name: str) -> DataFrame:
-        if self.database and self.spark.catalog.tableExists(name, self.database):
+        if self.database and self.spark.catalog.tableExists(f"{self.database}.{name}"):
             return conform(self.spark.table(f"{self.database}.{name}"), name)
         return read_table(self.spark, self.root, name)
 
@@ -61,7 +61,8 @@ def materialize(campus, root: str, names=None, partition_by: dict | None = None,
     partition_by = partition_by or {}
     bucket_by = STUDENT_BUCKETED if bucket_by is None else bucket_by
     if buckets and database:
-        campus.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        campus.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} "
+                         f"LOCATION '{root.rstrip('/')}/_catalog'")
     for name in names or SCHEMAS:
         df = conform(campus.table(name), name)
         path = f"{root.rstrip('/')}/{name}"
