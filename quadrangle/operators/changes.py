@@ -42,15 +42,12 @@ class ChangeSet:
     report: DataFrame | None = None
 
 
-def _max_id(base: DataFrame) -> int:
-    """The largest id of ``base`` - one scalar through the driver."""
-    v = base.agg(F.max("id")).first()[0]
-    return int(v or 0)
-
-
 def assign_ids(accepted: DataFrame, base: DataFrame, seq: str = "seq") -> DataFrame:
-    """AUTOINCREMENT ids for accepted rows (see module doc)."""
-    return accepted.withColumn("id", F.lit(_max_id(base)) + F.col(seq).cast("bigint"))
+    """AUTOINCREMENT ids for accepted rows (see module doc).  ``max(id)`` of
+    the table is a scalar subquery (partial + final aggregate, evaluated
+    once when the plan runs) - nothing is computed while the plan is built."""
+    top = F.coalesce(base.agg(F.max("id")).scalar(), F.lit(0).cast("bigint"))
+    return accepted.withColumn("id", top + F.col(seq).cast("bigint"))
 
 
 def _split(df: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]:
