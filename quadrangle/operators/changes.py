@@ -261,8 +261,6 @@ def justify_absences(absences: DataFrame, changes: DataFrame, seq: str = "seq")
     ``motif`` set only when the change carries a ``motif_given`` flag or a
     non-NULL motif."""
     ch = changes
-    if dict(ch.dtypes).get("justifiee") == "string":
-        ch = ch.withColumn("_raw_j", F.col("justifiee"))
     present = {"justifiee": F.lit(True)}
     if "motif_given" in ch.columns:
         present["motif"] = F.col("motif_given")

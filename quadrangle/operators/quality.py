@@ -226,19 +226,31 @@ class ParentCheck:
     parent_cols: tuple[str, ...]
 
 
+def key_flag(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
+             flag: str, spread: Column, skew_safe: bool = True,
+             checkpoint: bool = True) -> DataFrame:
+    """Add ``flag`` (TRUE or NULL): whether the row's key ``cols`` occurs in
+    ``other`` (as ``other_cols``).  Decided per *key*: ``out`` is reduced to
+    its distinct keys with row counts (partial + final aggregation), those
+    are left-joined to ``other``'s distinct keys - one row per key on each
+    side - and the verdict is joined back with hot keys salted."""
+    notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    need = out.filter(notnull).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    keys = (other.select(*[F.col(o).alias(c) for o, c in zip(other_cols, cols)])
+            .distinct().withColumn(flag, F.lit(True)))
+    return annotate(out, need.join(keys, cols, "left"), cols, "_n", spread, skew_safe,
+                    checkpoint=checkpoint)
+
+
 def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str = "reason",
                   prior: Column | None = None, skew_safe: bool = True) -> DataFrame:
     """Report the first failing parent check per batch row
     (``prior``, e.g. the validation verdict, takes precedence).
 
-    Existence is decided per *key*, not per row: the batch is reduced to its
-    distinct foreign keys with their row counts (partial + final
-    aggregation), those are left-joined to the parent's distinct keys - a
-    key-level join, one row per key on each side - and the verdict is joined
-    back onto the rows with hot keys salted (:func:`plans.skew.annotate`).
-    With ``skew_safe`` and several checks, the batch is checkpointed first so
-    the per-check aggregations read it instead of recomputing its lineage.
-    Integer keys coming as text are ``try_cast``."""
+    Existence is decided per key (:func:`key_flag`).  With ``skew_safe``
+    and several checks, the batch is written once to the shared checkpoint
+    folder so the per-check aggregations read it instead of recomputing its
+    lineage.  Integer keys coming as text are ``try_cast``."""
     out = batch
     for ch in checks:
         for b, pcol in zip(ch.batch_cols, ch.parent_cols):
@@ -251,14 +263,8 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
     spread = F.xxhash64(*[F.col(c) for c in out.columns])
     flags = []
     for i, ch in enumerate(checks):
-        bcols = list(ch.batch_cols)
-        notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in bcols])
-        need = out.filter(notnull).groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
-        pk = (ch.parent.select(*[F.col(p).alias(b) for p, b in zip(ch.parent_cols, bcols)])
-              .distinct().withColumn(f"_hit{i}", F.lit(True)))
-        verdict = need.join(pk, bcols, "left")
-        out = annotate(out, verdict, bcols, "_n", spread, skew_safe,
-                       checkpoint=not materialized)
+        out = key_flag(out, ch.parent, list(ch.batch_cols), list(ch.parent_cols), f"_hit{i}",
+                       spread, skew_safe, checkpoint=not materialized)
         flags.append((ch.reason, F.col(f"_hit{i}").isNull()))
     reason = prior if prior is not None else F.lit(None).cast("string")
     for r, failed in flags:
@@ -283,14 +289,15 @@ def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None
     elig = F.col(reason_col).isNull() if eligible is None else eligible
     notnull = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
     out = batch
+    # one row per key: first eligible seq, row count, and whether the table
+    # already holds the key (a key-level property, joined at the key level)
+    firsts = out.filter(notnull).groupBy(*key).agg(
+        F.min(F.when(elig, F.col(seq))).alias("_min_seq"), F.count(F.lit(1)).alias("_n"))
     if base is not None:
         bk = base.select(*key).distinct().withColumn("_in_base", F.lit(True))
-        out = out.join(bk, key, "left")
+        firsts = firsts.join(bk, key, "left")
     else:
-        out = out.withColumn("_in_base", F.lit(None).cast("boolean"))
-    firsts = out.filter(notnull).groupBy(*key).agg(
-        F.min(F.when(elig & F.col("_in_base").isNull(), F.col(seq))).alias("_min_seq"),
-        F.count(F.lit(1)).alias("_n"))
+        firsts = firsts.withColumn("_in_base", F.lit(None).cast("boolean"))
     out = annotate(out, firsts, key, "_n", F.col(seq), skew_safe)
     reason = F.coalesce(
         F.col(reason_col),
@@ -322,8 +329,7 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     cur = batch
     for i, k in enumerate(keys):
         if base is not None:
-            bk = base.select(*k).distinct().withColumn(f"_b{i}", F.lit(True))
-            cur = cur.join(bk, k, "left")
+            cur = key_flag(cur, base, k, k, f"_b{i}", F.col(seq))
             notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
             cur = cur.withColumn(reason_col, F.coalesce(
                 F.col(reason_col), F.when(notnull & F.col(f"_b{i}").isNotNull(),
