@@ -203,7 +203,7 @@ def full_update(base: DataFrame, changes: DataFrame, cols: list[str], name: str,
     v = typed(v, name)
     reason = F.when(F.size("errors") > 0, F.lit("invalide"))
     if require_exists:
-        ids = base.select(F.col(key).alias("_exists")).distinct()
+        ids = base.select(F.col(key).alias("_exists"))  # primary key: no distinct needed
         v = v.join(ids, v[key] == ids["_exists"], "left")
         reason = F.coalesce(reason, F.when(F.col("_exists").isNull(), F.lit("introuvable")))
         v = v.withColumn("reason", reason).drop("_exists")
@@ -238,7 +238,7 @@ def partial_update(base: DataFrame, changes: DataFrame, cols: list[str], key: st
     status change sets ``statut``.  Unknown keys are rejected."""
     present = present or {}
     v = validate(changes, RULES[rules]) if rules else changes.withColumn("errors", F.array())
-    ids = base.select(F.col(key).alias("_exists")).distinct()
+    ids = base.select(F.col(key).alias("_exists"))  # primary key: no distinct needed
     v = v.join(ids, v[key] == ids["_exists"], "left")
     v = v.withColumn("reason", F.coalesce(
         F.when(F.size("errors") > 0, F.lit("invalide")),
