@@ -40,6 +40,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 
 
+def campus_queries() -> dict[str, Callable]:
+    """The registered plans as functions of a campus-like object (fixture
+    adapter or stored tables)."""
+    _load()
+    return dict(_QUERIES)
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_ORACLES)
