@@ -367,3 +367,7 @@ def _session_resave(c):
 
 
 register("session_resave_check", checks_sql.SESSION_RESAVE_CHECK)(_session_resave)  # W4
+register("department_professors_first_pages", S.DEPARTMENT_PROFESSORS_FIRST_PAGES)(  # L10
+    lambda c: Q.department_professors_first_pages(c.professeurs, c.departements))
+register("department_courses_first_pages", S.DEPARTMENT_COURSES_FIRST_PAGES)(        # L11
+    lambda c: Q.department_courses_first_pages(c.cours, c.departements, c.professeurs))

@@ -540,3 +540,18 @@ def department_children_first_pages(students, depts, limit=PAGE_SIZE["department
     """L9 in bulk: page one of every department's students (nom, prenom)."""
     rows = students_rows(students.filter(F.col("departement_id").isNotNull()), depts)
     return first_page_per(rows, "departement_id", _student_order(), limit)
+
+
+def department_professors_first_pages(profs, depts, limit=PAGE_SIZE["department_children"]
+                                      ) -> DataFrame:
+    """L10 in bulk: page one of every department's professors (nom, prenom)."""
+    rows = _join(profs.filter(F.col("departement_id").isNotNull()), _dept_name(depts),
+                 "departement_id", "_d_id", "left")
+    return first_page_per(rows, "departement_id", _asc("nom", "prenom", "id"), limit)
+
+
+def department_courses_first_pages(courses, depts, profs,
+                                   limit=PAGE_SIZE["department_children"]) -> DataFrame:
+    """L11 in bulk: page one of every department's courses (nom)."""
+    rows = courses_rows(courses.filter(F.col("departement_id").isNotNull()), depts, profs)
+    return first_page_per(rows, "departement_id", _asc("nom", "id"), limit)
