@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from ..plans.skew import annotate
+from ..plans.skew import annotate, heavy_hitters_many, salted_left_join
 
 TIME_PATTERN = r"^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -226,20 +226,26 @@ class ParentCheck:
     parent_cols: tuple[str, ...]
 
 
-def key_flag(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
-             flag: str, spread: Column, skew_safe: bool = True,
-             checkpoint: bool = True) -> DataFrame:
-    """Add ``flag`` (TRUE or NULL): whether the row's key ``cols`` occurs in
-    ``other`` (as ``other_cols``).  Decided per *key*: ``out`` is reduced to
-    its distinct keys with row counts (partial + final aggregation), those
-    are left-joined to ``other``'s distinct keys - one row per key on each
-    side - and the verdict is joined back with hot keys salted."""
+def key_verdict(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
+                flag: str) -> DataFrame:
+    """One row per distinct key of ``out`` with its row count ``_n`` and
+    ``flag`` (TRUE when ``other`` holds the key): partial + final
+    aggregation, then a key-level join - one row per key on each side."""
     notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     need = out.filter(notnull).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     keys = (other.select(*[F.col(o).alias(c) for o, c in zip(other_cols, cols)])
             .distinct().withColumn(flag, F.lit(True)))
-    return annotate(out, need.join(keys, cols, "left"), cols, "_n", spread, skew_safe,
-                    checkpoint=checkpoint)
+    return need.join(keys, cols, "left")
+
+
+def key_flag(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
+             flag: str, spread: Column, skew_safe: bool = True,
+             checkpoint: bool = True) -> DataFrame:
+    """Add ``flag`` (TRUE or NULL): whether the row's key ``cols`` occurs in
+    ``other`` (as ``other_cols``), decided per key (:func:`key_verdict`) and
+    joined back with hot keys salted."""
+    return annotate(out, key_verdict(out, other, cols, other_cols, flag), cols, "_n", spread,
+                    skew_safe, checkpoint=checkpoint)
 
 
 def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str = "reason",
@@ -261,10 +267,16 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
     if materialized:
         out = materialize(out, "checked-batch")
     spread = F.xxhash64(*[F.col(c) for c in out.columns])
+    verdicts = [key_verdict(out, ch.parent, list(ch.batch_cols), list(ch.parent_cols),
+                            f"_hit{i}") for i, ch in enumerate(checks)]
+    if skew_safe and not materialized:
+        verdicts = [materialize(v, "per-key") for v in verdicts]
+    hots = (heavy_hitters_many([(v, list(ch.batch_cols), "_n")
+                                for v, ch in zip(verdicts, checks)])
+            if skew_safe else [None] * len(checks))
     flags = []
-    for i, ch in enumerate(checks):
-        out = key_flag(out, ch.parent, list(ch.batch_cols), list(ch.parent_cols), f"_hit{i}",
-                       spread, skew_safe, checkpoint=not materialized)
+    for i, (ch, v, hot) in enumerate(zip(checks, verdicts, hots)):
+        out = salted_left_join(out, v.drop("_n"), list(ch.batch_cols), hot, spread)
         flags.append((ch.reason, F.col(f"_hit{i}").isNull()))
     reason = prior if prior is not None else F.lit(None).cast("string")
     for r, failed in flags:

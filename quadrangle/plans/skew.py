@@ -28,6 +28,38 @@ DEFAULT_MIN_ROWS = 200_000
 DEFAULT_SALTS = 64
 
 
+def _limits(spark, max_keys: int, min_rows: int) -> tuple[int, int]:
+    conf = spark.conf
+    return (int(conf.get("quadrangle.skew.maxKeys", str(max_keys))),
+            int(conf.get("quadrangle.skew.minRows", str(min_rows))))
+
+
+def heavy_hitters_many(frames: list[tuple[DataFrame, list[str], str]],
+                       max_keys: int = DEFAULT_MAX_KEYS, min_rows: int = DEFAULT_MIN_ROWS
+                       ) -> list[DataFrame | None]:
+    """:func:`heavy_hitters` for several per-key frames in one small job (the
+    totals and largest counts of all frames come back together)."""
+    if not frames:
+        return []
+    spark = frames[0][0].sparkSession
+    max_keys, min_rows = _limits(spark, max_keys, min_rows)
+    stats = None
+    for i, (counts, _, count_col) in enumerate(frames):
+        one = counts.agg(F.lit(i).alias("_i"), F.sum(count_col).alias("_t"),
+                         F.max(count_col).alias("_m"))
+        stats = one if stats is None else stats.unionByName(one)
+    got = {r["_i"]: (r["_t"], r["_m"]) for r in stats.collect()}
+    out = []
+    for i, (counts, on, count_col) in enumerate(frames):
+        total, largest = got.get(i, (None, None))
+        threshold = max(float(min_rows), (total or 0) / float(max_keys))
+        if largest is None or largest <= threshold:
+            out.append(None)
+        else:
+            out.append(counts.filter(F.col(count_col) > threshold).select(*on))
+    return out
+
+
 def heavy_hitters(counts: DataFrame, on: list[str], count_col: str,
                   max_keys: int = DEFAULT_MAX_KEYS, min_rows: int = DEFAULT_MIN_ROWS
                   ) -> DataFrame | None:
@@ -36,14 +68,7 @@ def heavy_hitters(counts: DataFrame, on: list[str], count_col: str,
     case: then no salting is needed).  One small job: total and largest
     count come back as two scalars.  The session settings
     ``quadrangle.skew.minRows`` / ``maxKeys`` override the defaults."""
-    conf = counts.sparkSession.conf
-    min_rows = int(conf.get("quadrangle.skew.minRows", str(min_rows)))
-    max_keys = int(conf.get("quadrangle.skew.maxKeys", str(max_keys)))
-    total, largest = counts.agg(F.sum(count_col), F.max(count_col)).first()
-    threshold = max(float(min_rows), (total or 0) / float(max_keys))
-    if largest is None or largest <= threshold:
-        return None
-    return counts.filter(F.col(count_col) > threshold).select(*on)
+    return heavy_hitters_many([(counts, on, count_col)], max_keys, min_rows)[0]
 
 
 def salted_left_join(big: DataFrame, per_key: DataFrame, on: list[str], hot: DataFrame | None,
