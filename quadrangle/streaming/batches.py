@@ -6,8 +6,9 @@ Here each micro-batch of incoming rows is one batch for the bulk rule
 rule, and writes the new table version and the rejected rows to fresh
 paths under the sink root.  The table version written by batch N is the
 base of batch N+1; the checkpoint location makes the query restartable
-after a driver or executor loss (a replayed epoch rewrites the same
-version path, ``mode("overwrite")`` on that epoch only).
+after a driver or executor loss: a replayed epoch reads the version of the
+epoch before it and rewrites its own version path (``mode("overwrite")`` on
+that epoch only), so replays are idempotent.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from ..operators.changes import ChangeSet
 
 
-def latest_version(spark: SparkSession, root: str, name: str) -> str | None:
-    """Path of the newest committed version (by the epoch in its name)."""
+def latest_version(spark: SparkSession, root: str, name: str, before: int | None = None
+                   ) -> str | None:
+    """Path of the newest committed version (by the epoch in its name),
+    optionally only among epochs below ``before``."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
@@ -30,6 +33,7 @@ def latest_version(spark: SparkSession, root: str, name: str) -> str | None:
         return None
     done = [s.getPath().getName() for s in fs.listStatus(path)
             if s.getPath().getName().startswith("epoch=")
+            and (before is None or int(s.getPath().getName().split("=")[1]) < before)
             and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     if not done:
         return None
@@ -45,7 +49,9 @@ def checked_append_stream(stream: DataFrame, base_path: str, sink_root: str, nam
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, epoch: int):
-        src = latest_version(spark, sink_root, name) or base_path
+        # the base of epoch N is the newest version written by an earlier
+        # epoch - a replayed epoch never builds on its own earlier output
+        src = latest_version(spark, sink_root, name, before=epoch) or base_path
         table = spark.read.parquet(src)
         cs = rule(table, batch)
         out = f"{sink_root.rstrip('/')}/{name}/epoch={epoch}"

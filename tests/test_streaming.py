@@ -38,3 +38,13 @@ def test_checked_append_stream(spark):
     assert got == [(dt.date(2024, 1, 1), 1), (dt.date(2024, 1, 2), 2)]
     rej = spark.read.parquet(f"{root}/out/absences_rejected").collect()
     assert [(r.seq, r.reason) for r in rej] == [(2, "doublon")]
+
+
+def test_replayed_epoch_does_not_build_on_itself(spark):
+    root = tempfile.mkdtemp(prefix="quad-replay-")
+    df = spark.createDataFrame([(1,)], "id long")
+    for e in (0, 1, 2):
+        df.write.parquet(f"{root}/out/t/epoch={e}")
+    assert latest_version(spark, f"{root}/out", "t").endswith("epoch=2")
+    assert latest_version(spark, f"{root}/out", "t", before=2).endswith("epoch=1")
+    assert latest_version(spark, f"{root}/out", "t", before=0) is None
