@@ -123,3 +123,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def ascii_lower(c) -> Column:
     """Lower-casing of A-Z only (SQLite's LIKE folding)."""
     return F.translate(col(c), _UPPER, _UPPER.lower())
+
+
+# The week, Monday first.
+WEEK = ["Lundi", "Mardi", "Mercredi", "Jeudi", "Vendredi", "Samedi", "Dimanche"]
+
+
+def weekday_rank(c) -> Column:
+    """T14 option: position of a French day name in the week (1 = Lundi,
+    0 when not a day name), to sort by calendar instead of alphabetically."""
+    return F.array_position(F.array(*[F.lit(d) for d in WEEK]), col(c))

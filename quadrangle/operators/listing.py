@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import ascii_lower, ceil_div, like_term, param_long
+from ..functions.expr import ascii_lower, ceil_div, like_term, param_long, weekday_rank
 
 _ASCII_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -328,14 +328,18 @@ def timetable_rows(base, courses, profs):
     return _join(rows, _prof_name(profs), "_c_prof", "_p_id", "left").drop("_c_prof")
 
 
-def _timetable_order():
+def _timetable_order(weekday_order: bool = False):
+    if weekday_order:
+        return [weekday_rank("jour"), *_asc("jour", "heure_debut", "id")]
     return _asc("jour", "heure_debut", "id")
 
 
 def list_timetable(sessions, courses, profs, page=1, limit=PAGE_SIZE["timetable"],
-                   **filters) -> Page:
+                   weekday_order=False, **filters) -> Page:
+    """L5; days sort as text (T14) unless ``weekday_order``."""
     base = timetable_base(sessions, **filters)
-    return paginate(timetable_rows(base, courses, profs), base, _timetable_order(), page, limit)
+    return paginate(timetable_rows(base, courses, profs), base,
+                    _timetable_order(weekday_order), page, limit)
 
 
 def timetable_of_day(sessions, courses, profs, jour=None) -> DataFrame:
@@ -344,10 +348,11 @@ def timetable_of_day(sessions, courses, profs, jour=None) -> DataFrame:
     return rows.orderBy(*_asc("jour", "heure_debut", "id"))
 
 
-def timetable_of_course(sessions, courses, profs, cours_id=None) -> DataFrame:
+def timetable_of_course(sessions, courses, profs, cours_id=None, weekday_order=False
+                        ) -> DataFrame:
     """Sessions of a course (all courses when None), by day, start."""
     rows = timetable_rows(timetable_base(sessions, cours_id=cours_id), courses, profs)
-    return rows.orderBy(*_asc("cours_id", "jour", "heure_debut", "id"))
+    return rows.orderBy(F.col("cours_id").asc_nulls_first(), *_timetable_order(weekday_order))
 
 
 # -- L6, L7 absences ---------------------------------------------------------------------------------

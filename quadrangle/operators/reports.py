@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import grade_band, month_of, round2
+from ..functions.expr import grade_band, month_of, round2, weekday_rank
 
 
 def _cnt(name: str = "count"):
@@ -104,9 +104,13 @@ def grades_overview(notes) -> dict[str, DataFrame]:
 
 
 # -- timetable (R17-R20) -----------------------------------------------------------
-def sessions_by_day(sessions: DataFrame) -> DataFrame:
-    """Per day, days in text order."""
-    return count_by(sessions, "jour").orderBy(F.col("jour").asc_nulls_first())
+def sessions_by_day(sessions: DataFrame, weekday_order: bool = False) -> DataFrame:
+    """Per day, days in text order (T14); ``weekday_order=True`` sorts
+    Monday to Sunday instead."""
+    out = count_by(sessions, "jour")
+    if weekday_order:
+        return out.orderBy(weekday_rank("jour"), F.col("jour").asc_nulls_first())
+    return out.orderBy(F.col("jour").asc_nulls_first())
 
 
 def sessions_by_room(sessions: DataFrame) -> DataFrame:

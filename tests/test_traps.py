@@ -202,3 +202,9 @@ def test_f5_date_bounds_inclusive_and_malformed(spark):
     assert sorted(r.id for r in got.collect()) == [1, 2]
     assert listing.absences_base(df, date_debut="not-a-date").count() == 0
     assert listing.absences_base(df, date_debut="", date_fin=None).count() == 3
+
+
+def test_t14_weekday_order_option(spark):
+    s = spark.createDataFrame([("Lundi",), ("Mardi",), ("Dimanche",), ("Jeudi",)], "jour string")
+    got = [r.jour for r in reports.sessions_by_day(s, weekday_order=True).collect()]
+    assert got == ["Lundi", "Mardi", "Jeudi", "Dimanche"]
