@@ -7,9 +7,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
-from pyspark.sql import functions as F
 
-from quadrangle.functions.expr import round2  # noqa: F401  (documents the rounding)
 from quadrangle.operators import grades, quality, schedule
 from quadrangle.plans.inspect import physical
 
