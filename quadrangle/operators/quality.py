@@ -4,9 +4,11 @@ orphan audit (W12).
 ``validate`` adds ``errors: array<string>`` - the codes (field names) of
 every failing rule, in rule order, all failures kept - as built-in Column
 expressions, so validation is a single projection inside whole-stage
-codegen.  Checks against other tables are joins against the *distinct*
-parent keys (never row fan-out), flagged with a left join so the first
-failing check can be reported as the reason.
+codegen.  Checks against other tables (a parent exists, a key is already
+stored) are decided per key - the batch reduced to its distinct keys,
+joined to the other table's distinct keys - and the verdict is joined back
+onto the rows with hot keys salted, so the first failing check can be
+reported as the reason without row fan-out or a single-task hot key.
 """
 
 from __future__ import annotations
