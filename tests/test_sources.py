@@ -69,3 +69,14 @@ def test_every_registered_plan_runs_on_stored_tables(spark, campus):
         ra = [tuple(r) for r in a.collect()]
         rb = [tuple(r) for r in b.collect()]
         assert digest(a.columns, ra)[0] == digest(b.columns, rb)[0], name
+
+
+def test_partitioned_table_prunes_partitions(spark, campus):
+    from quadrangle.operators import listing
+    root = tempfile.mkdtemp(prefix="quad-parts-") + "/campus"
+    materialize(campus, root, ["absences"], partition_by={"absences": "justifiee"})
+    t = CampusTables(spark, root)
+    base = listing.absences_base(t.absences, justifiee="true")
+    plan = base._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(justifiee" in plan
+    assert base.count() == campus.absences.filter("justifiee").count()
