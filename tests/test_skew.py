@@ -149,3 +149,25 @@ def test_hot_key_over_two_unique_keys(spark):
         got = {r.seq: r.reason for r in quality.check_unique_multi(
             df, [["matricule"], ["email"]]).collect()}
     assert got == simulate_unique(rows, ["matricule", "email"], [set(), set()])
+
+
+def test_booking_with_a_hot_room_day(spark):
+    from tests.test_sequential import SCHEMA, simulate_booking
+    rng = random.Random(5)
+    times = [f"{h}:{m:02d}" for h in range(8, 19) for m in (0, 30)]
+
+    def slot(i, hot):
+        a, b = sorted(rng.sample(times, 2))
+        return {"id": i, "seq": i, "cours_id": rng.choice([1, 2, 3, 99]),
+                "jour": "Lundi" if hot else rng.choice(["Mardi", "Jeudi"]),
+                "heure_debut": a, "heure_fin": b,
+                "salle": "S0" if hot else f"S{rng.randint(1, 20)}", "type_seance": "cours"}
+
+    base = [slot(i, i % 3 == 0) for i in range(1, 31)]
+    batch = [slot(i, i % 3 == 0) for i in range(100, 400)]
+    courses = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    with low_hot_threshold(spark, 20), forced_skew(spark):
+        got = {r.seq: r.reason for r in schedule.book_sessions(
+            spark.createDataFrame(base, SCHEMA), spark.createDataFrame(batch, SCHEMA),
+            courses).collect()}
+    assert got == simulate_booking(base, batch, {1, 2, 3})
