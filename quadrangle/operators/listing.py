@@ -178,6 +178,25 @@ def paginate(rows: DataFrame, base: DataFrame, order: list[Column], page: int =
     return Page(page_of(rows, order, page, limit), pagination(base, page, limit))
 
 
+def page_then_enrich(base: DataFrame, order: list[Column], sort_cols: list[str],
+                     parents: list[tuple[str, DataFrame]], enrich, page: int, limit: int,
+                     key: str = "id") -> DataFrame:
+    """A page of ``enrich(base)`` (inner joins to the ``parents``) without
+    joining every wide row first: narrow rows (key, sort columns, foreign
+    keys) are kept where each parent exists (left semi joins against the
+    parents' primary keys - the same rows the inner joins keep, never
+    duplicated), the page is cut from them, and only its ``limit`` keys are
+    fetched back and enriched (a broadcast of at most ``limit`` keys).  The
+    wide columns never cross a shuffle."""
+    fks = [fk for fk, _ in parents]
+    narrow = base.select(*dict.fromkeys([key, *sort_cols, *fks]))
+    for fk, parent in parents:
+        narrow = narrow.join(parent.select(F.col("id").alias(fk)), fk, "left_semi")
+    ids = page_of(narrow, order, page, limit).select(key)
+    picked = base.join(F.broadcast(ids), key, "left_semi")
+    return enrich(picked).orderBy(*order)
+
+
 def after_key(rows: DataFrame, order: list[Column], keys: list[str], after: tuple,
               limit: int) -> DataFrame:
     """Keyset page: the ``limit`` rows that follow ``after`` (values of the
@@ -309,7 +328,10 @@ def _grade_order():
 
 def list_grades(notes, students, courses, page=1, limit=PAGE_SIZE["grades"], **filters) -> Page:
     base = grades_base(notes, **filters)
-    return paginate(grades_rows(base, students, courses), base, _grade_order(), page, limit)
+    rows = page_then_enrich(base, _grade_order(), ["date_evaluation"],
+                            [("etudiant_id", students), ("cours_id", courses)],
+                            lambda b: grades_rows(b, students, courses), page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 # -- L5, L16, L17 timetable -----------------------------------------------------------------------
@@ -338,8 +360,10 @@ def list_timetable(sessions, courses, profs, page=1, limit=PAGE_SIZE["timetable"
                    weekday_order=False, **filters) -> Page:
     """L5; days sort as text (T14) unless ``weekday_order``."""
     base = timetable_base(sessions, **filters)
-    return paginate(timetable_rows(base, courses, profs), base,
-                    _timetable_order(weekday_order), page, limit)
+    rows = page_then_enrich(base, _timetable_order(weekday_order), ["jour", "heure_debut"],
+                            [("cours_id", courses)],
+                            lambda b: timetable_rows(b, courses, profs), page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 def timetable_of_day(sessions, courses, profs, jour=None) -> DataFrame:
@@ -377,7 +401,10 @@ def absences_rows(base, students, courses):
 def list_absences(absences, students, courses, page=1, limit=PAGE_SIZE["absences"],
                   **filters) -> Page:
     base = absences_base(absences, **filters)
-    return paginate(absences_rows(base, students, courses), base, _absence_order(), page, limit)
+    rows = page_then_enrich(base, _absence_order(), ["date_absence"],
+                            [("etudiant_id", students), ("cours_id", courses)],
+                            lambda b: absences_rows(b, students, courses), page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 def student_absences(absences, courses, etudiant_id, page=1, limit=PAGE_SIZE["absences"],

@@ -123,3 +123,11 @@ def test_deep_page_equals_offset_page(spark):
     assert got == want
     assert deep_page(rows, order, 4990, 25, partitions=7).count() == 10
     assert deep_page(rows, order, 6000, 25, partitions=7).count() == 0
+
+
+def test_grade_page_is_cut_before_wide_columns_are_joined(spark):
+    p = plan(E.queries()["grades_page"](spark, SF_SMALL))
+    tops = [line for line in p.splitlines() if "TakeOrderedAndProject" in line]
+    assert tops, p
+    narrow = tops[-1]   # the innermost top-k: on narrow rows only
+    assert "note" not in narrow.split("output=")[-1] and "etudiant_nom" not in narrow
