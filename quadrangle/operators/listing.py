@@ -268,9 +268,19 @@ def _student_order():
     return _asc("nom", "prenom", "id")
 
 
+def page_then_left_join(base: DataFrame, order: list[Column], enrich, page: int, limit: int
+                        ) -> DataFrame:
+    """A page of ``enrich(base)`` when ``enrich`` only left-joins unique-key
+    dimensions (no row dropped or repeated, sort keys from ``base``): the
+    page is cut from ``base`` and only its rows are joined."""
+    return enrich(page_of(base, order, page, limit)).orderBy(*order)
+
+
 def list_students(students, depts, page=1, limit=PAGE_SIZE["students"], **filters) -> Page:
     base = students_base(students, **filters)
-    return paginate(students_rows(base, depts), base, _student_order(), page, limit)
+    rows = page_then_left_join(base, _student_order(), lambda b: students_rows(b, depts),
+                               page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 # -- L2 professors -------------------------------------------------------------------------
@@ -283,8 +293,10 @@ def professors_base(profs, search=None, departement_id=None, grade=None, ascii_o
 
 def list_professors(profs, depts, page=1, limit=PAGE_SIZE["professors"], **filters) -> Page:
     base = professors_base(profs, **filters)
-    rows = _join(base, _dept_name(depts), "departement_id", "_d_id", "left")
-    return paginate(rows, base, _asc("nom", "prenom", "id"), page, limit)
+    rows = page_then_left_join(
+        base, _asc("nom", "prenom", "id"),
+        lambda b: _join(b, _dept_name(depts), "departement_id", "_d_id", "left"), page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 # -- L3 courses ------------------------------------------------------------------------------
@@ -305,7 +317,9 @@ def courses_rows(base, depts, profs):
 
 def list_courses(courses, depts, profs, page=1, limit=PAGE_SIZE["courses"], **filters) -> Page:
     base = courses_base(courses, **filters)
-    return paginate(courses_rows(base, depts, profs), base, _asc("nom", "id"), page, limit)
+    rows = page_then_left_join(base, _asc("nom", "id"),
+                               lambda b: courses_rows(b, depts, profs), page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 # -- L4 grades ---------------------------------------------------------------------------------
@@ -421,11 +435,17 @@ def departments_base(depts, search=None, ascii_only=False):
         search_cond(search, DEPARTMENT_SEARCH, ascii_only) if _given(search) else None])
 
 
-def departments_rows(base, students, profs, courses):
-    """``d.*`` plus three distinct child counts (J8, pre-aggregated)."""
+def departments_rows(base, students, profs, courses, bounded: bool = False):
+    """``d.*`` plus three distinct child counts (J8, pre-aggregated).  With
+    ``bounded`` (``base`` is a page of at most a page size of rows), each
+    child is first semi-joined to a broadcast of the page's ids, so only
+    the page's children are counted."""
     out = base
+    ids = F.broadcast(base.select(F.col("id").alias("departement_id"))) if bounded else None
     for child, name in ((students, "nb_etudiants"), (profs, "nb_professeurs"),
                         (courses, "nb_cours")):
+        if ids is not None:
+            child = child.join(ids, "departement_id", "left_semi")
         per = child.groupBy(F.col("departement_id").alias("_dept")).agg(
             F.countDistinct("id").alias(name))
         out = out.join(per, out["id"] == per["_dept"], "left").drop("_dept")
@@ -435,8 +455,14 @@ def departments_rows(base, students, profs, courses):
 def list_departments(depts, students, profs, courses, page=1,
                      limit=PAGE_SIZE["departments"], **filters) -> Page:
     base = departments_base(depts, **filters)
-    rows = departments_rows(base, students, profs, courses)
-    return paginate(rows, base, _asc("nom", "id"), page, limit)
+    order = _asc("nom", "id")
+    if (page - 1) * limit + limit <= DEEP_OFFSET:
+        rows = page_then_left_join(
+            base, order, lambda b: departments_rows(b, students, profs, courses, bounded=True),
+            page, limit)
+    else:
+        rows = page_of(departments_rows(base, students, profs, courses), order, page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 # -- L9-L11 a department's children ---------------------------------------------------------------------
