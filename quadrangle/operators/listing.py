@@ -178,23 +178,59 @@ def paginate(rows: DataFrame, base: DataFrame, order: list[Column], page: int =
     return Page(page_of(rows, order, page, limit), pagination(base, page, limit))
 
 
+def restrict(dim: DataFrame, rows: DataFrame, fk: str, key: str = "id") -> DataFrame:
+    """``dim`` reduced to the keys ``rows`` refers to - ``rows`` is a page
+    (at most a page size of rows), so broadcasting its keys is bounded."""
+    return dim.join(F.broadcast(rows.select(F.col(fk).alias(key)).distinct()), key, "left_semi")
+
+
 def page_then_enrich(base: DataFrame, order: list[Column], sort_cols: list[str],
                      parents: list[tuple[str, DataFrame]], enrich, page: int, limit: int,
                      key: str = "id") -> DataFrame:
-    """A page of ``enrich(base)`` (inner joins to the ``parents``) without
-    joining every wide row first: narrow rows (key, sort columns, foreign
-    keys) are kept where each parent exists (left semi joins against the
-    parents' primary keys - the same rows the inner joins keep, never
-    duplicated), the page is cut from them, and only its ``limit`` keys are
-    fetched back and enriched (a broadcast of at most ``limit`` keys).  The
-    wide columns never cross a shuffle."""
+    """A page of ``enrich(base)`` where ``enrich`` inner-joins the ``parents``
+    (by primary key) and left-joins other dimensions - without joining or
+    shuffling the whole table.
+
+    Shallow pages: the first ``2 * (offset + limit)`` base rows in order are
+    taken (a top-k: each task keeps that many rows) and written once; the
+    candidates whose parents exist are found by scanning each parent against
+    a broadcast of the candidates' keys (bounded by the candidate count);
+    when fewer than ``offset + limit`` survive and the base has more rows,
+    the candidate count is quadrupled.  Every row of the page lies among the
+    candidates, so the page is exact; only its rows are enriched.
+
+    Deep pages: narrow rows (key, sort columns, foreign keys) are semi-joined
+    to the parents, the page's keys are cut from them (:func:`page_of`), and
+    only those rows are fetched and enriched."""
+    from ..plans.materialize import materialize
+    _check_page(page, limit)
+    offset = (page - 1) * limit
+    need = offset + limit
     fks = [fk for fk, _ in parents]
-    narrow = base.select(*dict.fromkeys([key, *sort_cols, *fks]))
-    for fk, parent in parents:
-        narrow = narrow.join(parent.select(F.col("id").alias(fk)), fk, "left_semi")
-    ids = page_of(narrow, order, page, limit).select(key)
-    picked = base.join(F.broadcast(ids), key, "left_semi")
-    return enrich(picked).orderBy(*order)
+    if need * 2 > DEEP_OFFSET:
+        narrow = base.select(*dict.fromkeys([key, *sort_cols, *fks]))
+        for fk, parent in parents:
+            narrow = narrow.join(parent.select(F.col("id").alias(fk)), fk, "left_semi")
+        ids = page_of(narrow, order, page, limit).select(key)
+        picked = base.join(F.broadcast(ids), key, "left_semi")
+        return enrich(picked).orderBy(*order)
+    want = 2 * need
+    while True:
+        cand = materialize(base.orderBy(*order).limit(want), "page-candidates")
+        flagged = cand
+        for i, (fk, parent) in enumerate(parents):
+            hit = (restrict(parent.select("id"), cand, fk)
+                   .select(F.col("id").alias(fk), F.lit(True).alias(f"_p{i}")))
+            flagged = flagged.join(hit, fk, "left")
+        ok = F.lit(True)
+        for i in range(len(parents)):
+            ok = ok & F.col(f"_p{i}").isNotNull()
+        total, valid_n = flagged.agg(F.count(F.lit(1)), F.count_if(ok)).first()
+        if valid_n >= need or total < want or want >= DEEP_OFFSET:
+            break
+        want *= 4
+    valid = flagged.filter(ok).drop(*[f"_p{i}" for i in range(len(parents))])
+    return enrich(valid.orderBy(*order).offset(offset).limit(limit)).orderBy(*order)
 
 
 def after_key(rows: DataFrame, order: list[Column], keys: list[str], after: tuple,
@@ -344,7 +380,9 @@ def list_grades(notes, students, courses, page=1, limit=PAGE_SIZE["grades"], **f
     base = grades_base(notes, **filters)
     rows = page_then_enrich(base, _grade_order(), ["date_evaluation"],
                             [("etudiant_id", students), ("cours_id", courses)],
-                            lambda b: grades_rows(b, students, courses), page, limit)
+                            lambda b: grades_rows(b, restrict(students, b, "etudiant_id"),
+                                                  restrict(courses, b, "cours_id")),
+                            page, limit)
     return Page(rows, pagination(base, page, limit))
 
 
@@ -376,7 +414,8 @@ def list_timetable(sessions, courses, profs, page=1, limit=PAGE_SIZE["timetable"
     base = timetable_base(sessions, **filters)
     rows = page_then_enrich(base, _timetable_order(weekday_order), ["jour", "heure_debut"],
                             [("cours_id", courses)],
-                            lambda b: timetable_rows(b, courses, profs), page, limit)
+                            lambda b: timetable_rows(b, restrict(courses, b, "cours_id"), profs),
+                            page, limit)
     return Page(rows, pagination(base, page, limit))
 
 
@@ -417,7 +456,9 @@ def list_absences(absences, students, courses, page=1, limit=PAGE_SIZE["absences
     base = absences_base(absences, **filters)
     rows = page_then_enrich(base, _absence_order(), ["date_absence"],
                             [("etudiant_id", students), ("cours_id", courses)],
-                            lambda b: absences_rows(b, students, courses), page, limit)
+                            lambda b: absences_rows(b, restrict(students, b, "etudiant_id"),
+                                                    restrict(courses, b, "cours_id")),
+                            page, limit)
     return Page(rows, pagination(base, page, limit))
 
 
