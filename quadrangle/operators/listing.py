@@ -466,8 +466,11 @@ def student_absences(absences, courses, etudiant_id, page=1, limit=PAGE_SIZE["ab
                      **filters) -> Page:
     """One student's absences with the course name."""
     base = absences_base(absences, etudiant_id=etudiant_id, **filters)
-    rows = _join(base, _course_name(courses), "cours_id", "_c_id", "inner")
-    return paginate(rows, base, _absence_order(), page, limit)
+    rows = page_then_enrich(
+        base, _absence_order(), ["date_absence"], [("cours_id", courses)],
+        lambda b: _join(b, _course_name(restrict(courses, b, "cours_id")), "cours_id", "_c_id",
+                        "inner"), page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 # -- L8 departments with headcounts ------------------------------------------------------------------
@@ -510,7 +513,9 @@ def list_departments(depts, students, profs, courses, page=1,
 def department_students(students, depts, departement_id, page=1,
                         limit=PAGE_SIZE["department_children"]) -> Page:
     base = students_base(students, departement_id=departement_id)
-    return paginate(students_rows(base, depts), base, _student_order(), page, limit)
+    rows = page_then_left_join(base, _student_order(), lambda b: students_rows(b, depts),
+                               page, limit)
+    return Page(rows, pagination(base, page, limit))
 
 
 def department_professors(profs, depts, departement_id, page=1,

@@ -115,3 +115,20 @@ def test_plan_helpers(spark, campus):
     df = campus.notes.filter(F.col("type_evaluation") == "A")
     assert unscalable_nodes(df) == []
     assert any("EqualTo(l_returnflag,A)" in f for f in pushed_filters(df))
+
+
+def test_per_id_pages_equal_plain_sorted_joins(campus):
+    c = campus
+    sid = c.absences.groupBy("etudiant_id").count().orderBy(F.desc("count"), "etudiant_id") \
+        .first()["etudiant_id"]
+    got = [r.id for r in listing.student_absences(c.absences, c.cours, sid, limit=5).rows
+           .collect()]
+    full = (c.absences.filter(F.col("etudiant_id") == sid)
+            .join(c.cours.select(F.col("id").alias("cours_id")), "cours_id")
+            .orderBy(F.col("date_absence").desc_nulls_last(), "id").select("id").limit(5))
+    assert got == [r.id for r in full.collect()]
+    d = listing.department_students(c.etudiants, c.departements, 3, limit=7).rows.collect()
+    want = (c.etudiants.filter("departement_id = 3").orderBy("nom", "prenom", "id")
+            .limit(7).collect())
+    assert [r.id for r in d] == [r.id for r in want]
+    assert all(r.departement_nom is not None for r in d)
