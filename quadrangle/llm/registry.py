@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .simhash_dedup import op1_simhash_dedup
+from .token_counts import op8_token_counts
+from .token_output import op9_token_output
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_token_output": op9_token_output,
 }
 _SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
 
