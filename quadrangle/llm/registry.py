@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .quality import op5_quality
 from .simhash_dedup import op1_simhash_dedup
+from .source_mix import op6_source_mix
 from .token_counts import op8_token_counts
 from .token_output import op9_token_output
+from .toxicity import op10_toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op5_quality": op5_quality,
+    "op6_source_mix": op6_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_token_output": op9_token_output,
+    "op10_toxicity": op10_toxicity,
 }
 _SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
 
