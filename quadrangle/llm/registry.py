@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op3_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_text import op4_html_text
 from .quality import op5_quality
+from .secrets import op2_secret_spans
 from .simhash_dedup import op1_simhash_dedup
 from .source_mix import op6_source_mix
 from .token_counts import op8_token_counts
@@ -16,6 +19,9 @@ from .toxicity import op10_toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_secret_spans": op2_secret_spans,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_source_mix": op6_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
