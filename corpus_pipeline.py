@@ -4,9 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrangle.llm.common import ready, scratch_path
+from quadrangle.llm import decontaminate, quality, simhash_dedup, source_mix, token_output
+from quadrangle.llm.common import ready, scratch_path, table
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    ready(spark)
+    return simhash_dedup.keep_one(docs.select(COLUMNS))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix of their sources."""
+    ready(spark)
+    mixed = source_mix.mix(docs, carry=["text", "lang", "n_chars"])
+    return mixed.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(COLUMNS)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token file of the documents in the order that the mix has written them
+    in; what the file holds, per document, as read back."""
+    ready(spark)
+    path = scratch_path(spark, "pipeline-tokens")
+    token_output.write_tokens(docs, path, order_by=token_output.written_order(docs))
+    return token_output.read_documents(spark, path)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

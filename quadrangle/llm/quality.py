@@ -202,5 +202,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects (score under
+    0.5), all columns kept; a row is decided where it lies."""
+    known = pick(labels, doc_id="long", quality="int").filter(~held_out(F.col("doc_id"))).withColumnRenamed("quality", "label")
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, known))
+    name = next(c for c in [*[c for c in docs.columns if c == "text"], *docs.columns] if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, name, 2 << 20):
+            if b.num_rows:
+                x, counts = encode_passages([(t or "").encode() for t in b.column(b.schema.get_field_index(name)).to_pylist()])
+                yield b.filter(pa.array(sent.value.score(x, counts) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -232,5 +232,14 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_B
     return base.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each group, that with the smallest id,
+    all columns kept.  Rows that repeat an id stay or go together; rows
+    without an id stay."""
+    found = simhash_dedup(docs, shingle, max_bits)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(materialize(gone, "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -236,6 +237,18 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["part", "seq"])
 
 
+def written_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the rows of ``docs`` stand in the files that it is
+    read from, numbered files by number; None if it isn't read from files."""
+    file = F.col("_metadata.file_path")
+    order = [F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_path, 'part-([0-9]+)[^/]*$', 1) AS long)"), F.lit(0)), file, F.col("_metadata.row_index")]
+    try:
+        docs.select(*order)
+    except AnalysisException:
+        return None
+    return order
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "payload", 4 << 20):
         for row in b.to_pylist():
