@@ -85,7 +85,7 @@ def combine_chunks(chunks: DataFrame) -> DataFrame:
                 [b.column("doc_id"), b.column("chunk_no"), pa.array([_packed(fingerprint(x)) for x in data], pa.int64()),
                  pa.array(map(len, data), pa.int64())], names=["doc_id", "chunk_no", "h", "n"])
 
-    def joined(key, batch: pa.Table) -> pa.Table:
+    def joined(key, batch):
         rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("chunk_no", "h", "n"))))
         h, total = (0, 0), 0
         for _, g, n in rows:

@@ -280,10 +280,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     the paths of its main text.  ``pages`` has host and html."""
     distinct = pages.mapInArrow(_shapes, "host string, shape string").distinct()
 
-    def partly(pdf: pd.DataFrame) -> pd.DataFrame:
+    def partly(pdf):
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shape": [json.dumps(_merged(pdf), separators=(",", ":"))]})
 
-    def wholly(pdf: pd.DataFrame) -> pd.DataFrame:
+    def wholly(pdf):
         wrapper = _merged(pdf)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))], "paths": [main_paths(wrapper)]})
 

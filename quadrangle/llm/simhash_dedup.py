@@ -196,7 +196,7 @@ def _large_links(rows: DataFrame, max_bits: int) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("a").alias("fp")))
 
-    def compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compared(key, pdf):
         fp, block = pdf["fp"].to_numpy().view(np.uint64), pdf["block"].to_numpy()
         one = _spanning(fp, None, max_bits) if key[1] == key[2] else _spanning(fp[block == key[1]], fp[block == key[2]], max_bits)
         return pd.DataFrame({"a": np.array(one[0], np.uint64).view(np.int64), "b": np.array(one[1], np.uint64).view(np.int64)})
