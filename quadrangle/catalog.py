@@ -148,7 +148,7 @@ _reg_page("departments",
 _reg_page("departments_search",                                                      # L8, F2
           lambda c: Q.list_departments(c.departements, c.etudiants, c.professeurs, c.cours,
                                        search="me"),
-          S.DEPARTMENTS.format(where="AND (d.nom ILIKE '%me%' OR d.description ILIKE '%me%')"),
+          S.DEPARTMENTS.format(where="WHERE (d.nom ILIKE '%me%' OR d.description ILIKE '%me%')"),
           "d.nom NULLS FIRST, d.id",
           "SELECT * FROM departements WHERE nom ILIKE '%me%' OR description ILIKE '%me%'",
           PS["departments"])
@@ -371,3 +371,121 @@ register("department_professors_first_pages", S.DEPARTMENT_PROFESSORS_FIRST_PAGE
     lambda c: Q.department_professors_first_pages(c.professeurs, c.departements))
 register("department_courses_first_pages", S.DEPARTMENT_COURSES_FIRST_PAGES)(        # L11
     lambda c: Q.department_courses_first_pages(c.cours, c.departements, c.professeurs))
+
+
+# -- later pages (O5) -------------------------------------------------------------------
+register("grades_page_3", S.page(S.GRADES, "n.date_evaluation DESC NULLS LAST, n.id",     # L4
+                                 PS["grades"], 3))(
+    lambda c: Q.list_grades(c.notes, c.etudiants, c.cours, page=3).rows)
+register("students_page_7", S.page(S.STUDENTS, "e.nom NULLS FIRST, e.prenom NULLS FIRST, e.id",  # L1
+                                   PS["students"], 7))(
+    lambda c: Q.list_students(c.etudiants, c.departements, page=7).rows)
+register("professors_filtered_page", S.page(                                               # L2, F2, F4
+    S.PROFESSORS + " WHERE (p.nom ILIKE '%er#%' OR p.prenom ILIKE '%er#%' OR p.matricule ILIKE "
+    "'%er#%' OR p.email ILIKE '%er#%') AND p.grade = 'Maitre'",
+    "p.nom NULLS FIRST, p.prenom NULLS FIRST, p.id", PS["professors"]))(
+    lambda c: Q.list_professors(c.professeurs, c.departements, search="er#",
+                                grade="Maitre").rows)
+
+# -- bulk details by key sets that miss (D2-D6) --------------------------------------------
+register("professors_of_courses_detail", S.PROFESSORS_OF_COURSES_DETAIL)(                  # D2
+    lambda c: Q.lookup(Q.students_rows(c.professeurs, c.departements),
+                       c.cours.filter("credits = 3 AND departement_id < 5"), "id", "professeur_id"))
+register("courses_missed_detail", S.COURSES_MISSED_DETAIL)(                                # D3
+    lambda c: Q.lookup(Q.courses_rows(c.cours, c.departements, c.professeurs),
+                       c.absences.filter("motif IS NULL AND justifiee"), "id", "cours_id"))
+register("grades_of_absent_detail", S.GRADES_OF_ABSENT_DETAIL)(                            # D4
+    lambda c: Q.lookup(Q.grades_rows(c.notes, c.etudiants, c.cours), c.absences, "id", "id"))
+register("paid_sessions_detail", S.PAID_SESSIONS_DETAIL)(                                  # D5
+    lambda c: Q.lookup(Q.timetable_rows(c.emplois_temps, c.cours, c.professeurs),
+                       c.bills.filter("status = 'paid'"), "id", "id"))
+register("absences_of_good_grades_detail", S.ABSENCES_OF_GOOD_GRADES_DETAIL)(              # D6
+    lambda c: Q.lookup(Q.absences_rows(c.absences, c.etudiants, c.cours),
+                       c.notes.filter("note >= 15"), "id", "id"))
+
+# -- written tables (W1, W4, W9, W10) --------------------------------------------------------
+_AS_OF = "2024-01-01 00:00:00"
+
+
+def _issued_bills(c):
+    """A bill for every student; every seventh has no amount (NOT NULL)."""
+    batch = c.etudiants.select(
+        F.col("id").alias("seq"), F.col("id").alias("studentId"), F.lit("frais").alias("description"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 1.5).alias("amount"))
+    return changes.issue("bill", c.bills, batch, _AS_OF).table.select(
+        "id", "invoiceNumber", "studentId", "amount", "description", "issueDate", "status")
+
+
+register("bills_issued_table", checks_sql.BILLS_ISSUED_TABLE)(_issued_bills)               # W10
+
+
+def _issued_staff(c):
+    """Administrative records for professors; every third shares the e-mail
+    of the one before it, every tenth has none."""
+    k = F.col("id")
+    batch = c.professeurs.select(
+        k.alias("seq"), F.col("prenom").alias("firstName"), F.col("nom").alias("lastName"),
+        F.when(k % 10 != 0, F.concat(F.lit("a"), F.when(k % 3 == 2, k - 1).otherwise(k).cast("string"),
+                                     F.lit("@campus.fr"))).alias("email"))
+    return changes.issue("admin_staff", c.admin_staff, batch, _AS_OF).report.select(
+        "id", "employeeId", "email", "status", "reason")
+
+
+register("admin_staff_issue_report", checks_sql.ADMIN_STAFF_ISSUE_REPORT)(_issued_staff)   # W10
+
+
+def _posted(c):
+    """A payment for every pending bill; those of orders 0, 9, 18 ... lack an
+    amount and are refused, so their bills stay pending."""
+    batch = c.bills.filter("status = 'pending'").select(
+        F.col("id").alias("seq"), F.col("id").alias("billId"), "studentId",
+        F.when(F.col("id") % 9 != 0, F.col("amount")).alias("amount"), F.lit("cash").alias("method"),
+        F.lit(None).cast("string").alias("reference"))
+    return changes.post_payments(c.bills, c.payments, batch, _AS_OF)
+
+
+register("payments_posted_table", checks_sql.PAYMENTS_POSTED_TABLE)(                       # W9
+    lambda c: _posted(c)[0].table.select("id", "paymentNumber", "billId", "amount", "method",
+                                         "date", "status"))
+register("bills_after_posting", checks_sql.BILLS_AFTER_POSTING)(                           # W9
+    lambda c: _posted(c)[1].select("id", "status"))
+
+_STUDENT_COLS = ["matricule", "nom", "prenom", "email", "departement_id", "niveau", "annee_etude"]
+
+
+def _student_changes(c):
+    """Every fifth student gets a new e-mail: ids 10, 20, ... one that
+    another student holds; ids 5 and 30, 55 and 80, ... the same one; the
+    others one of their own.  Ids 15, 30, ... are changed twice."""
+    e, k = c.etudiants, F.col("id")
+    email = (F.when(k % 10 == 0, F.concat(F.lit("e"), (k + 1).cast("string"), F.lit("@campus.fr")))
+             .when(k % 25 == 5, F.concat(F.lit("same"), F.expr("id DIV 50").cast("string"), F.lit("@campus.fr")))
+             .otherwise(F.concat(F.lit("new"), k.cast("string"), F.lit("@campus.fr"))))
+    one = e.filter(k % 5 == 0).withColumn("email", email).withColumn("seq", k)
+    two = (e.filter(k % 15 == 0).withColumn("seq", k + 1_000_000_000_000).withColumn("niveau", F.lit("L9"))
+           .withColumn("email", F.when(k % 2 == 1, email).otherwise(F.col("email"))))
+    return one.unionByName(two).select("seq", "id", *_STUDENT_COLS)
+
+
+register("students_after_update", checks_sql.STUDENTS_AFTER_UPDATE)(                       # W4
+    lambda c: changes.full_update(c.etudiants, _student_changes(c), _STUDENT_COLS, "etudiants",
+                                  rules="student").table.select("id", "email", "niveau"))
+
+
+def _students_appended(c):
+    """Professors entered as students: every fourth with a number that is
+    taken, the others in pairs that share a number, every ninth e-mail
+    shared with the row before."""
+    k = F.col("id")
+    batch = c.professeurs.select(
+        k.alias("seq"), "nom", "prenom", F.lit("L1").alias("niveau"), F.lit(1).alias("annee_etude"),
+        F.lit(1).cast("bigint").alias("departement_id"),
+        F.when(k % 4 == 0, F.concat(F.lit("ETU-"), k.cast("string")))
+         .otherwise(F.concat(F.lit("M-"), (k - k % 2).cast("string"))).alias("matricule"),
+        F.concat(F.lit("m"), F.when(k % 9 == 0, k - 1).otherwise(k).cast("string"),
+                 F.lit("@campus.fr")).alias("email"))
+    return changes.add_students(c.etudiants, batch, as_of=_AS_OF).table.select(
+        "id", "matricule", "email", "niveau", "created_at")
+
+
+register("students_appended_table", checks_sql.STUDENTS_APPENDED_TABLE)(_students_appended)  # W1, W3

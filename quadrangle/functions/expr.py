@@ -68,17 +68,26 @@ DOC_PREFIXES = {"bill": "FAC", "payment": "PAY", "expense": "EXP",
 def doc_number(kind: str, ts, seq=None) -> Column:
     """``PREFIX-YYYY-NNNNNN``.  One record at a time the tail is the last
     six digits of the epoch milliseconds; in bulk that would repeat every
-    1,000 s, so a per-batch sequence number (zero-padded) replaces it when
-    ``seq`` is given."""
+    1,000 s, so a sequence number replaces it when ``seq`` is given: padded
+    with zeros to six digits, longer ones whole."""
     ts = col(ts)
     prefix = DOC_PREFIXES[kind]
     if seq is None:
         tail = F.substring(F.unix_millis(ts).cast("string"), -6, 6)
     else:
-        tail = F.lpad(col(seq).cast("string"), 6, "0")
+        digits = col(seq).cast("string")
+        tail = F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), "0")
     return F.concat(F.lit(prefix + "-"), F.year(ts).cast("string"), F.lit("-"), tail)
 
 
+def doc_tail(c, kind: str, ts) -> Column:
+    """The number at the end of a document number of this kind and year, NULL
+    for any other text."""
+    c = col(c)
+    head = F.concat(F.lit(f"{DOC_PREFIXES[kind]}-"), F.year(col(ts)).cast("string"), F.lit("-"))
+    return F.when(c.startswith(head), F.substring_index(c, "-", -1).try_cast("bigint"))
+
+
 def parse_bool(c) -> Column:
     """Text or boolean to boolean; NULL when not a boolean word."""
     c = col(c)

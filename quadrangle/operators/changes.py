@@ -21,9 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import doc_number, parse_bool
-from ..sources.schemas import UNIQUE_KEYS, conform, typed, with_defaults
-from ..plans.materialize import materialize
+from ..functions.expr import doc_number, doc_tail, parse_bool
+from ..plans.materialize import materialize as write_table
+from ..sources.schemas import NOT_NULL, UNIQUE_KEYS, conform, typed, with_defaults
 from .quality import (RULES, ParentCheck, check_parents, check_unique, check_unique_multi,
                       validate)
 
@@ -54,6 +54,18 @@ def _split(df: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]
     return df.filter(F.col(reason).isNull()), df.filter(F.col(reason).isNotNull())
 
 
+def _require_values(rows: DataFrame, name: str, reason: str = "reason") -> DataFrame:
+    """Rows without a value in a NOT NULL column are ``valeur_manquante``,
+    unless they have a reason already."""
+    missing = None
+    for c in NOT_NULL.get(name, ()):
+        null = F.col(c).isNull() if c in rows.columns else F.lit(True)
+        missing = null if missing is None else missing | null
+    if missing is None:
+        return rows
+    return rows.withColumn(reason, F.coalesce(F.col(reason), F.when(missing, F.lit("valeur_manquante"))))
+
+
 def insert_ignore(base: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Add the rows of ``new`` whose unique ``keys`` are not present
     (``INSERT OR IGNORE``).  Without a unique key every row goes in - the
@@ -98,10 +110,11 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
     v = typed(v, name)
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     checked = check_parents(v, list(parents), prior=prior)
+    checked = _require_values(checked, name)
     keys = UNIQUE_KEYS.get(name, []) if unique is None else unique
     keys = [list(k) for k in keys]
     if materialize and keys:
-        checked = materialize(checked, "checked-batch")
+        checked = write_table(checked, "checked-batch")
     if len(keys) == 1:
         checked = check_unique(checked, keys[0], base, seq)
     elif len(keys) > 1:
@@ -168,7 +181,7 @@ def enrol_check(enrolments, batch, students, courses, seq="seq", materialize=Fal
         ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
         ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",))], prior=prior)
     if materialize:
-        out = materialize(out, "checked-batch")
+        out = write_table(out, "checked-batch")
     out = check_unique(out, ["etudiant_id", "cours_id"], enrolments, seq,
                        base_reason="deja_inscrit", batch_reason="deja_inscrit")
     return out.drop("errors")
@@ -197,8 +210,12 @@ def full_update(base: DataFrame, changes: DataFrame, cols: list[str], name: str,
                 ) -> ChangeSet:
     """W4 (T19): replace every listed column of the matched rows - an
     omitted (NULL) value overwrites with NULL, as binding ``undefined`` does.
-    Checks in order: rules, the row exists, unique keys not used by another
-    row of the table or by an earlier change in the batch."""
+    Checks in order: rules, the row exists, unique keys not held by another
+    row of the table as it stands before the batch.  A row changed twice takes
+    its last change that passes these; of different rows that then share a
+    key, the first by ``seq`` wins (strictly first-come over all keys).  A
+    rejected change blocks nobody.  ``accepted`` has the changes that take
+    effect."""
     v = validate(changes, RULES[rules]) if rules else changes.withColumn("errors", F.array())
     v = typed(v, name)
     reason = F.when(F.size("errors") > 0, F.lit("invalide"))
@@ -209,17 +226,23 @@ def full_update(base: DataFrame, changes: DataFrame, cols: list[str], name: str,
         v = v.withColumn("reason", reason).drop("_exists")
     else:
         v = v.withColumn("reason", reason)
-    for k in (UNIQUE_KEYS.get(name, []) if unique is None else unique):
-        k = list(k)
-        others = base.select(F.col(key).alias("_owner"), *k)
-        j = v.join(others, k, "left")
-        taken = (j.filter(F.col("_owner").isNotNull() & (F.col("_owner") != F.col(key)))
-                 .select(seq).distinct().withColumn("_taken", F.lit(True)))
-        v = v.join(taken, seq, "left").withColumn("reason", F.coalesce(
-            F.col("reason"), F.when(F.col("_taken").isNotNull(), F.lit("doublon"))))
-        v = check_unique(v.drop("_taken"), k, None, seq, batch_reason="doublon")
+    keys = [list(k) for k in (UNIQUE_KEYS.get(name, []) if unique is None else unique)]
+    for k in keys:  # held by another row of the table
+        notnull = F.lit(True)
+        for c in k:
+            notnull = notnull & F.col(c).isNotNull()
+        held = base.filter(notnull).groupBy(*k).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+        v = v.join(held, k, "left").withColumn("reason", F.coalesce(F.col("reason"), F.when(
+            (F.col("_first") != F.col(key)) | (F.col("_last") != F.col(key)), F.lit("doublon")))).drop("_first", "_last")
     ok, bad = _split(v)
-    ok = _latest(ok, key, seq)
+    last = _latest(ok, key, seq)
+    if keys:  # between the rows that are left, each by its last change
+        last = check_unique_multi(last, keys, None, seq, batch_reason="doublon") if len(keys) > 1 else \
+            check_unique(last, keys[0], None, seq, batch_reason="doublon")
+        ok, twice = _split(last)
+        bad = bad.unionByName(twice, allowMissingColumns=True)
+    else:
+        ok = last
     new = ok.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in cols],
                     F.lit(True).alias("_m"))
     t = base.join(new, base[key] == new["_k"], "left")
@@ -341,34 +364,48 @@ def issue(kind: str, base: DataFrame, batch: DataFrame, as_of, seq: str = "seq")
         "admin_staff": ("admin_staff", "employeeId", None, "active"),
     }[kind]
     ts = F.lit(as_of).cast("timestamp")
-    rows = batch.withColumn(num_col, doc_number(kind, ts, F.col(seq)))
+    rows = _numbered(batch, base, num_col, kind, ts, seq)
     if date_col:
         rows = rows.withColumn(date_col, ts.cast("date"))
     rows = rows.withColumn("status", F.lit(status))
-    rows = with_defaults(assign_ids(rows, base, seq), name, as_of)
-    rows = rows.withColumn("reason", F.lit(None).cast("string"))
-    for k in UNIQUE_KEYS.get(name, []):
-        rows = check_unique(rows.withColumn("seq", F.col("id")), list(k), base, "seq")
+    return _insert(base, rows, name, as_of, seq)
+
+
+def _numbered(batch: DataFrame, base: DataFrame, num_col: str, kind: str, ts, seq: str) -> DataFrame:
+    """Document numbers that go on from the greatest one of the kind and year
+    in the table, as the ids do: one scalar subquery."""
+    top = F.coalesce(base.agg(F.max(doc_tail(num_col, kind, ts))).scalar(), F.lit(0).cast("bigint"))
+    return batch.withColumn(num_col, doc_number(kind, ts, top + F.col(seq).cast("bigint")))
+
+
+def _insert(base: DataFrame, rows: DataFrame, name: str, as_of, seq: str) -> ChangeSet:
+    """Ids and defaults, then NOT NULL and all unique keys together."""
+    rows = with_defaults(assign_ids(rows, base, seq), name, as_of, keep=(seq,))
+    rows = _require_values(rows.withColumn("reason", F.lit(None).cast("string")), name)
+    keys = [list(k) for k in UNIQUE_KEYS.get(name, [])]
+    if len(keys) > 1:
+        rows = check_unique_multi(rows, keys, base, seq)
+    elif keys:
+        rows = check_unique(rows, keys[0], base, seq)
     ok, bad = _split(rows)
     ok = conform(ok, name)
-    return ChangeSet(append(base, ok, name), ok, bad)
+    return ChangeSet(append(base, ok, name), ok, bad, rows)
 
 
 def post_payments(bills: DataFrame, payments: DataFrame, batch: DataFrame, as_of,
                   seq: str = "seq") -> tuple[ChangeSet, DataFrame]:
     """Append the payments (number, today, 'completed'), then mark every
-    bill that received a payment as 'paid' - whatever the amount, as the
-    reference does.  Returns the payments change set and the new bills."""
+    bill that received an accepted payment as 'paid' - whatever the amount,
+    as the reference does.  Returns the payments change set and the new bills."""
     ts = F.lit(as_of).cast("timestamp")
-    rows = (batch.withColumn("paymentNumber", doc_number("payment", ts, F.col(seq)))
+    rows = (_numbered(batch, payments, "paymentNumber", "payment", ts, seq)
             .withColumn("date", ts.cast("date")).withColumn("status", F.lit("completed")))
-    rows = with_defaults(assign_ids(rows, payments, seq), "payments", as_of)
-    paid = batch.select(F.col("billId").alias("_paid")).distinct()
+    posted = _insert(payments, rows, "payments", as_of, seq)
+    paid = posted.accepted.select(F.col("billId").alias("_paid")).distinct()
     new_bills = bills.join(paid, bills["id"] == paid["_paid"], "left").select(
         *[(F.when(F.col("_paid").isNotNull(), F.lit("paid")).otherwise(F.col("status"))
            .alias("status")) if c == "status" else F.col(c) for c in bills.columns])
-    empty = rows.limit(0).withColumn("reason", F.lit(None).cast("string"))
-    return ChangeSet(append(payments, rows, "payments"), rows, empty), new_bills
+    return posted, new_bills
 
 
 def submit_scholarships(requests: DataFrame, batch: DataFrame, seq: str = "seq",

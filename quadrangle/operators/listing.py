@@ -114,21 +114,12 @@ def _check_page(page: int, limit: int):
         raise ValueError(f"page must be an integer >= 1, got {page!r}")
 
 
-# Above this many rows to skip, a page is cut from range partitions instead of
-# a top-k that would hold offset+limit rows in every task.
-DEEP_OFFSET = 100_000
-
-
 def page_of(rows: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
-    """Rows ``(page-1)*limit .. page*limit`` of ``rows`` in ``order``.
-
-    Shallow pages are ``orderBy().offset().limit()`` (TakeOrderedAndProject:
-    each task keeps offset+limit rows).  Deep pages use :func:`deep_page`."""
+    """Rows ``(page-1)*limit .. page*limit`` of ``rows`` in ``order``: a top-k
+    in which each task keeps offset+limit rows.  For pages far into a large
+    listing there are :func:`deep_page` and :func:`after_key`."""
     _check_page(page, limit)
-    offset = (page - 1) * limit
-    if offset + limit > DEEP_OFFSET:
-        return deep_page(rows, order, offset, limit)
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    return rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
 def deep_page(rows: DataFrame, order: list[Column], offset: int, limit: int,
@@ -179,72 +170,45 @@ def paginate(rows: DataFrame, base: DataFrame, order: list[Column], page: int =
 
 
 def restrict(dim: DataFrame, rows: DataFrame, fk: str, key: str = "id") -> DataFrame:
-    """``dim`` reduced to the keys ``rows`` refers to - ``rows`` is a page
-    (at most a page size of rows), so broadcasting its keys is bounded."""
-    return dim.join(F.broadcast(rows.select(F.col(fk).alias(key)).distinct()), key, "left_semi")
+    """``dim`` reduced to the keys ``rows`` refers to.  Whether the keys are
+    sent to all tasks is left to AQE, which measures them."""
+    return dim.join(rows.select(F.col(fk).alias(key)).distinct(), key, "left_semi")
 
 
 def page_then_enrich(base: DataFrame, order: list[Column], sort_cols: list[str],
                      parents: list[tuple[str, DataFrame]], enrich, page: int, limit: int,
                      key: str = "id") -> DataFrame:
     """A page of ``enrich(base)`` where ``enrich`` inner-joins the ``parents``
-    (by primary key) and left-joins other dimensions - without joining or
-    shuffling the whole table.
-
-    Shallow pages: the first ``2 * (offset + limit)`` base rows in order are
-    taken (a top-k: each task keeps that many rows) and written once; the
-    candidates whose parents exist are found by scanning each parent against
-    a broadcast of the candidates' keys (bounded by the candidate count);
-    when fewer than ``offset + limit`` survive and the base has more rows,
-    the candidate count is quadrupled.  Every row of the page lies among the
-    candidates, so the page is exact; only its rows are enriched.
-
-    Deep pages: narrow rows (key, sort columns, foreign keys) are semi-joined
-    to the parents, the page's keys are cut from them (:func:`page_of`), and
-    only those rows are fetched and enriched."""
-    from ..plans.materialize import materialize
-    _check_page(page, limit)
-    offset = (page - 1) * limit
-    need = offset + limit
-    fks = [fk for fk, _ in parents]
-    if need * 2 > DEEP_OFFSET:
-        narrow = base.select(*dict.fromkeys([key, *sort_cols, *fks]))
-        for fk, parent in parents:
-            narrow = narrow.join(parent.select(F.col("id").alias(fk)), fk, "left_semi")
-        ids = page_of(narrow, order, page, limit).select(key)
-        picked = base.join(F.broadcast(ids), key, "left_semi")
-        return enrich(picked).orderBy(*order)
-    want = 2 * need
-    while True:
-        cand = materialize(base.orderBy(*order).limit(want), "page-candidates")
-        flagged = cand
-        for i, (fk, parent) in enumerate(parents):
-            hit = (restrict(parent.select("id"), cand, fk)
-                   .select(F.col("id").alias(fk), F.lit(True).alias(f"_p{i}")))
-            flagged = flagged.join(hit, fk, "left")
-        ok = F.lit(True)
-        for i in range(len(parents)):
-            ok = ok & F.col(f"_p{i}").isNotNull()
-        total, valid_n = flagged.agg(F.count(F.lit(1)), F.count_if(ok)).first()
-        if valid_n >= need or total < want or want >= DEEP_OFFSET:
-            break
-        want *= 4
-    valid = flagged.filter(ok).drop(*[f"_p{i}" for i in range(len(parents))])
-    return enrich(valid.orderBy(*order).offset(offset).limit(limit)).orderBy(*order)
+    (by primary key) and left-joins other dimensions.
+
+    Narrow rows (key, sort columns, foreign keys) are semi-joined to the
+    parents, the page's keys are cut from what is left, and only the page's
+    rows are fetched and enriched.  One path at every size, and no bound on
+    how many rows without parents stand before the page."""
+    narrow = base.select(*dict.fromkeys([key, *sort_cols, *[fk for fk, _ in parents]]))
+    for fk, parent in parents:
+        narrow = narrow.join(parent.select(F.col("id").alias(fk)), fk, "left_semi")
+    ids = page_of(narrow, order, page, limit).select(key)
+    return enrich(base.join(ids, key, "left_semi")).orderBy(*order)
 
 
 def after_key(rows: DataFrame, order: list[Column], keys: list[str], after: tuple,
-              limit: int) -> DataFrame:
+              limit: int, descending: tuple[str, ...] = ()) -> DataFrame:
     """Keyset page: the ``limit`` rows that follow ``after`` (values of the
-    ascending sort ``keys``) - each task filters then keeps ``limit`` rows,
-    so deep pages cost no more than the first one."""
-    cond = None
-    for i in range(len(keys) - 1, -1, -1):
-        gt = F.col(keys[i]) > F.lit(after[i])
-        eq_prefix = reduce(lambda a, b: a & b,
-                           [F.col(keys[j]) == F.lit(after[j]) for j in range(i)], F.lit(True))
-        term = eq_prefix & gt
-        cond = term if cond is None else (cond | term)
+    sort ``keys``) - each task filters then keeps ``limit`` rows, so deep
+    pages cost no more than the first one.  Ascending keys sort NULLs first,
+    those in ``descending`` NULLs last, as the listings do; ``after`` may
+    hold NULLs."""
+    cond = F.lit(False)
+    for i, k in enumerate(keys):
+        c, v = F.col(k), after[i]
+        if k in descending:
+            follows = F.lit(False) if v is None else (c < F.lit(v)) | c.isNull()
+        else:
+            follows = c.isNotNull() if v is None else c > F.lit(v)
+        for j in range(i):
+            follows = F.col(keys[j]).eqNullSafe(F.lit(after[j])) & follows
+        cond = cond | F.coalesce(follows, F.lit(False))
     return rows.filter(cond).orderBy(*order).limit(limit)
 
 
@@ -479,19 +443,19 @@ def departments_base(depts, search=None, ascii_only=False):
         search_cond(search, DEPARTMENT_SEARCH, ascii_only) if _given(search) else None])
 
 
-def departments_rows(base, students, profs, courses, bounded: bool = False):
-    """``d.*`` plus three distinct child counts (J8, pre-aggregated).  With
-    ``bounded`` (``base`` is a page of at most a page size of rows), each
-    child is first semi-joined to a broadcast of the page's ids, so only
+def departments_rows(base, students, profs, courses, of_page: bool = False):
+    """``d.*`` plus three child counts (J8, pre-aggregated; the children's ids
+    are primary keys, so plain counts are the distinct ones).  With
+    ``of_page`` each child is first semi-joined to the page's ids, so only
     the page's children are counted."""
     out = base
-    ids = F.broadcast(base.select(F.col("id").alias("departement_id"))) if bounded else None
+    ids = base.select(F.col("id").alias("departement_id")) if of_page else None
     for child, name in ((students, "nb_etudiants"), (profs, "nb_professeurs"),
                         (courses, "nb_cours")):
         if ids is not None:
             child = child.join(ids, "departement_id", "left_semi")
         per = child.groupBy(F.col("departement_id").alias("_dept")).agg(
-            F.countDistinct("id").alias(name))
+            F.count("id").alias(name))
         out = out.join(per, out["id"] == per["_dept"], "left").drop("_dept")
     return out.fillna(0, ["nb_etudiants", "nb_professeurs", "nb_cours"])
 
@@ -500,12 +464,9 @@ def list_departments(depts, students, profs, courses, page=1,
                      limit=PAGE_SIZE["departments"], **filters) -> Page:
     base = departments_base(depts, **filters)
     order = _asc("nom", "id")
-    if (page - 1) * limit + limit <= DEEP_OFFSET:
-        rows = page_then_left_join(
-            base, order, lambda b: departments_rows(b, students, profs, courses, bounded=True),
-            page, limit)
-    else:
-        rows = page_of(departments_rows(base, students, profs, courses), order, page, limit)
+    rows = page_then_left_join(
+        base, order, lambda b: departments_rows(b, students, profs, courses, of_page=True),
+        page, limit)
     return Page(rows, pagination(base, page, limit))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from ..plans.skew import annotate, heavy_hitters_many, salted_left_join
+from ..plans.skew import annotate
 
 TIME_PATTERN = r"^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -226,6 +226,7 @@ class ParentCheck:
     parent: DataFrame
     batch_cols: tuple[str, ...]
     parent_cols: tuple[str, ...]
+    unique: bool = True  # the parent's columns are a primary or UNIQUE key
 
 
 def key_verdict(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
@@ -251,38 +252,27 @@ def key_flag(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list
 
 
 def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str = "reason",
-                  prior: Column | None = None, skew_safe: bool = True) -> DataFrame:
+                  prior: Column | None = None) -> DataFrame:
     """Report the first failing parent check per batch row
     (``prior``, e.g. the validation verdict, takes precedence).
 
-    Existence is decided per key (:func:`key_flag`).  With ``skew_safe``
-    and several checks, the batch is written once to the shared checkpoint
-    folder so the per-check aggregations read it instead of recomputing its
-    lineage.  Integer keys coming as text are ``try_cast``."""
+    Each check is one left join with the parent's key columns, read once and
+    without a pass over the batch before: a plain shuffle on both sides, so
+    AQE splits the partition of a hot key or of NULL keys.  Only a parent
+    whose columns are no key (``unique=False``) is made distinct first.
+    Integer keys coming as text are ``try_cast``."""
     out = batch
-    for ch in checks:
+    reason = prior if prior is not None else F.lit(None).cast("string")
+    for i, ch in enumerate(checks):
         for b, pcol in zip(ch.batch_cols, ch.parent_cols):
             t = ch.parent.schema[pcol].dataType
             if out.schema[b].dataType != t:
                 out = out.withColumn(b, F.col(b).try_cast(t))
-    materialized = skew_safe and len(checks) > 1
-    if materialized:
-        out = materialize(out, "checked-batch")
-    spread = F.xxhash64(*[F.col(c) for c in out.columns])
-    verdicts = [key_verdict(out, ch.parent, list(ch.batch_cols), list(ch.parent_cols),
-                            f"_hit{i}") for i, ch in enumerate(checks)]
-    if skew_safe and not materialized:
-        verdicts = [materialize(v, "per-key") for v in verdicts]
-    hots = (heavy_hitters_many([(v, list(ch.batch_cols), "_n")
-                                for v, ch in zip(verdicts, checks)])
-            if skew_safe else [None] * len(checks))
-    flags = []
-    for i, (ch, v, hot) in enumerate(zip(checks, verdicts, hots)):
-        out = salted_left_join(out, v.drop("_n"), list(ch.batch_cols), hot, spread)
-        flags.append((ch.reason, F.col(f"_hit{i}").isNull()))
-    reason = prior if prior is not None else F.lit(None).cast("string")
-    for r, failed in flags:
-        reason = F.coalesce(reason, F.when(failed, F.lit(r)))
+        keys = ch.parent.select(*[F.col(p).alias(b) for p, b in zip(ch.parent_cols, ch.batch_cols)])
+        if not ch.unique:
+            keys = keys.distinct()
+        out = out.join(keys.withColumn(f"_hit{i}", F.lit(True)), list(ch.batch_cols), "left")
+        reason = F.coalesce(reason, F.when(F.col(f"_hit{i}").isNull(), F.lit(ch.reason)))
     return out.withColumn(reason_col, reason).drop(*[f"_hit{i}" for i in range(len(checks))])
 
 
@@ -323,8 +313,8 @@ def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None
 
 def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame | None = None,
                        seq: str = "seq", reason_col: str = "reason",
-                       base_reason: str = "doublon", batch_reason: str = "doublon_lot",
-                       checkpoint_every: int = 1) -> DataFrame:
+                       base_reason: str = "doublon", batch_reason: str = "doublon_lot"
+                       ) -> DataFrame:
     """W3 over several unique keys with strict first-come semantics: a row is
     accepted iff no key is in ``base`` and no *accepted* earlier row shares
     any key with it (a rejected row blocks nobody).
@@ -335,8 +325,10 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     round, for every key, the smallest-seq row among the rows still in play
     (undecided or accepted) is found by aggregation; an undecided row whose
     every key points at itself is accepted, one whose key points at an
-    accepted row is rejected.  The smallest undecided row is always decided,
-    so the loop ends.  Lineage is cut by writing each round to the shared
+    accepted row is rejected.  Decided rows leave, but for accepted ones that
+    share a key with an undecided row.  The smallest undecided row is always
+    decided, so the loop ends; a chain in which each row shares a key with
+    the next takes a round for every second row.  Lineage is cut by writing each round to the shared
     ``spark.checkpoint.dir`` (:func:`plans.materialize.materialize`)."""
     if reason_col not in batch.columns:
         batch = batch.withColumn(reason_col, F.lit(None).cast("string"))
@@ -352,16 +344,15 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     eligible = cur.filter(F.col(reason_col).isNull())
     for i, k in enumerate(keys):
         notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-        n = (eligible.filter(notnull).groupBy(*k).agg(F.count(F.lit(1)).alias(f"_n{i}"))
-             .filter(F.col(f"_n{i}") > 1))
-        cur = cur.join(n, k, "left")
+        n = (eligible.filter(notnull).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > 1).withColumn(f"_n{i}", F.lit(True)))
+        cur = annotate(cur, n, k, "_n", F.col(seq))
     shared = reduce(lambda a, b: a | b, [F.col(f"_n{i}").isNotNull() for i in range(len(keys))])
     cur = cur.withColumn("_collides", F.col(reason_col).isNull() & shared).drop(
         *[f"_n{i}" for i in range(len(keys))])
-    settled = cur.filter(~F.col("_collides")).drop("_collides")
+    settled = [cur.filter(~F.col("_collides")).drop("_collides")]
     work = cur.filter(F.col("_collides")).drop("_collides").withColumn("_state", F.lit(0))
     work = materialize(work, "unique-rounds")
-    rnd = 0
     while not work.filter(F.col("_state") == 0).isEmpty():
         live = F.col("_state") < 2
         step = work
@@ -380,12 +371,20 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
                      .when(undecided & reduce(lambda a, b: a & b, own), 1)
                      .otherwise(F.col("_state")))
         work = step.withColumn("_state", new_state).drop(*[f"_m{i}" for i in range(len(keys))])
-        rnd += 1
-        if rnd % checkpoint_every == 0:
-            work = materialize(work, "unique-rounds")
-    work = (work.withColumn(reason_col, F.when(F.col("_state") == 2, F.lit(batch_reason)))
-            .drop("_state"))
-    return settled.unionByName(work)
+        work = materialize(work, "unique-rounds")
+        # Rejected rows block nobody, and an accepted row whose keys no
+        # undecided row shares is out of the rounds, too.
+        settled.append(work.filter("_state = 2").drop("_state").withColumn(reason_col, F.lit(batch_reason)))
+        work = work.filter("_state < 2")
+        open_keys = work.filter("_state = 0")
+        touched = F.lit(False)
+        for i, k in enumerate(keys):
+            work = work.join(open_keys.select(*k).dropna().distinct().withColumn(f"_t{i}", F.lit(True)), k, "left")
+            touched = touched | F.col(f"_t{i}").isNotNull()
+        work = work.withColumn("_touched", (F.col("_state") == 0) | touched).drop(*[f"_t{i}" for i in range(len(keys))])
+        settled.append(work.filter(~F.col("_touched")).drop("_touched", "_state"))
+        work = materialize(work.filter("_touched").drop("_touched"), "unique-rounds")
+    return reduce(lambda a, b: a.unionByName(b), settled)
 
 
 # -- W12: orphans ---------------------------------------------------------------------------

@@ -42,6 +42,8 @@ def with_views(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{v} AS ({conformed_view(v)})" for v in used)
     body = body.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -273,3 +273,93 @@ SELECT c.id AS seq,
             THEN 'conflit' END AS reason
 FROM emplois_temps c
 """
+
+
+def number(prefix: str, n: str) -> str:
+    """A document number of 2024."""
+    return f"'{prefix}-2024-' || CASE WHEN {n} < 100000 THEN lpad(CAST({n} AS VARCHAR), 6, '0') ELSE CAST({n} AS VARCHAR) END"
+
+
+BILLS_ISSUED_TABLE = f"""
+SELECT id, invoiceNumber, studentId, amount, description, issueDate, status FROM bills
+UNION ALL
+SELECT (SELECT max(id) FROM bills) + e.id, {number('FAC', 'e.id')}, e.id, e.id * CAST(1.5 AS DOUBLE),
+       'frais', DATE '2024-01-01', 'pending'
+FROM etudiants e WHERE e.id % 7 <> 0
+"""
+
+# An e-mail goes to the first row that asks for it; rows without one are out.
+ADMIN_STAFF_ISSUE_REPORT = f"""
+WITH batch AS (
+  SELECT id AS seq, CASE WHEN id % 10 <> 0 THEN
+           'a' || CAST(CASE WHEN id % 3 = 2 THEN id - 1 ELSE id END AS VARCHAR) || '@campus.fr' END AS email
+  FROM professeurs)
+SELECT (SELECT max(id) FROM admin_staff) + seq AS id, {number('ADM', 'seq')} AS "employeeId", email,
+       'active' AS status,
+       CASE WHEN email IS NULL THEN 'valeur_manquante'
+            WHEN EXISTS (SELECT 1 FROM batch p WHERE p.email = b.email AND p.seq < b.seq) THEN 'doublon_lot'
+       END AS reason
+FROM batch b
+"""
+
+PAYMENTS_POSTED_TABLE = f"""
+SELECT id, paymentNumber, billId, amount, method, date, status FROM payments
+UNION ALL
+SELECT (SELECT max(id) FROM payments) + b.id, {number('PAY', 'b.id')}, b.id, b.amount, 'cash',
+       DATE '2024-01-01', 'completed'
+FROM bills b WHERE b.status = 'pending' AND b.id % 9 <> 0
+"""
+
+BILLS_AFTER_POSTING = """
+SELECT id, CASE WHEN status = 'pending' AND id % 9 <> 0 THEN 'paid' ELSE status END AS status FROM bills
+"""
+
+STUDENTS_AFTER_UPDATE = """
+WITH asked AS (
+  SELECT id AS seq, id, niveau, departement_id,
+         CASE WHEN id % 10 = 0 THEN 'e' || CAST(id + 1 AS VARCHAR) || '@campus.fr'
+              WHEN id % 25 = 5 THEN 'same' || CAST(id // 50 AS VARCHAR) || '@campus.fr'
+              ELSE 'new' || CAST(id AS VARCHAR) || '@campus.fr' END AS email
+  FROM etudiants WHERE id % 5 = 0
+  UNION ALL
+  SELECT id + 1000000000000, id, 'L9', departement_id,
+         CASE WHEN id % 2 = 0 THEN email
+              WHEN id % 25 = 5 THEN 'same' || CAST(id // 50 AS VARCHAR) || '@campus.fr'
+              ELSE 'new' || CAST(id AS VARCHAR) || '@campus.fr' END
+  FROM etudiants WHERE id % 15 = 0),
+allowed AS (
+  SELECT a.* FROM asked a
+  WHERE a.departement_id IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM etudiants o WHERE o.email = a.email AND o.id <> a.id)),
+latest AS (SELECT * FROM allowed QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+done AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY email ORDER BY seq) = 1)
+SELECT e.id, COALESCE(d.email, e.email) AS email, COALESCE(d.niveau, e.niveau) AS niveau
+FROM etudiants e LEFT JOIN done d ON d.id = e.id
+"""
+
+# Rows are taken in the order of seq; one is in unless its number or e-mail is
+# taken by the table or by an earlier row that is in.  A number is shared by
+# an even row and the odd one after it, an e-mail by a multiple of nine and
+# the row before it, so a row depends on the one before it alone.
+STUDENTS_APPENDED_TABLE = """
+WITH RECURSIVE asked AS (
+  SELECT id AS seq, row_number() OVER (ORDER BY id) AS k,
+         CASE WHEN id % 4 = 0 THEN 'ETU-' || CAST(id AS VARCHAR)
+              ELSE 'M-' || CAST(id - id % 2 AS VARCHAR) END AS matricule,
+         'm' || CAST(CASE WHEN id % 9 = 0 THEN id - 1 ELSE id END AS VARCHAR) || '@campus.fr' AS email
+  FROM professeurs),
+free AS (
+  SELECT a.*, a.matricule NOT IN (SELECT matricule FROM etudiants)
+              AND a.email NOT IN (SELECT email FROM etudiants) AS ok
+  FROM asked a),
+taken AS (
+  SELECT k, seq, matricule, email, ok AS inside FROM free WHERE k = 1
+  UNION ALL
+  SELECT f.k, f.seq, f.matricule, f.email,
+         f.ok AND NOT (t.inside AND (t.matricule = f.matricule OR t.email = f.email))
+  FROM taken t JOIN free f ON f.k = t.k + 1)
+SELECT id, matricule, email, niveau, created_at FROM etudiants
+UNION ALL
+SELECT (SELECT max(id) FROM etudiants) + seq, matricule, email, 'L1', TIMESTAMP '2024-01-01 00:00:00'
+FROM taken WHERE inside
+"""

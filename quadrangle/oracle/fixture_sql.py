@@ -45,7 +45,7 @@ FROM (SELECT o_custkey AS etudiant_id, l_partkey AS cours_id, o_orderdate
 GROUP BY etudiant_id, cours_id
 """,
     "notes": """
-SELECT (((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) * 10 + l_linenumber AS id, o_custkey AS etudiant_id, l_partkey AS cours_id,
+SELECT ((l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag)) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_quantity) AS id, o_custkey AS etudiant_id, l_partkey AS cours_id,
        l_returnflag AS type_evaluation, CAST(CAST(l_quantity AS INT) % 21 AS DOUBLE) AS note,
        CAST(l_linenumber % 4 AS DOUBLE) AS coefficient,
        CAST(l_shipdate AS DATE) AS date_evaluation
@@ -62,7 +62,7 @@ SELECT o_orderkey AS id, o_orderkey % 200 AS cours_id,
 FROM orders
 """,
     "absences": """
-SELECT (((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) * 10 + l_linenumber AS id, o_custkey AS etudiant_id, l_partkey AS cours_id,
+SELECT ((l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag)) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_quantity) AS id, o_custkey AS etudiant_id, l_partkey AS cours_id,
        CAST(l_shipdate AS DATE) AS date_absence,
        CASE WHEN l_tax = 0 THEN NULL ELSE o_orderpriority END AS motif,
        l_linestatus = 'F' AS justifiee
@@ -76,14 +76,14 @@ SELECT o_orderkey AS id, 'FAC-' || CAST(o_orderkey AS STRING) AS invoiceNumber,
 FROM orders
 """,
     "payments": """
-SELECT (((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) * 10 + l_linenumber AS id, 'PAY-' || CAST((((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) * 10 + l_linenumber AS STRING) AS paymentNumber,
+SELECT ((l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag)) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_quantity) AS id, 'PAY-' || CAST(((l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag)) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_quantity) AS STRING) AS paymentNumber,
        l_orderkey AS billId, o_custkey AS studentId, l_extendedprice AS amount,
        l_returnflag AS method, CAST(l_shipdate AS DATE) AS date,
        CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'pending' END AS status
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
 """,
     "expenses": """
-SELECT (((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) * 10 + l_linenumber AS id, 'EXP-' || CAST((((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) * 10 + l_linenumber AS STRING) AS expenseNumber,
+SELECT ((l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag)) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_quantity) AS id, 'EXP-' || CAST(((l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag)) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_quantity) AS STRING) AS expenseNumber,
        l_returnflag AS description, l_extendedprice AS amount, l_returnflag AS category,
        CAST(l_suppkey % 27 AS BIGINT) AS departmentId, 'S' || CAST(l_suppkey AS STRING) AS supplier,
        CAST(l_shipdate AS DATE) AS date,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
@@ -20,6 +20,15 @@ from ..session import ensure_checkpoint_dir
 def materialize(df: DataFrame, label: str = "m") -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/quadrangle-tables/{label}-{uuid.uuid4().hex}"
+    path = f"{root}/quadrangle-tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def cleanup(spark: SparkSession) -> bool:
+    """Delete all tables that this application has materialized - at its end,
+    or as soon as no DataFrame made from them is read any more."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/quadrangle-tables/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,12 +7,13 @@ out of an aggregation, so AQE's skew-join split does not apply (it needs a
 plain shuffle on both sides); a key holding a third of all rows would be
 joined by a single task.
 
-``heavy_hitters`` picks the keys that hold more than ``total / max_keys``
-rows (and at least ``min_rows``): by construction there are at most
-``max_keys`` of them, so broadcasting that set is safe at any scale.
-``salted_left_join`` spreads each hot key's rows over ``salts`` sub-keys
-(by a hash of a row column) and replicates only the hot keys' per-key rows
-``salts`` times; cold keys join as before.  One pass over the large side,
+``heavy_hitters`` picks the keys that hold more than ``min_rows`` rows, what
+one task should have, and more than ``total / max_keys``: by construction
+there are at most ``max_keys`` of them, so broadcasting that set is safe at
+any scale.  Each has a number of salts that goes by its count, one for every
+``min_rows`` rows.  ``salted_left_join`` spreads a hot key's rows over its
+salts (by a hash of a row column) and replicates only the hot keys' per-key
+rows; cold keys join as before.  One pass over the large side,
 no change to the result.
 """
 
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .materialize import materialize
 
-DEFAULT_MAX_KEYS = 1000
+DEFAULT_MAX_KEYS = 100_000
 DEFAULT_MIN_ROWS = 200_000
-DEFAULT_SALTS = 64
 
 
 def _limits(spark, max_keys: int, min_rows: int) -> tuple[int, int]:
@@ -56,7 +56,8 @@ def heavy_hitters_many(frames: list[tuple[DataFrame, list[str], str]],
         if largest is None or largest <= threshold:
             out.append(None)
         else:
-            out.append(counts.filter(F.col(count_col) > threshold).select(*on))
+            out.append(counts.filter(F.col(count_col) > threshold).select(
+                *on, (F.ceil(F.col(count_col) / F.lit(min_rows)) + 1).cast("int").alias("_salts")))
     return out
 
 
@@ -72,28 +73,26 @@ def heavy_hitters(counts: DataFrame, on: list[str], count_col: str,
 
 
 def salted_left_join(big: DataFrame, per_key: DataFrame, on: list[str], hot: DataFrame | None,
-                     spread: Column, salts: int = DEFAULT_SALTS, how: str = "left"
-                     ) -> DataFrame:
+                     spread: Column, how: str = "left") -> DataFrame:
     """``big JOIN per_key USING (on)`` (``how`` = left / inner / left_semi /
-    left_anti), with the rows of ``hot`` keys spread over ``salts`` tasks.
+    left_anti), with the rows of each of the ``hot`` keys spread over its
+    ``_salts`` tasks.
     ``spread`` is a column of ``big`` that varies within a key (e.g. ``seq``);
     ``hot`` must be bounded (see :func:`heavy_hitters`)."""
     if hot is None:
         return big.join(per_key, on, how)
-    marks = F.broadcast(hot.select(*on).distinct().withColumn("_hot", F.lit(True)))
+    marks = F.broadcast(hot.select(*on, "_salts"))
     b = big.join(marks, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)))
-        .otherwise(F.lit(0)).cast("int")).drop("_hot")
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_salts")))
+        .otherwise(F.lit(0)).cast("int")).drop("_salts")
     p = per_key.join(marks, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return b.join(p, [*on, "_salt"], how).drop("_salt")
 
 
 def annotate(big: DataFrame, per_key: DataFrame, on: list[str], count_col: str, spread: Column,
              skew_safe: bool = True, max_keys: int = DEFAULT_MAX_KEYS,
-             min_rows: int = DEFAULT_MIN_ROWS, salts: int = DEFAULT_SALTS,
-             checkpoint: bool = True) -> DataFrame:
+             min_rows: int = DEFAULT_MIN_ROWS, checkpoint: bool = True) -> DataFrame:
     """Left-join ``per_key`` (one row per key, with the number of ``big`` rows
     of the key in ``count_col``) onto ``big``, salting the hot keys.
 
@@ -106,4 +105,4 @@ def annotate(big: DataFrame, per_key: DataFrame, on: list[str], count_col: str,
     if checkpoint:
         per_key = materialize(per_key, "per-key")
     hot = heavy_hitters(per_key, on, count_col, max_keys, min_rows)
-    return salted_left_join(big, per_key.drop(count_col), on, hot, spread, salts)
+    return salted_left_join(big, per_key.drop(count_col), on, hot, spread)

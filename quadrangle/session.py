@@ -30,7 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("QUAD_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
-    if "spark.checkpoint.dir" not in conf and not _active_checkpoint_dir():
+    local = (master or "local").startswith("local") and not (master or "").startswith("local-cluster")
+    if local and "spark.checkpoint.dir" not in conf and not _active_checkpoint_dir():
         # Tests only: a cluster names its shared folder in spark.checkpoint.dir.
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(
             prefix="quad-ckpt-", dir=os.environ.get("QUAD_SCRATCH", "/tmp"))
@@ -52,7 +53,9 @@ def _active_checkpoint_dir() -> str | None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir`` when one is set; only
-    when it is unset (local tests) pick a scratch folder of our own."""
+    where it is unset on a local master (tests) pick a scratch folder of our
+    own.  Unset on a cluster it is an error: a machine's own folder would be
+    out of the other machines' reach."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
@@ -62,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     cur = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share; "
+                               f"it is unset on {sc.master}")
         cur = tempfile.mkdtemp(prefix="quad-ckpt-", dir=os.environ.get("QUAD_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)

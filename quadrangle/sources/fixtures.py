@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schemas import SCHEMAS, conform
@@ -31,9 +31,14 @@ def _s(c: Column) -> Column:
 
 
 def _line_id() -> Column:
-    """Synthetic unique id of a lineitem row (the fixture's formula)."""
-    return ((((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey"))
-             * 100 + F.col("l_quantity").cast("bigint")) * 10 + F.col("l_linenumber"))
+    """Unique id of a lineitem row: its order, line number and return flag,
+    and its place among the lines that share these.  Holds orders up to
+    9 * 10^12 and 999 such lines.  The window runs within an order, on the
+    partitioning of the join with ``orders``; it is pruned where no id is
+    read, and filters on the flag still reach the scan."""
+    same = Window.partitionBy("l_orderkey", "l_linenumber", "l_returnflag").orderBy("l_partkey", "l_suppkey", "l_quantity")
+    head = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.ascii("l_returnflag")
+    return head * 1000 + F.row_number().over(same)
 
 
 def _case_index(key: Column, names: list[str]) -> Column:
@@ -124,7 +129,7 @@ class Campus:
         return li.select("l_orderkey", *line_cols).join(
             o, F.col("l_orderkey") == F.col("o_orderkey"))
 
-    _ID_COLS = ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
+    _ID_COLS = ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_returnflag")
 
     @cached_property
     def inscriptions(self) -> DataFrame:
@@ -138,9 +143,9 @@ class Campus:
 
     @cached_property
     def notes(self) -> DataFrame:
-        j = self._lines(None, self._ID_COLS + ("l_returnflag", "l_shipdate"), ("o_custkey",))
-        df = j.select(
-            _line_id().alias("id"), F.col("o_custkey").alias("etudiant_id"),
+        j = self._lines(None, self._ID_COLS + ("l_shipdate",), ("o_custkey",))
+        df = j.withColumn("_line", _line_id()).select(
+            F.col("_line").alias("id"), F.col("o_custkey").alias("etudiant_id"),
             F.col("l_partkey").alias("cours_id"), F.col("l_returnflag").alias("type_evaluation"),
             (F.col("l_quantity").cast("int") % 21).cast("double").alias("note"),
             (F.col("l_linenumber") % 4).cast("double").alias("coefficient"),
@@ -165,8 +170,8 @@ class Campus:
         j = self._lines(F.col("l_returnflag") == "R",
                         self._ID_COLS + ("l_shipdate", "l_tax", "l_linestatus"),
                         ("o_custkey", "o_orderpriority"))
-        df = j.select(
-            _line_id().alias("id"), F.col("o_custkey").alias("etudiant_id"),
+        df = j.withColumn("_line", _line_id()).select(
+            F.col("_line").alias("id"), F.col("o_custkey").alias("etudiant_id"),
             F.col("l_partkey").alias("cours_id"),
             F.col("l_shipdate").cast("date").alias("date_absence"),
             F.when(F.col("l_tax") == 0, F.lit(None)).otherwise(F.col("o_orderpriority"))
@@ -188,10 +193,10 @@ class Campus:
     @cached_property
     def payments(self) -> DataFrame:
         j = self._lines(F.col("l_linenumber") == 1,
-                        self._ID_COLS + ("l_extendedprice", "l_returnflag", "l_shipdate",
+                        self._ID_COLS + ("l_extendedprice", "l_shipdate",
                                          "l_linestatus"), ("o_custkey",))
-        df = j.select(
-            _line_id().alias("id"), F.concat(F.lit("PAY-"), _s(_line_id())).alias("paymentNumber"),
+        df = j.withColumn("_line", _line_id()).select(
+            F.col("_line").alias("id"), F.concat(F.lit("PAY-"), _s(F.col("_line"))).alias("paymentNumber"),
             F.col("l_orderkey").alias("billId"), F.col("o_custkey").alias("studentId"),
             F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("method"),
             F.col("l_shipdate").cast("date").alias("date"),
@@ -201,8 +206,8 @@ class Campus:
     @cached_property
     def expenses(self) -> DataFrame:
         li = self.src("lineitem").filter(F.col("l_linenumber") == 2)
-        df = li.select(
-            _line_id().alias("id"), F.concat(F.lit("EXP-"), _s(_line_id())).alias("expenseNumber"),
+        df = li.withColumn("_line", _line_id()).select(
+            F.col("_line").alias("id"), F.concat(F.lit("EXP-"), _s(F.col("_line"))).alias("expenseNumber"),
             F.col("l_returnflag").alias("description"), F.col("l_extendedprice").alias("amount"),
             F.col("l_returnflag").alias("category"),
             (F.col("l_suppkey") % 27).cast("bigint").alias("departmentId"),

@@ -9,7 +9,6 @@ import tempfile
 from pyspark.sql import functions as F
 
 from quadrangle.operators import changes, listing, reports
-from quadrangle.plans.broadcast import broadcast_if_small
 from quadrangle.plans.inspect import pushed_filters, unscalable_nodes
 
 AS_OF = dt.datetime(2024, 5, 1)
@@ -108,10 +107,6 @@ def test_delete_enrolments_and_json_sink(spark):
 
 
 def test_plan_helpers(spark, campus):
-    small = broadcast_if_small(campus.departements, 1000)
-    assert "BroadcastExchange" in campus.etudiants.join(
-        small, campus.etudiants.departement_id == small.id)._jdf.queryExecution() \
-        .executedPlan().toString()
     df = campus.notes.filter(F.col("type_evaluation") == "A")
     assert unscalable_nodes(df) == []
     assert any("EqualTo(l_returnflag,A)" in f for f in pushed_filters(df))

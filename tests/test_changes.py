@@ -186,3 +186,86 @@ def test_typed_validation_equals_text_validation(spark):
     b = [r.errors for r in quality.validate(as_text, quality.RULES["grade"]).collect()]
     assert a == b
     assert a[0] == [] and a[2] == ["cours_id", "note", "coefficient"]
+
+
+def test_document_numbers_go_on_and_stay_whole(spark):
+    bills = spark.createDataFrame([(9, "FAC-2024-000041", 1, 5.0), (3, "FAC-2023-000900", 1, 5.0), (4, "FAC-77", 1, 5.0)],
+                                  "id long, invoiceNumber string, studentId long, amount double")
+    batch = spark.createDataFrame([(1, 1, 9.5), (2, 1, None), (1234567, 1, 1.0), (123456, 1, 2.0), (1234560, 1, 3.0)],
+                                  "seq long, studentId long, amount double")
+    one = changes.issue("bill", bills, batch, AS_OF)
+    assert sorted(r.invoiceNumber for r in one.accepted.collect()) == [
+        "FAC-2024-000042", "FAC-2024-1234601", "FAC-2024-1234608", "FAC-2024-123497"]
+    assert [(r.seq, r.reason) for r in one.rejected.collect()] == [(2, "valeur_manquante")]
+    two = changes.issue("bill", one.table, batch.filter("seq = 1"), AS_OF)  # numbered from 1 again
+    assert [r.invoiceNumber for r in two.accepted.collect()] == ["FAC-2024-1234609"]
+
+
+def test_payment_numbers_are_unique_over_batches(spark):
+    bills = spark.createDataFrame([(1, 100.0, "pending")], "id long, amount double, status string")
+    pays = spark.createDataFrame([], "id long, paymentNumber string, billId long, amount double")
+    batch = spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0)], "seq long, billId long, amount double")
+    first, _ = changes.post_payments(bills, pays, batch, AS_OF)
+    second, _ = changes.post_payments(bills, first.table, batch, AS_OF)
+    numbers = [r.paymentNumber for r in second.table.collect()]
+    assert len(numbers) == len(set(numbers)) == 4
+
+
+def test_staff_keys_are_decided_together(spark):
+    staff = spark.createDataFrame([(1, "ENS-2024-000001", "a@x.fr")], "id long, employeeId string, email string")
+    batch = spark.createDataFrame([(1, "A", "B", "a@x.fr"), (2, "A", "B", "b@x.fr"), (3, "A", "B", "b@x.fr"), (4, None, "B", "c@x.fr")],
+                                  "seq long, firstName string, lastName string, email string")
+    got = {r.seq: r.reason for r in changes.issue("teaching_staff", staff, batch, AS_OF).report.collect()}
+    assert got == {1: "doublon", 2: None, 3: "doublon_lot", 4: "valeur_manquante"}
+
+
+def test_full_update_last_change_wins_and_a_rejected_one_blocks_nobody(spark):
+    cols = "id long, matricule string, email string"
+    base = spark.createDataFrame([(1, "A", "a@x"), (2, "B", "b@x"), (3, "C", "c@x")], cols)
+    run = lambda rows: {r.id: (r.matricule, r.email) for r in changes.full_update(
+        base, spark.createDataFrame(rows, "seq long, " + cols), ["matricule", "email"], "etudiants").table.collect()}
+    assert run([(1, 1, "A", "a1@x"), (2, 1, "A", "a2@x")])[1] == ("A", "a2@x")  # keeps its own number twice
+    # the first is refused for its e-mail and doesn't hold the number against the second
+    got = run([(1, 1, "Z", "b@x"), (2, 3, "Z", "z@x")])
+    assert got == {1: ("A", "a@x"), 2: ("B", "b@x"), 3: ("Z", "z@x")}
+    # of two rows that ask for one number the first has it
+    assert run([(1, 1, "Y", "y@x"), (2, 3, "Y", "w@x")]) == {1: ("Y", "y@x"), 2: ("B", "b@x"), 3: ("C", "c@x")}
+
+
+def test_checked_appends_with_a_written_batch(spark):
+    one = spark.createDataFrame([(1,)], "id long")
+    enrol = spark.createDataFrame([(1, 1, 1)], "id long, etudiant_id long, cours_id long")
+    batch = spark.createDataFrame([(1, "1", 1), (2, "1", 1)], "seq long, etudiant_id string, cours_id long")
+    plain, written = ({r.seq: r.reason for r in changes.enrol_check(enrol, batch, one, one, materialize=m).collect()}
+                      for m in (False, True))
+    assert plain == written == {1: "deja_inscrit", 2: "deja_inscrit"}
+    absent = spark.createDataFrame([], "id long, etudiant_id long, cours_id long, date_absence date, motif string, justifiee boolean")
+    rows = spark.createDataFrame([(1, "1", "1", "2024-01-03", None, "true"), (2, "1", "1", "2024-01-03", None, "true")],
+                                 "seq long, etudiant_id string, cours_id string, date_absence string, motif string, justifiee string")
+    got = [{r.seq: r.reason for r in changes.add_absences(absent, rows, one, one, enrol, as_of=AS_OF, materialize=m).report.collect()}
+           for m in (False, True)]
+    assert got[0] == got[1] == {1: None, 2: "doublon_lot"}
+
+
+def test_rounds_of_a_chain(spark):
+    """Row i shares its first key with the row before it and its second with
+    the one after it: every second row is in."""
+    from quadrangle.plans import materialize as m
+
+    n, written = 12, []
+    rows = spark.createDataFrame([(i, f"k{i // 2}", f"e{(i + 1) // 2}") for i in range(n)], "seq long, k string, e string")
+    plain, quality.materialize = quality.materialize, lambda df, label="m": written.append(label) or m.materialize(df, label)
+    try:
+        got = {r.seq: r.reason for r in quality.check_unique_multi(rows, [["k"], ["e"]]).collect()}
+    finally:
+        quality.materialize = plain
+    assert got == {i: (None if i % 2 == 0 else "doublon_lot") for i in range(n)}
+    assert written.count("unique-rounds") <= 2 * n + 1
+
+
+def test_scratch_tables_can_be_removed(spark):
+    from quadrangle.plans.materialize import cleanup, materialize
+
+    t = materialize(spark.range(3), "gone")
+    assert t.count() == 3
+    assert cleanup(spark) and not cleanup(spark)
