@@ -109,24 +109,89 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return [tuple(x) for x in out]
 
 
-# -- shapes and wrappers: a node is a token, ["+", nodes] or ["?", nodes] -------
+# -- shapes and wrappers ---------------------------------------------------------
+# A node is a slot's token, a container ["<", token, nodes], a repeated group
+# ["+", nodes] or an optional group ["?", nodes].
+
+
+def _close(stack: list, tag: str) -> None:
+    """Close the innermost open container of a tag, with those open in it."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i].split(".")[0] == tag:
+            del stack[i:]
+            return
+
+
+def _walk(flat: Iterator[str]) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """Slots with the containers that are open around them."""
+    stack: list[str] = []
+    for token in flat:
+        if token[0] == "/":
+            _close(stack, token[1:])
+        elif token == "#" or token in LEAVES:
+            yield token, tuple(stack)
+        else:
+            stack.append(token)
+
+
+def tree(flat: Iterator[str]) -> list:
+    """The tokens as nested containers, closed as :func:`_walk` closes them."""
+    root: list = []
+    stack, inside = [], [root]
+    for token in flat:
+        if token[0] == "/":
+            _close(stack, token[1:])
+            del inside[len(stack) + 1:]
+        elif token == "#" or token in LEAVES:
+            inside[-1].append(token)
+        else:
+            node = ["<", token, []]
+            inside[-1].append(node)
+            stack.append(token)
+            inside.append(node[2])
+    return root
+
+
+def _is(node, kind: str) -> bool:
+    return isinstance(node, list) and node[0] == kind
+
+
+def _key(node):
+    """What a node begins with: a slot's or a container's token."""
+    while _is(node, "+") or _is(node, "?"):
+        node = node[1][0]
+    return ("<", node[1]) if _is(node, "<") else node
+
+
+def _single(node) -> bool:
+    """A slot or container, or a group of nothing but one."""
+    return not (_is(node, "+") or _is(node, "?")) or len(node[1]) == 1 and _single(node[1][0])
 
 
 def fold(nodes: list) -> list:
-    """Immediate repeats as repeated groups, short ones first, until none is left."""
-    changed = True
+    """Immediate repeats as repeated groups, short ones first, until none is
+    left; containers of one token repeat whatever is in them."""
+    nodes = [["<", n[1], fold(n[2])] if _is(n, "<") else n for n in nodes]
+    out: list = []
+    for n in nodes:
+        if _is(n, "<") and out and _single(out[-1]) and _key(out[-1]) == _key(n):
+            last = out[-1][1][0] if _is(out[-1], "+") else out[-1]
+            out[-1] = ["+", [_matched(last, n)]]
+        else:
+            out.append(n)
+    nodes, changed = out, True
     while changed:
         changed = False
         for size in range(1, LONGEST_PERIOD + 1):
             out, i = [], 0
             while i < len(nodes):
                 part = nodes[i:i + size]
-                inner = part[0][1] if size == 1 and part[0][0] == "+" and isinstance(part[0], list) else part
+                group = part[0][1] if size == 1 and _is(part[0], "+") else part
                 j = i + size
-                while nodes[j:j + size] == part or (size == 1 and nodes[j:j + 1] == inner):
+                while len(part) == size and (nodes[j:j + size] == part or size == 1 and nodes[j:j + 1] == group):
                     j += size
-                if j > i + size and len(part) == size:
-                    out.append(["+", inner])
+                if j > i + size:
+                    out.append(["+", group])
                     changed = True
                 else:
                     j = i + 1
@@ -136,23 +201,14 @@ def fold(nodes: list) -> list:
     return nodes
 
 
-def _key(node) -> str:
-    while isinstance(node, list):
-        node = node[1][0]
-    return node
-
-
-def _plain(node) -> bool:
-    return not isinstance(node, list) or len(node[1]) == 1 and _plain(node[1][0])
-
-
 def _matched(a, b):
     """One node for two that match."""
     if a == b:
         return a
-    kinds = {n[0] for n in (a, b) if isinstance(n, list)}
-    inner = [n[1] if isinstance(n, list) else [n] for n in (a, b)]
-    merged = merge(*inner)
+    if _is(a, "<") and _is(b, "<"):
+        return ["<", a[1], merge(a[2], b[2])]
+    kinds = {n[0] for n in (a, b) if _is(n, "+") or _is(n, "?")}
+    merged = merge(*[n[1] if _is(n, "+") or _is(n, "?") else [n] for n in (a, b)])
     if len(merged) == 1 and isinstance(merged[0], list) and merged[0][0] in kinds:
         return merged[0]
     return ["+" if "+" in kinds else "?", merged]
@@ -162,7 +218,7 @@ def merge(a: list, b: list) -> list:
     """The wrapper of two wrappers, by their longest common subsequence."""
     if a == b:
         return a
-    same = lambda x, y: _key(x) == _key(y) and (isinstance(x, list) == isinstance(y, list) or _plain(x) and _plain(y))
+    same = lambda x, y: _key(x) == _key(y) and (_is(x, "+") and _is(y, "+") or _single(x) and _single(y))
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -171,7 +227,7 @@ def merge(a: list, b: list) -> list:
 
     def close():
         for part in gap:
-            out.extend(x if isinstance(x, list) and x[0] == "?" else ["?", [x]] for x in part)
+            out.extend(x if _is(x, "?") else ["?", [x]] for x in part)
         gap[0], gap[1] = [], []
 
     while i < len(a) or j < len(b):
@@ -190,29 +246,18 @@ def merge(a: list, b: list) -> list:
 
 
 def shape(stream: list[tuple[str, str]]) -> str:
-    return json.dumps(fold([t for t, _ in stream]), separators=(",", ":"))
-
-
-def _walk(flat: Iterator[str]) -> Iterator[tuple[str, tuple[str, ...]]]:
-    """Tokens with the containers that are open around them."""
-    stack: list[str] = []
-    for token in flat:
-        if token[0] == "/":
-            names = [s.split(".")[0] for s in stack]
-            if token[1:] in names:  # a container that is open is closed with those in it
-                del stack[len(names) - 1 - names[::-1].index(token[1:]):]
-        elif token == "#" or token in LEAVES:
-            yield token, tuple(stack)
-        else:
-            stack.append(token)
+    return json.dumps(fold(tree(t for t, _ in stream)), separators=(",", ":"))
 
 
-def _flat(nodes: list) -> Iterator[str]:
+def _paths(nodes: list, around: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+    """The containers around each slot of a wrapper."""
     for n in nodes:
-        if isinstance(n, list):
-            yield from _flat(n[1])
+        if _is(n, "<"):
+            yield from _paths(n[2], (*around, n[1]))
+        elif isinstance(n, list):
+            yield from _paths(n[1], around)
         else:
-            yield n
+            yield around
 
 
 def _is_aside(container: str, inside_main: bool) -> bool:
@@ -224,7 +269,7 @@ def _is_aside(container: str, inside_main: bool) -> bool:
 
 def main_paths(wrapper: list) -> list[str]:
     """The paths (containers around a slot) of a wrapper's main text."""
-    found = {path for _, path in _walk(_flat(wrapper))}
+    found = set(_paths(wrapper))
 
     def is_main(container: str, rank: int) -> bool:
         tag, *words = container.split(".")

@@ -62,7 +62,9 @@ def encode_passages(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     kind = _CLASS[b]
     out[:, :CLASSES] = np.bincount(passage * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES) / length
     pair = ((b[:-1].astype(np.uint32) * np.uint32(2654435761) ^ b[1:].astype(np.uint32) * np.uint32(2246822519)) >> np.uint32(25)).astype(np.int64)
-    out[:, CLASSES:CLASSES + PAIRS] = np.sqrt(np.bincount(passage[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS) / length)
+    inside = np.ones(len(b) - 1, bool)
+    inside[(start + sizes)[:-1]] = False  # no pair of one text's end and the next one's beginning
+    out[:, CLASSES:CLASSES + PAIRS] = np.sqrt(np.bincount((passage[:-1] * PAIRS + pair)[inside], minlength=total * PAIRS).reshape(total, PAIRS) / length)
     blank = (b == 32) | ((b >= 9) & (b <= 13))
     begins = ~blank & np.concatenate([[True], blank[:-1]])
     starts = np.flatnonzero(begins)
@@ -83,6 +85,7 @@ def encode_passages(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         same = np.unique(of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ word, return_index=True)[1]
         cols.append(np.bincount(of[same], minlength=total) / words)
         out[:, CLASSES + PAIRS:] = np.stack(cols, axis=1)
+    out[first[sizes == 0]] = 0
     return out, counts
 
 

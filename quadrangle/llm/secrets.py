@@ -34,6 +34,9 @@ from .common import materialize, slices, table, texts
 SHORTEST = 20
 RATE = 0.01
 UNIFORM = 1e-4
+#: Letters of ordinary text come in words, not one by one: its statistics
+#: vary that many times as much as those of single letters.
+CLUSTER = 4.0
 #: Lower ends of the classes of length.
 CLASSES = (20, 32, 48, 96)
 #: Bins of -log10 p, so many for each power of ten, up to the last.
@@ -120,10 +123,10 @@ class TextModel:
         deviation = max(abs(runs - (n - 1) * even) / math.sqrt((n - 1) * even * (1 - even)), abs(product) * math.sqrt(n - 1))
         if _chi2_tail(chi2, k - 1) < UNIFORM or 2 * _normal(-deviation) < UNIFORM:
             return None
-        ps = [_normal((chi2 - (k - 1) - n * distance) / math.sqrt(2 * (k - 1) + 4 * n * distance))]
-        z = (runs - (n - 1) * cross) / math.sqrt((n - 1) * cross * (1 - cross))
+        ps = [_normal((chi2 - (k - 1) - n * distance) / math.sqrt(CLUSTER * (2 * (k - 1) + 4 * n * distance)))]
+        z = (runs - (n - 1) * cross) / math.sqrt(CLUSTER * (n - 1) * cross * (1 - cross))
         ps.append(_normal(z if even < cross else -z))
-        z = (product - mean) / math.sqrt(var / (n - 1))
+        z = (product - mean) / math.sqrt(CLUSTER * var / (n - 1))
         ps.append(_normal(z if mean > 0 else -z))
         half = -sum(math.log(max(p, 1e-300)) for p in ps)
         return math.exp(-half) * (1 + half + half * half / 2)
