@@ -204,7 +204,7 @@ def _book_exams(c):
         "seq", "cours_id", *schedule.CLASS, "accepted", "reason")
 
 
-register("book_exam_sessions")(_book_exams)                                         # W13
+register("book_exam_sessions", checks_sql.BOOK_EXAM_SESSIONS)(_book_exams)                                         # W13
 
 
 # -- validation (V1-V11) -----------------------------------------------------------------

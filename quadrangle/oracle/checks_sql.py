@@ -363,3 +363,39 @@ UNION ALL
 SELECT (SELECT max(id) FROM etudiants) + seq, matricule, email, 'L1', TIMESTAMP '2024-01-01 00:00:00'
 FROM taken WHERE inside
 """
+
+# Exam sessions are booked in the order of their ids against the others: one
+# at a time within a room and day, carrying the slots taken so far.
+BOOK_EXAM_SESSIONS = f"""
+WITH RECURSIVE asked AS (
+  SELECT id AS seq, cours_id, salle, jour, heure_debut, heure_fin,
+         cours_id IN (SELECT id FROM cours) AS course_ok,
+         {errors(is_int('cours_id'),
+                 _fail("jour IN ('Lundi','Mardi','Mercredi','Jeudi','Vendredi','Samedi','Dimanche')", 'jour'),
+                 _fail(f"regexp_matches(heure_debut, {TIME})", 'heure_debut'),
+                 _fail(f"regexp_matches(heure_fin, {TIME})", 'heure_fin'),
+                 req('salle'))} AS errors
+  FROM emplois_temps WHERE type_seance = 'examen'),
+free AS (
+  SELECT c.seq, c.salle, c.jour, c.heure_debut AS a, c.heure_fin AS b,
+         row_number() OVER (PARTITION BY c.salle, c.jour ORDER BY c.seq) AS k
+  FROM asked c
+  WHERE c.errors = '' AND c.course_ok
+    AND NOT EXISTS (SELECT 1 FROM emplois_temps s
+                    WHERE s.type_seance <> 'examen' AND s.salle = c.salle AND s.jour = c.jour AND {ARMS})),
+booked AS (
+  SELECT seq, salle, jour, k, [struct_pack(a := a, b := b)] AS taken, TRUE AS inside FROM free WHERE k = 1
+  UNION ALL
+  SELECT seq, salle, jour, k,
+         CASE WHEN hit THEN taken ELSE list_append(taken, struct_pack(a := a, b := b)) END, NOT hit
+  FROM (SELECT f.*, p.taken,
+               len(list_filter(p.taken, lambda t: (t.a <= f.a AND t.b > f.a) OR (t.a < f.b AND t.b >= f.b)
+                                                  OR (t.a >= f.a AND t.b <= f.b))) > 0 AS hit
+        FROM booked p JOIN free f ON f.salle = p.salle AND f.jour = p.jour AND f.k = p.k + 1) x)
+SELECT v.seq, v.cours_id, v.salle, v.jour, v.heure_debut, v.heure_fin,
+       COALESCE(r.inside, FALSE) AS accepted,
+       CASE WHEN v.errors <> '' THEN 'invalide'
+            WHEN NOT v.course_ok THEN 'cours_introuvable'
+            WHEN NOT COALESCE(r.inside, FALSE) THEN 'conflit' END AS reason
+FROM asked v LEFT JOIN booked r ON r.seq = v.seq
+"""
