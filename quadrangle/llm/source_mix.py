@@ -32,7 +32,7 @@ BLOCK_ROWS = 64
 #: Slots of a period, about: the precision of q.
 PERIOD = 400
 #: Rows that a hash bucket of all sources together holds, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: The schedule is sent to all tasks up to so many sources, else joined.
 SENT_SOURCES = 256
 #: Default target weight of a source with n rows: n to this power.
