@@ -118,17 +118,23 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+
+
 class Encoder:
     """Ids of texts by the ``tokenizers`` library, which sees each distinct
     unit once as long as the memory of units, bounded by ``most`` entries in
     each of two generations, holds it.  Texts with a special string in them
     go to the library whole."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Ids whose bytes begin with a space (the byte-level alphabet's sign for it).
+        self.spaced = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t[0] == "Ġ"]] = True
         self.most, self.known, self.older = most, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -141,11 +147,7 @@ class Encoder:
                         known[u] = got
                     else:
                         new[u] = None
-        todo = list(new)
-        for i in range(0, len(todo), 4096):
-            part = todo[i:i + 4096]
-            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[u] = np.asarray(e.ids, "<u4").tobytes()
+        known.update(self._library_ids(list(new)))
         out = [np.asarray(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if units is None
                else np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4") for t, units in zip(texts, split)]
         if len(known) > self.most:
@@ -153,6 +155,27 @@ class Encoder:
         return out
 
 
+    def _library_ids(self, units: list[str], step: int = 4096) -> dict[str, bytes]:
+        """Ids of each unit.  Units with their space go to the library strung
+        together - it cuts before each space - and each begins with the one id
+        in it that has a space; the others go one by one."""
+        out = {}
+        strung = [u for u in units if u[0] == " " and len(u) > 1 and u[1] not in _WHITE]
+        for i in range(0, len(strung), step):
+            part = strung[i:i + step]
+            ids = np.asarray(self.library.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):
+                raise AssertionError("a unit has more than one space")
+            data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
+            out.update((u, data[a:b]) for u, a, b in zip(part, (starts * 4).tolist(), ends))
+        single = [u for u in units if u not in out]
+        for i in range(0, len(single), step):
+            part = single[i:i + step]
+            out.update((u, np.asarray(e.ids, "<u4").tobytes()) for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+        return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
