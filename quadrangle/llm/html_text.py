@@ -12,10 +12,11 @@ optional group, and leaf blocks stay text slots.  Only distinct shapes are
 aligned, first in salted groups and then the groups' wrappers, so a host with
 a third of all pages is no single task's work.
 
-In a wrapper, the slots of the host's article container (or main container,
-or else the whole page) that lie in no menu, header, footer, sidebar, notice,
-advert, form or comment section are the main text; a page's text comes from
-those slots.
+In a wrapper, the slots of an article container (or main container, or content
+container, or else the whole page) that lie in no menu, header, footer,
+sidebar, notice, advert, form or comment section are the main text.  Pages of
+one host may be of several templates: a page's text comes from the first of
+these kinds of container that has text on that page.
 """
 
 from __future__ import annotations
@@ -49,6 +50,12 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                         "footer sidebar side aside widget notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe signup login search "
                         "form comment comments reply replies respond disqus discussion share sharing social related recommended pagination pager".split())
 MAIN_WORDS = frozenset("article post entry story content main".split())
+#: Tags that hold no main text even around an article; a form or a container
+#: named like an aside may be the layout around it.
+LAYOUT_ASIDE = frozenset("nav footer aside head dialog menu".split())
+#: Words of asides by which layouts around an article are named, too.
+LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar side aside widget notice alert overlay banner search form social share".split())
+RANKS = 10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -267,36 +274,62 @@ def _is_aside(container: str, inside_main: bool) -> bool:
     return tag in ASIDE_TAGS or bool(ASIDE_WORDS & set(words)) and tag not in ("html", "body", "article", "main")
 
 
+def _ranks(path: tuple[str, ...]) -> Iterator[int]:
+    """The ranks of main text that a slot with these containers around it has:
+    0 to 2 in an article, main or content container; 3 to 5 the same, in a
+    layout that is named like an aside; 6 on the page as a whole; 7 to 9 in a
+    main container within what is named like a comment section or advert."""
+    if any(c.split(".")[0] in LAYOUT_ASIDE for c in path):
+        return
+    for rank in range(3):
+        at = next((i for i, c in enumerate(path) if _is_main(c, rank)), None)
+        if at is None or any(_is_aside(c, True) for c in path[at + 1:]):
+            continue
+        words = set(path[at].split("."))
+        if not (ASIDE_WORDS - LAYOUT_WORDS) & words or MAIN_WORDS & (words - {path[at].split(".")[0]}):
+            around = [c for c in path[:at] if _is_aside(c, False)]
+            yield rank + (0 if not around else 7 if any((ASIDE_WORDS - LAYOUT_WORDS) & set(c.split(".")[1:]) for c in around) else 3)
+    if not any(_is_aside(c, False) for c in path):
+        yield 6
+
+
+def _is_main(container: str, rank: int) -> bool:
+    tag, *words = container.split(".")
+    return (tag == "article", tag == "main" or "main" in words and tag in ("div", "section"),
+            tag in ("div", "section") and bool(MAIN_WORDS & set(words)) and not ASIDE_WORDS & set(words))[rank]
+
+
+def ranked_paths(wrapper: list) -> list[list[str]]:
+    """The paths (containers around a slot) of a wrapper's main text, a list
+    for each rank; a page's text is that of its first rank with any."""
+    kept: list[list[str]] = [[] for _ in range(RANKS)]
+    for path in set(_paths(wrapper)):
+        for rank in _ranks(path):
+            kept[rank].append("/".join(path))
+    return [sorted(k) for k in kept]
+
+
 def main_paths(wrapper: list) -> list[str]:
-    """The paths (containers around a slot) of a wrapper's main text."""
-    found = set(_paths(wrapper))
-
-    def is_main(container: str, rank: int) -> bool:
-        tag, *words = container.split(".")
-        return (tag == "article", tag == "main" or "main" in words and tag in ("div", "section"),
-                tag in ("div", "section") and bool(MAIN_WORDS & set(words)) and not ASIDE_WORDS & set(words), True)[rank]
-
-    for rank in range(4):
-        kept = []
-        for path in found:
-            at = next((i for i, c in enumerate(path) if is_main(c, rank)), None) if rank < 3 else -1
-            if at is not None and not any(_is_aside(c, i > at >= 0) for i, c in enumerate(path)):
-                kept.append("/".join(path))
-        if kept:
-            return sorted(kept)
-    return []
-
-
-def extract(page: str, paths: set[str] | frozenset[str]) -> str:
-    """The texts of the page's slots on the given paths."""
+    """The paths of a wrapper's first rank that has any."""
+    return next((k for k in ranked_paths(wrapper) if k), [])
+
+
+def main_blocks(page: str, ranked: list) -> list[tuple[str, str]]:
+    """(path, text) of the page's main blocks: of the first rank whose paths
+    give text on this page, so each template of a host has its own."""
     stream = tokens(page)
     raw = iter([t for k, t in stream if k == "#" or k in LEAVES])
     blocks = []
     for _, path in _walk(k for k, _ in stream):
-        piece = next(raw)
-        if "/".join(path) in paths:
-            blocks.append(" ".join(html.unescape(piece).split()))
-    return "\n\n".join(b for b in blocks if b)
+        text = " ".join(html.unescape(next(raw)).split())
+        if text:
+            blocks.append(("/".join(path), text))
+    return next((b for paths in ranked if (b := [x for x in blocks if x[0] in paths])), [])
+
+
+def extract(page: str, ranked: list) -> str:
+    """The texts of the page's main blocks."""
+    return "\n\n".join(t for _, t in main_blocks(page, ranked))
 
 
 # -- the job ------------------------------------------------------------------
@@ -322,7 +355,7 @@ def _merged(pdf: pd.DataFrame) -> list:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, paths): the wrapper of each host's pages as JSON and
-    the paths of its main text.  ``pages`` has host and html."""
+    the paths of its main text by rank.  ``pages`` has host and html."""
     distinct = pages.mapInArrow(_shapes, "host string, shape string").distinct()
 
     def partly(pdf):
@@ -330,11 +363,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def wholly(pdf):
         wrapper = _merged(pdf)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))], "paths": [main_paths(wrapper)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))], "paths": [ranked_paths(wrapper)]})
 
     some = (distinct.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS))).groupBy("host", "salt")
             .applyInPandas(partly, "host string, shape string"))
-    return some.groupBy("host").applyInPandas(wholly, "host string, wrapper string, paths array<string>")
+    return some.groupBy("host").applyInPandas(wholly, "host string, wrapper string, paths array<array<string>>")
 
 
 def html_text(pages: DataFrame) -> DataFrame:
@@ -346,11 +379,11 @@ def html_text(pages: DataFrame) -> DataFrame:
     columns are ignored."""
     rows = pick(pages, page_id="long", url="string", html="string").fillna({"html": ""}).withColumn("host", _host(F.col("url")))
     made = materialize(wrappers(rows.select("host", "html")).select("host", "paths"), "wrappers")
-    size = made.agg(F.sum(F.length("host") + F.coalesce(F.expr("aggregate(paths, 0, (a, p) -> a + length(p))"), F.lit(0)))).first()[0] or 0
+    size = made.agg(F.sum(F.length("host") + F.coalesce(F.expr("aggregate(flatten(paths), 0, (a, p) -> a + length(p))"), F.lit(0)))).first()[0] or 0
     out = "page_id long, url string, text string, n_chars long"
     sent = None
     if size <= SENT_BYTES:
-        sent = rows.sparkSession.sparkContext.broadcast({r.host: frozenset(r.paths) for r in made.collect()})
+        sent = rows.sparkSession.sparkContext.broadcast({r.host: [frozenset(p) for p in r.paths] for r in made.collect()})
     else:
         rows = rows.join(made, "host")
 
@@ -359,7 +392,7 @@ def html_text(pages: DataFrame) -> DataFrame:
             if sent is not None:
                 paths = [sent.value[h] for h in b.column("host").to_pylist()]
             else:
-                paths = [frozenset(p) for p in b.column("paths").to_pylist()]
+                paths = [[frozenset(p) for p in ps] for ps in b.column("paths").to_pylist()]
             texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), paths)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])

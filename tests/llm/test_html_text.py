@@ -74,3 +74,16 @@ def test_repeats_fold_and_shapes_merge():
     assert H.main_paths(w) == ["article"]
     # containers of one token repeat whatever is in them
     assert H.fold(H.tree(["div.x", "p", "/div", "div.x", "p", "li", "/div"])) == [["+", [["<", "div.x", ["p", ["?", ["li"]]]]]]]
+
+
+def test_templates_of_one_host_each_keep_their_text(table):
+    """A host (or the pages without one) whose pages are of several templates."""
+    kinds = ["<article><h1>T{i}</h1><p>a{i}</p></article>", "<div class=content><h1>T{i}</h1><p>a{i}</p></div>", "<h1>T{i}</h1><p>a{i}</p>", "<main><h1>T{i}</h1><p>a{i}</p></main>",
+             "<div class='content-side sidebar'><article><h1>T{i}</h1><p>a{i}</p></article></div>", "<form id=form1><article><h1>T{i}</h1><p>a{i}</p></article></form>"]
+    rows = []
+    for i in range(36):
+        body = kinds[i % 6].format(i=i)
+        rows.append((i, ("http://m.example/x", None, "no host")[i // 12], f"<body><nav><p>menu</p></nav>{body}<div class=comments><article><p>c</p></article></div><footer>f</footer></body>"))
+    got = texts(table(rows))
+    # the brute-force result: what was planted
+    assert {i: t for i, (t, _) in got.items()} == {i: f"T{i}\n\na{i}" for i in range(36)}
