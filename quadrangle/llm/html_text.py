@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,7 +44,12 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt "
                    "u var wbr input picture svg path".split())
 VOID = frozenset("area base col embed frame hr link meta param source track".split())
-RAW = frozenset("script style noscript template textarea iframe title object select button".split())
+#: Content that is no markup; without its end tag only code runs to the end.
+RAW = frozenset("script style textarea title iframe".split())
+CODE = frozenset("script style".split())
+#: Containers without text of the page; one without its end tag is none.
+HIDDEN = frozenset("noscript template object select button".split())
+NESTING = frozenset("template object".split())
 #: Containers that never hold main text, by tag, and by a word of class or id.
 ASIDE_TAGS = frozenset("nav footer aside form head dialog menu".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead "
@@ -57,17 +63,45 @@ LAYOUT_ASIDE = frozenset("nav footer aside head dialog menu".split())
 LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar side aside widget notice alert overlay banner search form social share".split())
 RANKS = 10
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+#: Where raw content ends: at its end tag, or, when that is missing, before
+#: what can't be in it.
+_RAW_END = {t: re.compile(rf"</{t}\s*>" + ("" if t in CODE else rf"|<{t}[\s>]" + (r"|<body[\s>]|<(?=/head\s*>)" if t == "title" else "")), re.I) for t in RAW}
+
+
 def _label(tag: str, attributes: str) -> str:
     """A container's token: its tag and the words of class, id and role."""
     words = sorted({w for m in _NAMES.finditer(attributes) for w in _PART.findall(next(g for g in m.groups() if g is not None).lower())})
     return ".".join([tag, *words])
 
 
+def _hidden_end(page: str, tag: str, at: int) -> int:
+    """Where a hidden container that opens before ``at`` ends; ``at`` itself if
+    its end tag is missing: none follows, the next of its kind opens first, or
+    what is around it closes first."""
+    opened = Counter()
+    for m in _TOKEN.finditer(page, at):
+        name = (m[2] or "").lower()
+        if name == tag:
+            if not m[1]:
+                if tag not in NESTING:
+                    return at
+                opened[tag] += not m[3].endswith("/")
+            elif not opened[tag]:
+                return m.end()
+            else:
+                opened[tag] -= 1
+        elif name and name not in INLINE and name not in LEAVES and name not in VOID:
+            if m[1] and not opened[name]:
+                return at
+            opened[name] += -1 if m[1] else 1
+    return at
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
     """The page's block tokens: (token, raw text).  Leaf blocks and loose text
     ("#") have text; containers open as "tag.words" and close as "/tag"."""
@@ -97,8 +131,14 @@ def tokens(page: str) -> list[tuple[str, str]]:
             continue
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)  # its content is no markup
-                at = end.end() if end else len(page)
+                end = _RAW_END[tag].search(page, at)
+                if end and end[0][:2] == "</":
+                    at = end.end()
+                elif tag in CODE:
+                    at = len(page)
+        elif tag in HIDDEN:
+            if not m[1] and not m[3].endswith("/"):
+                at = _hidden_end(page, tag, at)
         elif tag in INLINE:
             if tag in ("br", "wbr", "img"):
                 text(" " if tag != "wbr" else "")

@@ -87,3 +87,17 @@ def test_templates_of_one_host_each_keep_their_text(table):
     got = texts(table(rows))
     # the brute-force result: what was planted
     assert {i: t for i, (t, _) in got.items()} == {i: f"T{i}\n\na{i}" for i in range(36)}
+
+
+def test_malformed_pages_keep_the_rest():
+    """Each opened element without its end tag, alone and before a whole one."""
+    article = "<article><p>one</p><p>two</p></article>"
+    for tag in ("button", "select", "object", "noscript", "template", "iframe", "title", "textarea"):
+        for page in (f"<div><{tag}>x</div>{article}", f"<{tag}>x{article}", f"<div><{tag}>x</div>{article}<div><{tag}>y</{tag}></div>"):
+            kept = [t for k, t in H.tokens(page) if k == "p"]
+            assert kept == ["one", "two"], page
+        assert H.tokens(f"<p>a <{tag}><b>x</b></{tag}>b") == [("p", "a b")]
+    assert H.tokens("<object><object>x</object>y</object><p>a")[-1] == ("p", "a")
+    for page in ("<p><a title=Bob's>one</a></p><p>it's <b id=x>two</b></p>", "<p><a title=5\" x>one</a></p><p>say \"<b>two</b></p>", "<p class=a' >one</p><p>'two</p>"):
+        assert [" ".join(t.split()).strip("'\"") for _, t in H.tokens(page)][0] == "one" and "two" in H.tokens(page)[-1][1], page
+    assert H.tokens("<p x = 'a>b' y=\">\">t</p>") == [("p", "t")]
