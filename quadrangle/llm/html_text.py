@@ -17,10 +17,15 @@ container, or else the whole page) that lie in no menu, header, footer,
 sidebar, notice, advert, form or comment section are the main text.  Pages of
 one host may be of several templates: a page's text comes from the first of
 these kinds of container that has text on that page.
+
+Of those slots' texts, the ones that are constant over the host are boilerplate
+whatever their containers are called: they are counted by path and text over
+the pages, copies of a page as one, and dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -39,6 +44,9 @@ SENT_BYTES = 32 << 20
 #: Groups in which the distinct shapes of a host are aligned first.
 SALTS = 64
 LONGEST_PERIOD = 12
+#: A main block is constant on a host if this share of the pages that have its
+#: path hold it, and at least so many, beside different texts.
+SHARE, LEAST = 0.5, 3
 
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption summary address legend option label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt "
@@ -367,11 +375,6 @@ def main_blocks(page: str, ranked: list) -> list[tuple[str, str]]:
     return next((b for paths in ranked if (b := [x for x in blocks if x[0] in paths])), [])
 
 
-def extract(page: str, ranked: list) -> str:
-    """The texts of the page's main blocks."""
-    return "\n\n".join(t for _, t in main_blocks(page, ranked))
-
-
 # -- the job ------------------------------------------------------------------
 
 
@@ -410,34 +413,91 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInPandas(wholly, "host string, wrapper string, paths array<array<string>>")
 
 
-def html_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page.
+def _number(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    Nulls: a null html is an empty page with an empty text; a null url, or
-    one without a host, shares the wrapper of all such pages; null ids and
-    repeated rows are kept.  An empty table gives an empty result; extra
-    columns are ignored."""
-    rows = pick(pages, page_id="long", url="string", html="string").fillna({"html": ""}).withColumn("host", _host(F.col("url")))
-    made = materialize(wrappers(rows.select("host", "html")).select("host", "paths"), "wrappers")
-    size = made.agg(F.sum(F.length("host") + F.coalesce(F.expr("aggregate(flatten(paths), 0, (a, p) -> a + length(p))"), F.lit(0)))).first()[0] or 0
-    out = "page_id long, url string, text string, n_chars long"
+
+def own(blocks: list[tuple[str, str]], constant) -> str:
+    """The text of a page's main blocks without the host's constant ones; a
+    page with no others keeps them."""
+    kept = [t for p, t in blocks if _number(p, t) not in constant] if constant else []
+    return "\n\n".join(kept or [t for _, t in blocks])
+
+
+def _lines(blocks: list[tuple[str, str]]) -> set[tuple[str, int | None, int]]:
+    """(path, line, context) of a page's main blocks, and (path, None, context)
+    of their paths.  A block's context is the page's longest other text: that
+    is one and the same for copies of a page."""
+    longest = sorted({t for _, t in blocks}, key=lambda t: (-len(t), t))[:2]
+    numbers = {t: _number(t) for t in longest}
+    out = {(p, None, numbers[longest[0]]) for p, _ in blocks}
+    if len(longest) == 2:
+        out |= {(p, _number(p, t), numbers[longest[t == longest[0]]]) for p, t in set(blocks)}
+    return out
+
+
+def _with_paths(rows: DataFrame, made: DataFrame, size: int, call, schema: str) -> DataFrame:
+    """``call(batch, [(main blocks, constant lines) of each page])`` on batches
+    of pages, with their hosts' columns of ``made`` sent or joined."""
     sent = None
     if size <= SENT_BYTES:
-        sent = rows.sparkSession.sparkContext.broadcast({r.host: [frozenset(p) for p in r.paths] for r in made.collect()})
+        sent = rows.sparkSession.sparkContext.broadcast({r.host: ([frozenset(p) for p in r.paths], frozenset(r.constant)) for r in made.collect()})
     else:
         rows = rows.join(made, "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             if sent is not None:
-                paths = [sent.value[h] for h in b.column("host").to_pylist()]
+                of = [sent.value[h] for h in b.column("host").to_pylist()]
             else:
-                paths = [[frozenset(p) for p in ps] for ps in b.column("paths").to_pylist()]
-            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), paths)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                                             names=["page_id", "url", "text", "n_chars"])
+                of = [([frozenset(p) for p in ps], frozenset(c)) for ps, c in zip(b.column("paths").to_pylist(), b.column("constant").to_pylist())]
+            yield call(b, [(main_blocks(h, ps), c) for h, (ps, c) in zip(b.column("html").to_pylist(), of)])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _size(made: DataFrame) -> int:
+    paths = F.coalesce(F.expr("aggregate(flatten(paths), 0, (a, p) -> a + length(p))"), F.lit(0))
+    return made.agg(F.sum(F.length("host") + paths + 8 * F.size("constant"))).first()[0] or 0
+
+
+def _constant(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """(host, constant): the main blocks, as numbers of path and text, that at
+    least ``SHARE`` of the host's pages with that path have, counted by
+    distinct contexts, ``LEAST`` at the least."""
+    def lines(b, pages):
+        found = [(h, _number(h, p), line, c) for h, (blocks, _) in zip(b.column("host").to_pylist(), pages) for p, line, c in _lines(blocks)]
+        cols = list(zip(*set(found))) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "path", "line", "context"])
+
+    schema = "host string, path long, line long, context long"
+    counted = (_with_paths(rows, made, _size(made), lines, schema).distinct()
+               .groupBy("host", "path", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST))
+    counted = materialize(counted, "lines")
+    whole = counted.filter("line IS NULL").select("host", "path", F.col("n").alias("all"))
+    return (counted.filter("line IS NOT NULL").join(whole, ["host", "path"]).filter(F.col("n") >= SHARE * F.col("all"))
+            .groupBy("host").agg(F.collect_set("line").alias("constant")))
+
+
+def html_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of each page.
+
+    Nulls: a null html is an empty page with an empty text; a null url, or
+    one without a host, shares the wrapper of all such pages; null ids and
+    repeated rows are kept.  An empty table gives an empty result; extra
+    columns are ignored."""
+    rows = pick(pages, page_id="long", url="string", html="string").fillna({"html": ""}).withColumn("host", _host(F.col("url")))
+    none = F.array().cast("array<bigint>")
+    made = materialize(wrappers(rows.select("host", "html")).select("host", "paths", none.alias("constant")), "wrappers")
+    constant = _constant(rows.select("host", "html"), made)
+    made = materialize(made.drop("constant").join(constant, "host", "left").withColumn("constant", F.coalesce("constant", none)), "templates")
+
+    def texts(b, pages):
+        out = [own(blocks, c) for blocks, c in pages]
+        return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],
+                                          names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, out)
+    return _with_paths(rows, made, _size(made), texts, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,21 @@ def test_malformed_pages_keep_the_rest():
     for page in ("<p><a title=Bob's>one</a></p><p>it's <b id=x>two</b></p>", "<p><a title=5\" x>one</a></p><p>say \"<b>two</b></p>", "<p class=a' >one</p><p>'two</p>"):
         assert [" ".join(t.split()).strip("'\"") for _, t in H.tokens(page)][0] == "one" and "two" in H.tokens(page)[-1][1], page
     assert H.tokens("<p x = 'a>b' y=\">\">t</p>") == [("p", "t")]
+
+
+def test_constant_slots_go_and_varying_ones_stay(table, monkeypatch):
+    """Boilerplate in containers of no telling name; copies of an article."""
+    line, rows, want = "Subscribe to us", [], {}
+    for i in range(24):
+        own = f"title {i}\n\nfirst {i} of the host\n\nsecond {i}"
+        parts = own.split("\n\n")
+        body = f"<div class=x7><p>{line}</p></div><h1>{parts[0]}</h1><p>{parts[1]}</p><p>{line}</p><p>{parts[2]}</p>"
+        rows.append((i, f"http://s{i % 2}.example/{i}", f"<body>{'<article>' + body + '</article>' if i % 4 < 2 else body}</body>"))
+        want[i] = own
+    for i in range(100, 140):  # copies and near copies are no template
+        rows.append((i, "http://c.example/", f"<article><h1>t</h1><p>the long paragraph of all of them</p><p>another one</p><p>{'x' if i % 2 else i}</p></article>"))
+        want[i] = f"t\n\nthe long paragraph of all of them\n\nanother one\n\n{'x' if i % 2 else i}"
+    got = texts(table(rows))
+    assert {i: t for i, (t, _) in got.items()} == want
+    monkeypatch.setattr(H, "SENT_BYTES", -1)
+    assert texts(table(rows)) == got
