@@ -1,24 +1,28 @@
 """Benchmark passages in documents: rare n-gram seeds and Smith-Waterman.
 
 Seeds are runs of ``SEED`` words of test items, compared without case or
-punctuation.  A first pass over all documents counts in how many of them each
-seed occurs; a seed in at most ``RARE`` of all documents is rare.  A second
+punctuation.  A first pass over all documents counts in how many contexts each
+seed occurs; a seed in at most ``RARE`` times the documents is rare.  A second
 pass finds the seeds again: where a document holds a rare seed of an item, or
-two different seeds near each other, the passage around them is aligned with
-the item by words (match +1, mismatch and gap -1, best local score).  The
+two different seeds near each other, or a common seed with enough of the
+item's words around it, the passage is aligned with the item by words (match
++1, mismatch and gap -1, best local score); a lone common seed must bring more
+than its own words, or the whole item.  The
 score over the item's words is the similarity; edited and paraphrased copies
 lose two for each replaced word and one for each dropped or added one.
 
 Test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text (or
 one item), each block against all documents, so that what is sent is bounded
-whatever the benchmark's size.  Nothing is shuffled but the seeds' counts.
+whatever the benchmark's size.  Nothing is shuffled but the seeds' contexts, up
+to the number in each task that makes a seed common.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from .common import pick, slices, table, texts
 SEED = 3
 RARE = 2e-4
 SIMILARITY = 0.4
+#: Words on either side of a seed that tell its occurrences apart.
+CONTEXT = 3
 BLOCK_BYTES = 4 << 20
 
 _WORD = re.compile(r"\w+")
@@ -65,6 +71,7 @@ class _Block:
         self.items = [(i, ws) for i, ws in split if ws]
         self.number = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for _, ws in self.items]
+        self.counts = [Counter(ws.tolist()) for ws in self.words]
         self.at: dict[tuple, list] = defaultdict(list)
         for k, ws in enumerate(self.words):
             n = min(SEED, len(ws))  # an item shorter than a seed is its own seed
@@ -80,8 +87,11 @@ class _Block:
             self.first[s[0]] = True
 
     def numbered(self, text: str) -> np.ndarray:
+        return self.ids(_WORD.findall(text.lower()))
+
+    def ids(self, words: list[str]) -> np.ndarray:
         get = self.number.get
-        return np.array([get(w, 0) for w in _WORD.findall(text.lower())], np.int64)
+        return np.array([get(w, 0) for w in words], np.int64)
 
     def hits(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(place, seed) of all seeds in a numbered text."""
@@ -98,6 +108,11 @@ class _Block:
                     found.append((p, k))
         return found
 
+    def shared(self, k: int, passage: np.ndarray) -> int:
+        """Words that an item and a passage share: no alignment scores more."""
+        there = Counter(passage.tolist())
+        return sum(min(n, there[w]) for w, n in self.counts[k].items())
+
     def matches(self, text: str) -> list[tuple[int, float, int, int, int]]:
         """(item, similarity, seeds, first word, end word) of each item that
         the text holds, by the best passage."""
@@ -115,11 +130,13 @@ class _Block:
             for hit in [*hits, None]:
                 if group and (hit is None or hit[0] - group[-1][0] > size + margin):
                     seeds = {s for _, _, s in group}
-                    if len(seeds) > 1 or self.rare[next(iter(seeds))]:
-                        a = max(0, min(p - q for p, q, _ in group) - margin)
-                        b = min(len(ids), max(p - q for p, q, _ in group) + size + margin)
+                    a = max(0, min(p - q for p, q, _ in group) - margin)
+                    b = min(len(ids), max(p - q for p, q, _ in group) + size + margin)
+                    # A lone common seed needs more than its own words.
+                    least = 0 if len(seeds) > 1 or self.rare[next(iter(seeds))] else min(size, SEED + 1)
+                    if not least or self.shared(k, ids[a:b]) >= max(least, SIMILARITY * size):
                         score, first, end = align(self.words[k], ids[a:b])
-                        if score / size >= SIMILARITY and (best is None or score > best[0]):
+                        if score >= least and score / size >= SIMILARITY and (best is None or score > best[0]):
                             best = score, len(seeds), a + first, a + end
                     group = []
                 if hit is not None:
@@ -141,25 +158,31 @@ def _blocks(benchmark: DataFrame) -> Iterator[_Block]:
 
 
 def _with_rarity(docs: DataFrame, block: _Block) -> _Block:
-    """The block with its rare seeds marked from counts over all documents."""
+    """The block with its rare seeds marked from counts over all documents.
+    A seed counts once for each distinct text before it, or after it if those
+    are fewer, so copies of a passage don't make its seeds common."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
+    limit = max(1, int(RARE * docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(sent.value.seeds) + 1, np.int64), 0
+        seen: dict[tuple[int, bool], set] = defaultdict(set)
         for b in slices(batches, "text"):
             for text in b.column("text").to_pylist():
-                seeds = {s for _, s in sent.value.hits(sent.value.numbered(text))}
-                counts[list(seeds)] += 1
-                n += 1
-        counts[-1] = n  # the documents, after the seeds
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["seed", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(block.seeds) + 1, np.int64)
-    for r in rows:
-        counts[r.seed] = r.n
-    block.rare = counts[:-1] <= max(1, RARE * counts[-1])
+                words = _WORD.findall(text.lower())
+                for p, s in sent.value.hits(sent.value.ids(words)):
+                    n = len(sent.value.seeds[s])
+                    for side, first, end in ((False, max(0, p - CONTEXT), p), (True, p + n, p + n + CONTEXT)):
+                        if len(seen[s, side]) <= limit:  # else common by this task's texts alone
+                            seen[s, side].add(crc32(" ".join(words[first:end]).encode("utf-8", "surrogatepass")))
+        rows = [(s, side, c) for (s, side), contexts in seen.items() for c in sorted(contexts)[:limit + 1]]
+        cols = list(zip(*rows)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64()))], names=["seed", "after", "context"])
+
+    rows = (docs.select("text").mapInArrow(run, "seed long, after boolean, context long").distinct()
+            .groupBy("seed", "after").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+            .groupBy("seed").count().filter("count = 2").collect())
+    block.rare = np.ones(len(block.seeds), bool)
+    block.rare[[r.seed for r in rows]] = False
     return block
 
 

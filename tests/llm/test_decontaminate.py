@@ -70,3 +70,19 @@ def test_odd_rows(spark, odd, clashing, docs_of):
     assert D.contamination(odd, bench.limit(0)).collect() == []
     assert D.decontaminate(odd, bench.limit(0)).count() == odd.count()
     assert D.decontaminate(odd, bench).count() == odd.count() - 3
+
+
+def test_many_copies_with_one_seed_are_found(spark, docs_of):
+    """An edited copy with one intact seed, short items, each in many rows."""
+    r = random.Random(5)
+    item, short, seven = [f"w{i}" for i in range(15)], ["alpha", "beta", "gamma"], [f"v{i}" for i in range(7)]
+    copy = [w if i not in (3, 6, 9, 12) else "other" for i, w in enumerate(item)]  # intact runs of 3, 2, 2, 2, 2
+    edge = ["v0", "v1", "v2", "q1", "q2", "q3", "q4"]  # 3 of 7 words
+    rows = [(i, " ".join(prose(r, 30) + (copy, short, edge)[i % 3] + prose(r, 30))) for i in range(90)]
+    rows += [(1000 + i, " ".join(prose(r, 60))) for i in range(30)]
+    # a common phrase, in contexts of its own each time, is no copy
+    rows += [(2000 + i, " ".join(prose(r, 30) + ["u1", "u2", "u3"] + prose(r, 30))) for i in range(30)]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short)), (2, " ".join(seven)), (3, "u0 u1 u2 u3 u4 u5 u6")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.contamination(docs_of(rows), bench).collect()}
+    assert got == {(i, i % 3) for i in range(90)}
+    assert {x.doc_id for x in D.decontaminate(docs_of(rows), bench).collect()} == {i for i, _ in rows if i >= 1000}
