@@ -10,7 +10,9 @@ correlation of neighbours.
 Each test gives the probability that ordinary text would look as random as
 the run does.  What ordinary text does is measured over all documents, as
 counts of neighbouring characters.  The three are combined by Fisher's method.
-A run must also pass as uniform itself (``UNIFORM``).  False discoveries are
+A run must also pass as uniform itself (``UNIFORM``).  Ordinary text that is
+glued to a key hides it, so the pieces of a run are tested, too; the best one
+is the span, and its probability counts all tests of the run.  False discoveries are
 controlled per class of length (Benjamini and Hochberg at ``RATE``), so many
 short runs don't hide, or raise, a few long ones.  Counts of probabilities in
 bins, a fixed number for each class, are all that is gathered for it.
@@ -34,6 +36,9 @@ from .common import materialize, slices, table, texts
 SHORTEST = 20
 RATE = 0.01
 UNIFORM = 1e-4
+#: Parts of a run between separators that are tested together; how many times
+#: less probable a piece is than the whole run if it stands for it.
+JOINED, WHOLE = 4, 100.0
 #: Letters of ordinary text come in words, not one by one: its statistics
 #: vary that many times as much as those of single letters.
 CLUSTER = 4.0
@@ -48,6 +53,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 
+_PART, _WORD = re.compile(r"[^/_-]+"), re.compile(r"[A-Z]?[a-z]{3,}")
+
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Smallest first; a run's encoding is the first that holds its characters.
 ALPHABETS = [sorted(a) for a in (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _UPPER + "234567", _LOWER + "234567", _LOWER + _DIGITS, _UPPER + _DIGITS,
@@ -132,6 +139,70 @@ class TextModel:
         return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def _windows(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Overlapping windows of several lengths; their number grows with the run."""
+    size = SHORTEST
+    while size < end - start:
+        for i in range(start, end - size, max(1, size // 4)):
+            yield i, i + size
+        yield end - size, end
+        size = size * 7 // 5
+
+
+def pieces(model: TextModel, run: str) -> list[tuple[int, int, float | None]]:
+    """(start, end, p) of the run's pieces that look random, the best ones that
+    don't overlap, or of the whole run.  Pieces are the run, up to ``JOINED``
+    neighbours of its parts between separators, none of them a word, and
+    windows where those aren't uniform.  Each p is that of the best of all
+    tests made on the run."""
+    found, tests, n = [], 0, len(run)
+
+    def tried(start: int, end: int) -> bool:
+        nonlocal tests
+        tests += 1
+        p = model.probability(run[start:end]) if len(set(run[start:end])) > 4 else None
+        if p is not None:
+            # The whole run gives way to pieces that are far better, or if words are in it.
+            weight = p if (start, end) != (0, n) else 1 + p if worded else p / WHOLE
+            found.append((weight, start - end, start, end, p))
+        return p is not None
+
+    parts = [m.span() for m in _PART.finditer(run)]
+    words = [len(parts) > 1 and bool(_WORD.fullmatch(run, *p)) for p in parts]
+    worded = any(words)
+    whole = tried(0, n)
+    for i in range(len(parts)):
+        for j in range(i, min(len(parts), i + JOINED)):
+            if words[j] and (i < j or parts[j][1] - parts[j][0] < SHORTEST):
+                break
+            start, end = parts[i][0], parts[j][1]
+            if end - start >= SHORTEST and not ((start, end) == (0, n) and whole):
+                if ((start, end) == (0, n) or not tried(start, end)) and i == j:
+                    for w in _windows(start, end):
+                        tried(*w)
+            if words[j]:
+                break
+    out: list[tuple[int, int, float | None]] = []
+    taken = bytearray(n)
+    for _, _, start, end, p in sorted(found):
+        if any(taken[start:end]) or out and p * tests >= 1:
+            continue
+        taken[start:end] = b"\1" * (end - start)
+        out.append((start, end, min(1.0, p * tests)))
+    return sorted(out) or [(0, n, None)]
+
+
+def _outside(start: int, end: int, spans: list[tuple[int, str, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans, sorted by start, leave of a run."""
+    for s, _, e in spans:
+        if s < end and start < e:
+            if s - start >= SHORTEST:
+                yield start, s
+            start = max(start, e)
+    if end - start >= SHORTEST:
+        yield start, end
+
+
 def _values(k: int) -> np.ndarray:
     """The symbols 0 .. k - 1 as numbers of mean 0 and variance 1."""
     x = np.arange(k) - (k - 1) / 2
@@ -168,10 +239,10 @@ def _scan(model) -> callable:
             for text in b.column("text").to_pylist():
                 found, tests = base_spans(text), []
                 for m in _RUN.finditer(text):
-                    if not any(s < m.end() and m.start() < e for s, _, e in found):
-                        p = model.value.probability(m[0])
-                        # A run that isn't uniform is a test that found nothing.
-                        tests.append({"start": m.start(), "end": m.end(), "class": _length_class(len(m[0])), "bin": 0 if p is None else _bin(p)})
+                    for first, last in _outside(m.start(), m.end(), found):
+                        for start, end, p in pieces(model.value, text[first:last]):
+                            # A run that isn't uniform is a test that found nothing.
+                            tests.append({"start": first + start, "end": first + end, "class": _length_class(end - start), "bin": 0 if p is None else _bin(p)})
                 base.append([dict(zip(("start", "kind", "end"), s)) for s in found])
                 runs.append(tests)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(runs, pa.list_(tried))], names=["doc_id", "base", "runs"])

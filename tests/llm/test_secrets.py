@@ -93,3 +93,32 @@ def test_odd_rows(docs_of, odd, odd_rows, clashing):
     assert (hit.n_assign, hit.n_access, hit.n_hex) == (1, 0, 1) and hit.spans == "assign:5:54,hex:14:54"
     assert hit.base_sha256 == hashlib.sha256(hit.spans.encode()).hexdigest()
     assert S.secret_spans(docs_of([])).collect() == []
+
+
+def test_glued_keys_are_found(docs_of):
+    """Random keys after a path, after a word, beside another kind of span."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    before = ["com/services/T024BE7LD/B0123ABCD/", "org/private/projects/production/keys/", "the-reading-of-another-intention_", "thereadingofanotherintentionandnationanderofthat"]
+    rows, planted = [], {}
+    for i in range(160):
+        t = prose(r, 100) + " "
+        if i % 2:
+            k = "".join(r.choice(letters) for _ in range(40))
+            t += before[i // 2 % 4]
+            planted[i] = (len(t), len(t) + 40, i // 2 % 4)
+            t += k + " " + prose(r, 20)
+        else:
+            t += before[1 + i // 2 % 3] + "nationandreadingwithout"
+        rows.append((i, t))
+    got = {x.doc_id: x.spans for x in S.secret_spans(docs_of(rows)).collect()}
+    exact = sum(got[i] == "random:%d:%d" % planted[i][:2] for i in planted if planted[i][2] < 3)
+    held = sum(bool(got[i]) and int(got[i].split(":")[1]) < planted[i][1] and int(got[i].split(":")[2].split(",")[0]) > planted[i][0] for i in planted)
+    assert exact >= 54 and held >= 72
+    assert sum(bool(got[i]) for i in got if i not in planted) <= 2
+
+
+def test_parts_beside_a_base_span_are_tested():
+    assert list(S._outside(0, 100, [(10, "hex", 40), (45, "hex", 60)])) == [(60, 100)]
+    assert list(S._outside(0, 50, [(30, "access", 50)])) == [(0, 30)]
+    assert list(S._outside(0, 50, [])) == [(0, 50)]
