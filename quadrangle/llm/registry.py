@@ -16,6 +16,7 @@ from .source_mix import op6_source_mix
 from .token_counts import op8_token_counts
 from .token_output import op9_token_output
 from .toxicity import op10_toxicity
+from .weighted_sampling import op11_fingerprints
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
@@ -28,6 +29,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_output": op9_token_output,
     "op10_toxicity": op10_toxicity,
+    "op11_fingerprints": op11_fingerprints,
 }
 _SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
 
