@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_text import op4_html_text
@@ -30,8 +31,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_toxicity": op10_toxicity,
     "op11_fingerprints": op11_fingerprints,
+    "op12_collocations": op12_collocations,
 }
-_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op12_collocations": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
