@@ -10,6 +10,7 @@ from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_text import op4_html_text
+from .prefix_trie import op13_prefix_trie
 from .quality import op5_quality
 from .secrets import op2_secret_spans
 from .simhash_dedup import op1_simhash_dedup
@@ -32,6 +33,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_fingerprints": op11_fingerprints,
     "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op12_collocations": OP12_SQL}
 
