@@ -51,9 +51,10 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share, below what
+    ``plans.materialize.cleanup`` deletes."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/quadrangle-llm/{label}-{uuid.uuid4().hex}"
+    return f"{root}/quadrangle-tables/{spark.sparkContext.applicationId}/llm/{label}-{uuid.uuid4().hex}"
 
 
 def fold(doc_id: Column, parts: int) -> Column:

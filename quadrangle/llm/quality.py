@@ -8,13 +8,15 @@ weighs the passages, and the weighted sum of their representations is scored:
     score = sigmoid(c . sum(a h) + d)
 
 All weights, attention included, are learnt together from document labels on
-a bounded sample of labelled rows (``SAMPLE`` rows of at most
-``SAMPLE_BYTES`` each, by hash order of the id); scoring covers every passage
-of every row.
+a bounded sample of labelled rows (``SAMPLE`` ids, one row each, of at most
+``SAMPLE_BYTES``, by hash order of the id); scoring covers every passage of
+every row.  A long text is read in blocks of ``BLOCK`` bytes, whose sums for
+the attention are put together, so memory doesn't go by its length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import fold, pick, slices, table, texts
 
 SAMPLE = 6_000
-SAMPLE_BYTES = 200_000
+SAMPLE_BYTES = 32_768
 PASSAGE = 768
+BLOCK = 256 * PASSAGE
 PAIRS = 128
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 30, 64, 0.01
@@ -75,9 +78,10 @@ def encode_passages(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         odd = np.maximum(place, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
         word = np.add.reduceat(np.where(blank, 0, b).astype(np.uint64) * odd, starts)
         of = passage[starts]
-        words = np.maximum(1, np.bincount(of, minlength=total))
+        number = np.bincount(of, minlength=total)
+        words = np.maximum(1, number)
         mean = np.bincount(of, n, total) / words
-        cols = [words / length[:, 0], mean / 8, np.sqrt(np.maximum(0, np.bincount(of, n * n, total) / words - mean * mean)) / 8]
+        cols = [number / length[:, 0], mean / 8, np.sqrt(np.maximum(0, np.bincount(of, n * n, total) / words - mean * mean)) / 8]
         for d in (1, 2, 3):
             again = np.zeros(len(word))
             again[d:] = (word[d:] == word[:-d]) & (of[d:] == of[:-d])
@@ -89,6 +93,35 @@ def encode_passages(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+_LAST_BLANK = re.compile(rb".*[ \t-\r]", re.DOTALL)
+
+
+def blocks(text: bytes) -> Iterator[bytes]:
+    """``text`` in parts of at most ``BLOCK`` bytes, cut after the last white
+    space in it, if any."""
+    at = 0
+    while len(text) - at > BLOCK:
+        cut = _LAST_BLANK.match(text, at, at + BLOCK)
+        end = cut.end() if cut else at + BLOCK
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _groups(texts: list[str]) -> Iterator[list[tuple[int, bytes]]]:
+    """(text, block) of all texts, about two blocks' bytes at a time."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        for part in blocks(t.encode()):
+            group.append((i, part))
+            size += len(part)
+            if size >= BLOCK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -109,8 +142,27 @@ class AttentionModel:
         z = np.add.reduceat(h * a[:, None], at, axis=0)
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ w["c"] + w["d"])}
 
-    def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self._forward((x - self.mean) / self.scale, counts)["p"]
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Score of each text, from all its passages."""
+        w, n = self.weights, len(texts)
+        top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+        for group in _groups(texts):
+            x, counts = encode_passages([part for _, part in group])
+            h = np.tanh(self.standard(x) @ w["W"] + w["b"])
+            e = (np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"])) @ w["w"]
+            at = np.cumsum(counts) - counts
+            most = np.maximum.reduceat(e, at)
+            e = np.exp(e - np.repeat(most, counts))
+            sums, parts = np.add.reduceat(e, at), np.add.reduceat(h * e[:, None], at, axis=0)
+            for (i, _), m, s, p in zip(group, most.tolist(), sums.tolist(), parts):
+                if m > top[i]:
+                    total[i], z[i], top[i] = total[i] * np.exp(top[i] - m), z[i] * np.exp(top[i] - m), m
+                total[i] += s * np.exp(m - top[i])
+                z[i] += p * np.exp(m - top[i])
+        return _sigmoid(z / total[:, None] @ w["c"].astype(np.float64) + w["d"])
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8).astype(np.float32)
 
     def _gradient(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w, f, at = self.weights, self._forward(x, counts), np.cumsum(counts) - counts
@@ -138,7 +190,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> AttentionM
     model = AttentionModel(mean, scale, w)
     if len(set(labels.tolist())) < 2:
         return model
-    bags = [np.clip((b - mean) / scale, -8, 8).astype(np.float32) for b in bags]
+    bags = [model.standard(b) for b in bags]
     m, v, step = {k: 0 * a for k, a in w.items()}, {k: 0 * a for k, a in w.items()}, 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(bags))
@@ -161,14 +213,21 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(bags, pa.binary())], names=["label", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel:
-    """Fit on at most ``sample`` of the given labelled rows (doc_id, label),
-    the first by hash of the id, whose texts have at most ``SAMPLE_BYTES``.
-    The sampled ids, which the parameter bounds, are sent to the scan."""
-    chosen = (pick(labels, doc_id="long", label="int").dropna().dropDuplicates(["doc_id"])
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``sample`` labelled ids, the first by
+    hash of the id, one row each: of an id's labels the least, of its texts,
+    if they have at most ``most_bytes``, the first by hash.  Labels other than
+    0 and 1 aren't used.  The sampled ids, which the parameter bounds, are
+    sent to the scan."""
+    chosen = (pick(labels, doc_id="long", label="int").filter(F.col("label").isin(0, 1)).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = (texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
-            .mapInArrow(_encode, "label int, bag binary").toArrow())
+    return (texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= most_bytes)
+            .groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_t")).select("doc_id", F.col("_t.text").alias("text"), "label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel:
+    """Fit on :func:`sample_rows` of the given labels (doc_id, label)."""
+    rows = sample_rows(docs, labels, sample, SAMPLE_BYTES).mapInArrow(_encode, "label int, bag binary").toArrow()
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in rows.column("bag").to_pylist()]
     y = np.array(rows.column("label").to_pylist(), np.float64)
     order = sorted(range(len(bags)), key=lambda i: (y[i], bags[i].tobytes()))  # the same at any order of arrival
@@ -186,8 +245,7 @@ def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             if b.num_rows:
-                x, counts = encode_passages([t.encode() for t in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(x, counts).astype(np.float64))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(b.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -207,7 +265,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects (score under
-    0.5), all columns kept; a row is decided where it lies."""
+    0.5), all columns kept; a row is decided where it lies.
+
+    Nulls: a null text counts as empty and is decided by the score of one
+    blank passage; null ids and repeated rows are decided like any others, by
+    their texts alone.  An empty table gives an empty result; of columns whose
+    names differ in case only, ``text`` by exact name counts, else the first."""
     known = pick(labels, doc_id="long", quality="int").filter(~held_out(F.col("doc_id"))).withColumnRenamed("quality", "label")
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, known))
     name = next(c for c in [*[c for c in docs.columns if c == "text"], *docs.columns] if c.lower() == "text")
@@ -215,8 +278,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, name, 2 << 20):
             if b.num_rows:
-                x, counts = encode_passages([(t or "").encode() for t in b.column(b.schema.get_field_index(name)).to_pylist()])
-                yield b.filter(pa.array(sent.value.score(x, counts) >= 0.5))
+                scores = sent.value.score([t or "" for t in b.column(b.schema.get_field_index(name)).to_pylist()])
+                yield b.filter(pa.array(scores >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

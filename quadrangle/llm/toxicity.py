@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, pick, slices, table, texts
+from .quality import sample_rows
 
 SAMPLE = 8_000
 SAMPLE_BYTES = 32_768
@@ -184,11 +185,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicModel:
-    """Fit on at most ``sample`` of the labelled rows (doc_id, label), the
-    first by hash of the id, whose texts have at most ``SAMPLE_BYTES``."""
-    chosen = (pick(labels, doc_id="long", label="int").dropna().dropDuplicates(["doc_id"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES).toArrow().to_pylist()
+    """Fit on :func:`sample_rows` of the given labels (doc_id, label)."""
+    rows = sample_rows(docs, labels, sample, SAMPLE_BYTES).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["text"]))
     return fit([words(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float64))
 

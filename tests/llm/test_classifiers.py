@@ -109,3 +109,41 @@ def test_odd_rows(spark, docs_of, odd, odd_rows, clashing, f, column):
             assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in odd_rows)
             assert all(0 <= r.score <= 1 for r in got)
     assert f(docs_of([]), some).collect() == []
+
+
+def test_blocks_of_a_long_text_are_put_together(monkeypatch):
+    r = random.Random(2)
+    texts = [prose(r, 4000), "", "x" * 5000, prose(r, 10), " " + "y" * 4000]
+    rng = np.random.default_rng(1)
+    model = Q.fit([rng.standard_normal((3, Q.FEATURES)).astype(np.float32) for _ in range(4)], np.array([0.0, 1.0, 0.0, 1.0]))
+    monkeypatch.setattr(Q, "BLOCK", 3 * Q.PASSAGE)
+    parts = [list(Q.blocks(t.encode())) for t in texts]
+    assert [b"".join(p) for p in parts] == [t.encode() for t in texts] and len(parts[0]) > 5
+    for t, p, score in zip(texts, parts, model.score(texts)):
+        x = np.concatenate([Q.encode_passages([b])[0] for b in p])
+        assert abs(model._forward(model.standard(x), np.array([len(x)]))["p"][0] - score) < 1e-5
+
+
+def test_memory_of_a_worker_on_a_text_of_50_mb():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from quadrangle.llm import quality as Q
+model = Q.fit([np.zeros((3, Q.FEATURES), np.float32)] * 2, np.ones(2))
+text = "some words of a long text, " * (50_000_000 // 27)
+model.score(["warm up"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.score([text])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 250_000  # KB; the text itself and its bytes are 100 MB
+
+
+def test_one_row_for_each_sampled_id(spark, docs_of):
+    docs = docs_of([(1, f"text {i}") for i in range(50)] + [(2, "other"), (2, "other"), (3, "unused label")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 7)], "doc_id long, label int")
+    rows = Q.sample_rows(docs, labels, 10, 1000).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 0), (2, 1)]
