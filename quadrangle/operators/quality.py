@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..plans.materialize import materialize
 from ..plans.skew import annotate
 
@@ -311,6 +312,55 @@ def check_unique(batch: DataFrame, key: list[str], base: DataFrame | None = None
     return out.withColumn(reason_col, reason).drop("_in_base", "_min_seq")
 
 
+def _notnull(k: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
+
+
+#: Rounds in which rows that are first at all their keys are taken.
+FIRST_ROUNDS = 2
+
+
+def _first_come(batches):
+    """Rows of each component by arrival: one is accepted unless a key of it
+    belongs to an accepted one."""
+    import pyarrow as pa
+
+    component, taken = None, set()
+    for batch in batches:
+        seqs, accepted = batch.column("_row").to_pylist(), []
+        keys = [batch.column(n).to_pylist() for n in batch.schema.names if n.startswith("_key")]
+        for i, here in enumerate(batch.column("_component").to_pylist()):
+            if here != component:
+                component, taken = here, set()
+            mine = [(k, col[i]) for k, col in enumerate(keys) if col[i] is not None]
+            free = taken.isdisjoint(mine)
+            if free:
+                taken.update(mine)
+            accepted.append(free)
+        yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(accepted, pa.bool_())], names=["_row", "_accepted"])
+
+
+def _take_firsts(work: DataFrame, keys: list[list[str]], seq: str) -> DataFrame:
+    """One round over undecided rows: ``_state`` 1 (accepted) for a row that
+    is the first at each of its keys, 2 (refused) for one that shares a key
+    with such a row, else 0."""
+    step = work
+    for i, k in enumerate(keys):
+        first = (work.filter(_notnull(k)).groupBy(*k)
+                 .agg(F.min(seq).alias(f"_m{i}"), F.count(F.lit(1)).alias(f"_n{i}")))
+        step = annotate(step, first.withColumn("_n", F.col(f"_n{i}")), k, "_n", F.col(seq), checkpoint=False)
+    own = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_m{i}") == F.col(seq), F.lit(True)) for i in range(len(keys))])
+    step = materialize(step.withColumn("_own", own), "unique-rounds")
+    out = step
+    for i, k in enumerate(keys):  # a key has one accepted row at most
+        taken = (step.filter(F.col("_own") & _notnull(k)).select(*k, F.col(f"_n{i}").alias("_n"))
+                 .withColumn(f"_t{i}", F.lit(True)))
+        out = annotate(out, taken, k, "_n", F.col(seq), checkpoint=False)
+    hit = reduce(lambda a, b: a | b, [F.col(f"_t{i}").isNotNull() for i in range(len(keys))])
+    out = out.withColumn("_state", F.when(F.col("_own"), 1).when(hit, 2).otherwise(0))
+    return materialize(out.drop("_own", *[f"_{x}{i}" for i in range(len(keys)) for x in "mnt"]), "unique-rounds")
+
+
 def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame | None = None,
                        seq: str = "seq", reason_col: str = "reason",
                        base_reason: str = "doublon", batch_reason: str = "doublon_lot"
@@ -320,73 +370,65 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     any key with it (a rejected row blocks nobody).
 
     Rows whose every key is unique among the eligible rows of the batch are
-    settled at once (one count per key, joined back).  Only the colliding
-    rows are resolved in rounds, all as joins and aggregations: in each
-    round, for every key, the smallest-seq row among the rows still in play
-    (undecided or accepted) is found by aggregation; an undecided row whose
-    every key points at itself is accepted, one whose key points at an
-    accepted row is rejected.  Decided rows leave, but for accepted ones that
-    share a key with an undecided row.  The smallest undecided row is always
-    decided, so the loop ends; a chain in which each row shares a key with
-    the next takes a round for every second row.  Lineage is cut by writing each round to the shared
-    ``spark.checkpoint.dir`` (:func:`plans.materialize.materialize`)."""
+    settled at once (one count per key, joined back).  Of the colliding ones,
+    ``FIRST_ROUNDS`` rounds of joins and aggregations take the rows that are
+    first at all their keys and refuse those that share a key with them: that
+    settles large groups around a key.  What is left are chains, in which a
+    row waits for one that waits for another.  They are labelled by the
+    component of the row-key graph they are in (:mod:`plans.components`, a
+    number of rounds that goes with the logarithm of the longest chain), and
+    each component is decided in one pass by arrival that holds its accepted
+    keys; components are dealt over the tasks.  ``seq`` is unique."""
     if reason_col not in batch.columns:
         batch = batch.withColumn(reason_col, F.lit(None).cast("string"))
     cur = batch
     for i, k in enumerate(keys):
         if base is not None:
             cur = key_flag(cur, base, k, k, f"_b{i}", F.col(seq))
-            notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
             cur = cur.withColumn(reason_col, F.coalesce(
-                F.col(reason_col), F.when(notnull & F.col(f"_b{i}").isNotNull(),
+                F.col(reason_col), F.when(_notnull(k) & F.col(f"_b{i}").isNotNull(),
                                           F.lit(base_reason)))).drop(f"_b{i}")
     # rows with a key shared by another eligible row take part in the rounds
     eligible = cur.filter(F.col(reason_col).isNull())
     for i, k in enumerate(keys):
-        notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-        n = (eligible.filter(notnull).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+        n = (eligible.filter(_notnull(k)).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
              .filter(F.col("_n") > 1).withColumn(f"_n{i}", F.lit(True)))
         cur = annotate(cur, n, k, "_n", F.col(seq))
     shared = reduce(lambda a, b: a | b, [F.col(f"_n{i}").isNotNull() for i in range(len(keys))])
-    cur = cur.withColumn("_collides", F.col(reason_col).isNull() & shared).drop(
-        *[f"_n{i}" for i in range(len(keys))])
+    cur = materialize(cur.withColumn("_collides", F.col(reason_col).isNull() & shared).drop(
+        *[f"_n{i}" for i in range(len(keys))]), "unique-batch")
     settled = [cur.filter(~F.col("_collides")).drop("_collides")]
-    work = cur.filter(F.col("_collides")).drop("_collides").withColumn("_state", F.lit(0))
-    work = materialize(work, "unique-rounds")
-    while not work.filter(F.col("_state") == 0).isEmpty():
-        live = F.col("_state") < 2
-        step = work
-        for i, k in enumerate(keys):
-            notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-            m = (work.filter(notnull).groupBy(*k)
-                 .agg(F.min(F.when(live, F.struct(F.col(seq), F.col("_state")))).alias(f"_m{i}"),
-                      F.count(F.lit(1)).alias("_n")))
-            step = annotate(step, m, k, "_n", F.col(seq), checkpoint=False)
-        own = [F.col(f"_m{i}").isNull() | (F.col(f"_m{i}")[seq] == F.col(seq))
-               for i in range(len(keys))]
-        blocked = [F.col(f"_m{i}").isNotNull() & (F.col(f"_m{i}")["_state"] == 1)
-                   & (F.col(f"_m{i}")[seq] != F.col(seq)) for i in range(len(keys))]
-        undecided = F.col("_state") == 0
-        new_state = (F.when(undecided & reduce(lambda a, b: a | b, blocked), 2)
-                     .when(undecided & reduce(lambda a, b: a & b, own), 1)
-                     .otherwise(F.col("_state")))
-        work = step.withColumn("_state", new_state).drop(*[f"_m{i}" for i in range(len(keys))])
-        work = materialize(work, "unique-rounds")
-        # Rejected rows block nobody, and an accepted row whose keys no
-        # undecided row shares is out of the rounds, too.
-        settled.append(work.filter("_state = 2").drop("_state").withColumn(reason_col, F.lit(batch_reason)))
-        work = work.filter("_state < 2")
-        open_keys = work.filter("_state = 0")
-        touched = F.lit(False)
-        for i, k in enumerate(keys):
-            work = work.join(open_keys.select(*k).dropna().distinct().withColumn(f"_t{i}", F.lit(True)), k, "left")
-            touched = touched | F.col(f"_t{i}").isNotNull()
-        work = work.withColumn("_touched", (F.col("_state") == 0) | touched).drop(*[f"_t{i}" for i in range(len(keys))])
-        settled.append(work.filter(~F.col("_touched")).drop("_touched", "_state"))
-        work = materialize(work.filter("_touched").drop("_touched"), "unique-rounds")
+    work = cur.filter(F.col("_collides")).drop("_collides")
+    for _ in range(FIRST_ROUNDS):
+        if work.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), settled)
+        step = _take_firsts(work, keys, seq)
+        settled.append(step.filter("_state > 0").withColumn(reason_col, F.when(F.col("_state") == 2, F.lit(batch_reason))).drop("_state"))
+        work = step.filter("_state = 0").drop("_state")
+    if not work.isEmpty():
+        settled.append(_by_component(work, keys, seq, reason_col, batch_reason))
     return reduce(lambda a, b: a.unionByName(b), settled)
 
 
+def _by_component(work: DataFrame, keys: list[list[str]], seq: str, reason_col: str, batch_reason: str) -> DataFrame:
+    from ..session import ship_package
+
+    ship_package(work.sparkSession)
+    links = None
+    for k in keys:  # each row to the first one at its key
+        first = work.filter(_notnull(k)).groupBy(*k).agg(F.min(seq).alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        edge = annotate(work.select(seq, *k), first, k, "_n", F.col(seq), checkpoint=False).filter("_m IS NOT NULL").select(F.col(seq).alias("a"), F.col("_m").alias("b"))
+        links = edge if links is None else links.unionByName(edge)
+    of = components(links).withColumnRenamed("node", seq)
+    rows = (work.join(of, seq, "left").select(
+        F.coalesce("component", seq).cast("long").alias("_component"), F.col(seq).cast("long").alias("_row"),
+        *[F.when(_notnull(k), F.to_json(F.struct(*k))).alias(f"_key{i}") for i, k in enumerate(keys)]))
+    decided = (rows.repartition("_component").sortWithinPartitions("_component", "_row")
+               .mapInArrow(_first_come, "_row long, _accepted boolean"))
+    return (work.join(decided, work[seq] == decided["_row"]).drop("_row")
+            .withColumn(reason_col, F.when(~F.col("_accepted"), F.lit(batch_reason))).drop("_accepted"))
+
+
 # -- W12: orphans ---------------------------------------------------------------------------
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """Child rows whose (non-NULL) foreign key has no parent - what deleting

@@ -7,8 +7,16 @@ hottest key.  Instead every session is reduced to its *interval class*
 ``(salle, jour, heure_debut, heure_fin)`` with a count, and the three-arm
 test runs between classes.  Clock times are ``H:MM`` / ``HH:MM`` texts, so
 a room-day holds at most a fixed number of distinct classes however many
-sessions it has: the class join is bounded per key, and the per-session
-answer is a join of each session to its class total.
+sessions it has, and the per-session answer is a join of each session to its
+class total.
+
+Counts between proper classes (start before end) come from an event sweep:
+two of them conflict exactly when each starts before the other ends, so the
+stored ones that conflict with (a, b) are those started before b less those
+ended by a - two running sums over the distinct times of the room-day, with
+no pair of classes.  Only where a class isn't proper (start at or after end,
+which text order makes of 9:00-10:00) is the three-arm test run between
+classes.
 
 The test is kept literal (T6, T23): times are compared as text - binary
 collation in Spark, as in the reference - so ``'9:00' > '10:00'``.  Pass
@@ -17,11 +25,10 @@ collation in Spark, as in the reference - so ``'9:00' > '10:00'``.  Pass
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expr import conflict_cond, time_minutes
 from ..plans.skew import annotate
@@ -56,6 +63,49 @@ def class_matches(cand_classes: DataFrame, stored_classes: DataFrame) -> DataFra
     return c.join(s, on, "inner")
 
 
+def _proper(a: str = "_a", b: str = "_b") -> Column:
+    return F.coalesce(F.col(a) < F.col(b), F.lit(False))
+
+
+#: Events of a room-day at one time, in the order in which the sweep meets
+#: them: ends, how many have ended by a candidate's start, how many have
+#: started before a candidate's end, starts.
+_END, _ASK_ENDED, _ASK_STARTED, _START = range(4)
+
+
+def _sweep(cand: DataFrame, stored: DataFrame) -> DataFrame:
+    """CLASS and ``_hits`` of the proper candidate classes against the proper
+    stored ones, from running sums over the events of each room-day."""
+    def events(df: DataFrame, at: str, kind: int, n: Column) -> DataFrame:
+        return df.select(*ROOM_DAY, F.col(at).alias("_t"), F.lit(kind).alias("_kind"), n.alias("n"))
+
+    none = F.lit(0).cast("bigint")
+    kinds = [events(stored, "_b", _END, F.col("n")), events(stored, "_a", _START, F.col("n")),
+             events(cand, "_a", _ASK_ENDED, none), events(cand, "_b", _ASK_STARTED, none)]
+    # one row for each time and kind: as many as the clock has times
+    times = reduce(DataFrame.unionByName, kinds).groupBy(*ROOM_DAY, "_t", "_kind").agg(F.sum("n").alias("n"))
+    until = Window.partitionBy(*ROOM_DAY).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = times.select(*ROOM_DAY, "_t", "_kind", *[
+        F.sum(F.when(F.col("_kind") == kind, F.col("n")).otherwise(0)).over(until).alias(name)
+        for kind, name in ((_START, "_started"), (_END, "_ended"))])
+    ended = seen.filter(F.col("_kind") == _ASK_ENDED).select(*ROOM_DAY, F.col("_t").alias("_a"), "_ended")
+    started = seen.filter(F.col("_kind") == _ASK_STARTED).select(*ROOM_DAY, F.col("_t").alias("_b"), "_started")
+    return (cand.join(ended, [*ROOM_DAY, "_a"]).join(started, [*ROOM_DAY, "_b"])
+            .select(*CLASS, (F.col("_started") - F.col("_ended")).alias("_hits")))
+
+
+def class_hits(cand_classes: DataFrame, stored_classes: DataFrame) -> DataFrame:
+    """CLASS and ``_hits``: the number of stored sessions that each candidate
+    class conflicts with; classes without any may be missing."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ROOM_DAY])
+    cand, stored = cand_classes.filter(known), stored_classes.filter(known)
+    swept = _sweep(cand.filter(_proper()), stored.filter(_proper()))
+    sums = [swept]
+    for c, s in ((cand.filter(_proper()), stored.filter(~_proper())), (cand.filter(~_proper()), stored)):
+        sums.append(class_matches(c, s).select(*[F.col(f"c_{k}").alias(k) for k in CLASS], F.col("n").alias("_hits")))
+    return reduce(DataFrame.unionByName, sums).groupBy(*CLASS).agg(F.sum("_hits").alias("_hits")).filter("_hits > 0")
+
+
 def session_conflicts(sessions: DataFrame, numeric: bool = False, skew_safe: bool = True,
                       courses: DataFrame | None = None) -> DataFrame:
     """C1 for every stored session at once: the number of *other* sessions
@@ -75,9 +125,7 @@ def session_conflicts(sessions: DataFrame, numeric: bool = False, skew_safe: boo
         stored = s
         own_stored = F.lit(True)
     cand_classes = interval_classes(sessions, numeric)
-    m = class_matches(cand_classes, interval_classes(stored, numeric))
-    per_class = m.groupBy(*[f"c_{k}" for k in CLASS]).agg(F.sum("n").alias("_hits"))
-    per_class = per_class.select(*[F.col(f"c_{k}").alias(k) for k in CLASS], "_hits")
+    per_class = class_hits(cand_classes, interval_classes(stored, numeric))
     per_class = cand_classes.select(*CLASS, F.col("n").alias("_n")).join(per_class, CLASS, "left")
     self_hit = conflict_cond(F.col("_a"), F.col("_b"), F.col("_a"), F.col("_b"))
     # a class holding many sessions is joined back with its rows salted
@@ -117,46 +165,63 @@ def conflicts(candidates: DataFrame, sessions: DataFrame, courses: DataFrame,
                        "cours_nom", "cours_code")
 
 
+def _checkable(sessions: DataFrame, courses: DataFrame) -> DataFrame:
+    """Sessions whose course exists: the checker lists conflicts through an
+    inner join to the course."""
+    return sessions.join(courses.select(F.col("id").alias("cours_id")), "cours_id", "left_semi")
+
+
+def conflict_classes(candidates: DataFrame, sessions: DataFrame, courses: DataFrame,
+                     numeric: bool = False) -> DataFrame:
+    """The conflicts of :func:`conflicts` between classes: a row for each
+    candidate class and stored class (``s_`` before its times) of one room
+    and day that conflict, with the number of candidates and of stored
+    sessions in them.  Sessions and candidates carry their class in their own
+    columns, so this and the two tables hold all pairs without expanding
+    them; a candidate's own stored row is still among them."""
+    cand = interval_classes(candidates, numeric)
+    m = class_matches(cand, interval_classes(_checkable(sessions, courses), numeric))
+    n = cand.select(*[F.col(k).alias(f"c_{k}") for k in CLASS], F.col("n").alias("nb_candidats"))
+    return (m.join(n, [f"c_{k}" for k in CLASS])
+            .select(*[F.col(f"c_{k}").alias(k) for k in CLASS], F.col("s_heure_debut"), F.col("s_heure_fin"),
+                    "nb_candidats", F.col("n").alias("nb_seances")))
+
+
 def has_conflicts(candidates: DataFrame, sessions: DataFrame, courses: DataFrame,
                   numeric: bool = False) -> DataFrame:
-    """``hasConflits`` per candidate (``cand_id``), from the pair listing."""
-    hits = conflicts(candidates, sessions, courses, numeric).groupBy("cand_id").agg(
-        F.count(F.lit(1)).alias("nb_conflits"))
-    return (candidates.select("cand_id").join(hits, "cand_id", "left")
-            .select("cand_id", F.coalesce("nb_conflits", F.lit(0)).alias("nb_conflits"),
-                    (F.coalesce("nb_conflits", F.lit(0)) > 0).alias("hasConflits")))
+    """``nb_conflits`` and ``hasConflits`` per candidate (``cand_id``), from
+    class totals: no pair of sessions is made.  A candidate's own stored row
+    (``emploi_id``) is taken off where it is among the matches."""
+    cand = candidates
+    if "emploi_id" not in cand.columns:
+        cand = cand.withColumn("emploi_id", F.lit(None).cast("bigint"))
+    stored = _checkable(sessions, courses)
+    classes = interval_classes(cand, numeric)
+    per_class = (classes.select(*CLASS, F.col("n").alias("_n"))
+                 .join(class_hits(classes, interval_classes(stored, numeric)), CLASS, "left"))
+    own = _keys(stored, numeric).select(F.col("id").alias("emploi_id"), F.col("salle").alias("_o_salle"),
+                                        F.col("jour").alias("_o_jour"), F.col("_a").alias("_o_a"), F.col("_b").alias("_o_b"))
+    out = annotate(_keys(cand, numeric), per_class, CLASS, "_n", F.col("cand_id")).join(own, "emploi_id", "left")
+    mine = F.coalesce((F.col("_o_salle") == F.col("salle")) & (F.col("_o_jour") == F.col("jour"))
+                      & conflict_cond(F.col("_o_a"), F.col("_o_b"), F.col("_a"), F.col("_b")), F.lit(False))
+    nb = (F.coalesce(F.col("_hits"), F.lit(0)) - F.when(mine, 1).otherwise(0)).cast("bigint")
+    return out.select("cand_id", nb.alias("nb_conflits"), (nb > 0).alias("hasConflits"))
 
 
 # -- W13: booking a batch of sessions ---------------------------------------------
-_GREEDY_SCHEMA = T.StructType([T.StructField("salle", T.StringType()),
-                               T.StructField("jour", T.StringType()),
-                               T.StructField("seq", T.LongType()),
-                               T.StructField("accepted", T.BooleanType())])
-
-
-def _arm_test(sa, sb, ca, cb):
-    """The three-arm test on numpy arrays (stored s vs candidate c)."""
-    return ((sa <= ca) & (sb > ca)) | ((sa < cb) & (sb >= cb)) | ((sa >= ca) & (sb <= cb))
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First-come pass over the contenders of one room-day (at most one per
-    interval class, so the group size is bounded by the clock-time domain,
-    not by the data): accept a slot unless it conflicts with an already
-    accepted one."""
-    pdf = pdf.sort_values("seq", kind="stable")
-    a = pdf["_a"].to_numpy(dtype=object)
-    b = pdf["_b"].to_numpy(dtype=object)
-    acc = np.zeros(len(pdf), dtype=bool)
-    for i in range(len(pdf)):
-        if i and acc[:i].any():
-            idx = np.flatnonzero(acc[:i])
-            hit = _arm_test(a[idx], b[idx], a[i], b[i])
-            if np.any(hit):
-                continue
-        acc[i] = True
-    return pd.DataFrame({"salle": pdf["salle"].to_numpy(), "jour": pdf["jour"].to_numpy(),
-                         "seq": pdf["seq"].to_numpy(dtype="int64"), "accepted": acc})
+def _first_come(contenders: DataFrame) -> DataFrame:
+    """(seq, accepted): first-come over the contenders of each room-day, in
+    SQL.  A room-day has at most one contender for each interval class, as
+    many as the clock has times, so its ordered array is bounded by that and
+    not by the data; folding it, a slot is taken unless it conflicts with one
+    that was."""
+    slots = F.array_sort(F.collect_list(F.struct("seq", "_a", "_b")))
+    nothing = F.filter("_slots", lambda _: F.lit(False))
+    taken = F.aggregate("_slots", nothing, lambda acc, c: F.when(
+        F.exists(acc, lambda s: F.coalesce(conflict_cond(s["_a"], s["_b"], c["_a"], c["_b"]), F.lit(False))), acc)
+        .otherwise(F.concat(acc, F.array(c))))
+    return (contenders.groupBy(*ROOM_DAY).agg(slots.alias("_slots"))
+            .select(F.explode(taken).alias("_s")).select(F.col("_s.seq").alias("seq"), F.lit(True).alias("accepted")))
 
 
 def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
@@ -170,10 +235,8 @@ def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
     ``conflit``).  Exact and skew-safe: all rows of one interval class share
     their conflicts, so only the first row of a class can be accepted; the
     ordered pass runs over those contenders only, per room-day."""
-    from ..session import ship_package
     from .quality import RULES, ParentCheck, check_parents, validate
 
-    ship_package(batch.sparkSession)  # the pandas pass runs in Python workers
     v = validate(batch, RULES["timetable"])
     v = check_parents(v, [ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",))],
                       reason_col="_course_reason")
@@ -181,16 +244,14 @@ def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
     ok = v.filter((F.size("errors") == 0) & F.col("_course_ok"))
 
     classes = interval_classes(ok, numeric)
-    base_hit = (class_matches(classes, interval_classes(sessions, numeric))
-                .select(*[F.col(f"c_{k}").alias(k) for k in CLASS]).distinct()
-                .withColumn("_base_conflict", F.lit(True)))
+    base_hit = (class_hits(classes, interval_classes(sessions, numeric))
+                .select(*CLASS).withColumn("_base_conflict", F.lit(True)))
     contenders = ok.groupBy(*CLASS).agg(F.min("seq").alias("seq"))
     contenders = (contenders.join(base_hit, CLASS, "left")
                   .filter(F.col("_base_conflict").isNull()).drop("_base_conflict"))
     contenders = _keys(contenders, numeric)
-    decided = (contenders.select("salle", "jour", "seq", "_a", "_b")
-               .groupBy(*ROOM_DAY).applyInPandas(_greedy, _GREEDY_SCHEMA))
-    out = v.join(decided.select("seq", "accepted"), "seq", "left")
+    decided = _first_come(contenders)
+    out = v.join(decided, "seq", "left")
     reason = (F.when(F.size("errors") > 0, F.lit("invalide"))
               .when(~F.col("_course_ok"), F.lit("cours_introuvable"))
               .when(~F.coalesce(F.col("accepted"), F.lit(False)), F.lit("conflit")))
@@ -219,9 +280,7 @@ def update_sessions(sessions: DataFrame, changes: DataFrame, seq: str = "seq",
     v = v.join(ids, v["id"] == ids["_exists"], "left")
     ok = v.filter((F.size("errors") == 0) & F.col("_exists").isNotNull())
     cand = _keys(ok.select(*CLASS).distinct(), numeric)
-    hits = (class_matches(cand, interval_classes(sessions, numeric))
-            .groupBy(*[f"c_{k}" for k in CLASS]).agg(F.sum("n").alias("_hits"))
-            .select(*[F.col(f"c_{k}").alias(k) for k in CLASS], "_hits"))
+    hits = class_hits(cand, interval_classes(sessions, numeric))
     counts = ok.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_n"))
     per_class = counts.join(hits, CLASS, "left")
     v = annotate(v, per_class, CLASS, "_n", F.col(seq))

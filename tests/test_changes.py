@@ -3,6 +3,7 @@ the reference's order, tables rewritten by joins."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quadrangle.operators import changes, quality
@@ -247,20 +248,47 @@ def test_checked_appends_with_a_written_batch(spark):
     assert got[0] == got[1] == {1: None, 2: "doublon_lot"}
 
 
-def test_rounds_of_a_chain(spark):
+@pytest.mark.parametrize("n", [12, 10_000])
+def test_tables_written_for_a_chain(spark, n):
     """Row i shares its first key with the row before it and its second with
-    the one after it: every second row is in."""
+    the one after it: every second row is in.  The tables written grow with
+    the logarithm of the chain."""
+    from quadrangle.plans import components as comp
     from quadrangle.plans import materialize as m
 
-    n, written = 12, []
-    rows = spark.createDataFrame([(i, f"k{i // 2}", f"e{(i + 1) // 2}") for i in range(n)], "seq long, k string, e string")
-    plain, quality.materialize = quality.materialize, lambda df, label="m": written.append(label) or m.materialize(df, label)
+    written = []
+    rows = spark.range(n).selectExpr("id AS seq", "concat('k', id DIV 2) AS k", "concat('e', (id + 1) DIV 2) AS e")
+    plain = quality.materialize
+    quality.materialize = comp.materialize = lambda df, label="m": written.append(label) or m.materialize(df, label)
     try:
         got = {r.seq: r.reason for r in quality.check_unique_multi(rows, [["k"], ["e"]]).collect()}
     finally:
-        quality.materialize = plain
+        quality.materialize = comp.materialize = plain
     assert got == {i: (None if i % 2 == 0 else "doublon_lot") for i in range(n)}
-    assert written.count("unique-rounds") <= 2 * n + 1
+    assert written.count("unique-rounds") <= 2 * quality.FIRST_ROUNDS
+    assert written.count("components") <= 6 + 3 * n.bit_length()
+
+
+def test_components_against_union_find(spark):
+    import random
+
+    from quadrangle.plans.components import components
+
+    r = random.Random(6)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(7, 7)] + [(1000, 1000 + i) for i in range(1, 300)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_scratch_tables_can_be_removed(spark):

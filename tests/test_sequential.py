@@ -173,3 +173,20 @@ def test_session_conflicts_ignore_sessions_of_missing_courses(spark):
     courses = spark.createDataFrame([(1,)], "id long")
     got = {r.id: r.nb_conflits for r in schedule.session_conflicts(s, courses=courses).collect()}
     assert got == {1: 1, 2: 2, 3: 1}   # session 2 (no course) is never counted as a conflict
+
+
+@pytest.mark.parametrize("numeric", [False, True])
+@pytest.mark.parametrize("seed", range(3))
+def test_conflict_counts_and_classes_match_the_listing(spark, seed, numeric):
+    rng = random.Random(50 + seed)
+    rows = _sessions(rng, 60, 1) + [{"id": 900, "seq": 900, "cours_id": 1, "jour": None, "heure_debut": "8:00", "heure_fin": "9:00",
+                                     "salle": "S1", "type_seance": "tp"}]
+    s = spark.createDataFrame(rows, SCHEMA)
+    courses = spark.createDataFrame([(i, f"C{i}", f"c{i}") for i in (1, 2, 3)], "id long, nom string, code string")
+    cand = s.filter("id % 3 = 0 OR id = 900").select(F.col("id").alias("cand_id"), F.col("id").alias("emploi_id"), *schedule.CLASS)
+    listed = schedule.conflicts(cand, s, courses, numeric).collect()
+    counted = {r.cand_id: r.nb_conflits for r in schedule.has_conflicts(cand, s, courses, numeric).collect()}
+    assert counted == {r.cand_id: sum(x.cand_id == r.cand_id for x in listed) for r in cand.collect()}
+    # with the candidates' own rows, the classes hold as many pairs as the listing
+    free = schedule.conflicts(cand.drop("emploi_id"), s, courses, numeric).count()
+    assert schedule.conflict_classes(cand, s, courses, numeric).selectExpr("sum(nb_candidats * nb_seances)").first()[0] == free
