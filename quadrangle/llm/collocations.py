@@ -1,11 +1,13 @@
 """Phrase collocations from count streams in prefix and suffix order.
 
-Counting.  One pass a length from 1 to ``LONGEST`` words counts phrases per
-language.  A phrase is counted only where both phrases of one word less are
-in a filter of the frequent ones, a bit table of fixed size (``FILTER_BITS``)
-that is made from the pass before.  Occurrences below ``LEAST`` thus mostly
-never leave their task; a false hit of the filter costs a row and is dropped
-by its exact count.
+Counting.  For each length up to ``LONGEST`` - 1, one pass over the texts
+makes a filter of fixed size: a bit for each of ``FILTER_BITS`` buckets of
+phrase hashes that together occur ``LEAST`` times.  A phrase takes part only
+where both phrases of one word less are in the filter before.  Tasks send
+their counts by bucket, four bytes each, and never the phrases.  A last pass
+counts the phrases themselves, whose buckets are set; a false hit of a filter
+costs a row there and is dropped by its exact count, and on tables so large
+that most buckets are full the filters only spare less.
 
 Estimation layout.  The streams of all lengths, root included (the empty
 phrase, whose count is the number of words), are dealt by ranges of their
@@ -24,9 +26,7 @@ one word: an extension by several has a count at most that of one by one.
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +40,13 @@ from .common import materialize, pick, ready, slices, table
 LEAST = 100
 LONGEST = 5
 TOP = 2_000
-FILTER_BITS = 1 << 26
-#: Word positions after which a task combines its phrases.
+FILTER_BITS = 1 << 27
+#: Buckets whose counts are added up together.
+BLOCK_BITS = 19
+#: Phrase hashes after which a task combines and sends them.
 POSITIONS = 4_000_000
-#: Distinct words, and bytes of text, after which a task sends its counts.
-WORDS, TEXT = 400_000, 64 << 20
+#: Distinct phrases, and bytes in them, after which a task sends their counts.
+PHRASES, PHRASE_BYTES = 400_000, 64 << 20
 #: Rows looked at to find the ends of the ranges.
 SAMPLE = 20_000
 
@@ -59,24 +61,54 @@ for _c in range(65, 91):
     _TABLE[_c] = _c + 32
 _TABLE[9] = 32
 _TABLE = bytes(_TABLE)
+#: Factors of a word's bytes by their place, two for each.
+_FACTORS = np.random.default_rng(20_013).integers(0, 1 << 63, (2, 4096), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z in lower case; ``_END`` after each piece."""
-    return (text.encode().translate(_TABLE).replace(_END, b" \xff ") + b" \xff").split()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _seed(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode()) & 0xFFFFFFFF
-
-
-_TIMES = np.uint64(0x9E3779B97F4A7C15)
+    return xxhash.xxh3_64_intdigest(lang.encode())
+
+
+class _Words:
+    """The words of some texts: where they begin and end in ``data``, their
+    text and piece, and a hash (two, if ``twice``) by language."""
+
+    def __init__(self, texts: list[str], langs: list[str], twice: bool = False):
+        parts = [t.encode() for t in texts]
+        self.data = (_END.join(parts) + _END).translate(_TABLE)
+        b = np.frombuffer(self.data, np.uint8)
+        inside = (b != 32) & (b != _END[0])
+        edges = np.flatnonzero(np.diff(inside, prepend=False))  # the data end with _END
+        self.start, self.end = edges[::2], edges[1::2]
+        self.piece = np.searchsorted(np.flatnonzero(b == _END[0]), self.start)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.text = np.searchsorted(np.cumsum(sizes + 1), self.start, side="right")
+        seeds = {lang: _seed(lang) for lang in set(langs)}
+        seed = np.fromiter((seeds[lang] for lang in langs), np.uint64, len(langs))[self.text]
+        size = self.end - self.start
+        at = np.flatnonzero(inside)
+        place = at - np.repeat(self.start, size)
+        first = np.cumsum(size) - size
+        self.marks = []
+        for factors in _FACTORS[:1 + twice]:
+            factor = factors[place & 4095]
+            if len(place) and place.max() > 4095:
+                factor = factor + (place >> 12).astype(np.uint64) * (_TIMES << np.uint64(1))
+            factor *= b[at]
+            sums = np.add.reduceat(factor, first) if len(first) else np.empty(0, np.uint64)
+            self.marks.append(_mixed(sums + size.astype(np.uint64) * _TIMES ^ seed))
 
 
 def _longer(marks: np.ndarray, word_marks: np.ndarray) -> np.ndarray:
     """Marks of phrases with one more word at their end."""
-    x = (marks ^ (marks >> np.uint64(29))) * _TIMES + word_marks
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _mixed(marks * _TIMES + word_marks)
 
 
 def _in_filter(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -84,136 +116,145 @@ def _in_filter(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-class _Words(dict):
-    """Ids of a language's words, -1 for those that aren't frequent."""
-
-    def __init__(self, lang: str, bits: np.ndarray):
-        self.seed, self.bits, self.last = _seed(lang), bits, len(bits) * 8 - 1
-        self.words, self.marks = [], array("Q")
-        self[_END] = -1
-
-    def __missing__(self, word: bytes) -> int:
-        mark = xxhash.xxh3_64_intdigest(word, self.seed)
-        at = mark & self.last
-        if not self.bits[at >> 3] >> (at & 7) & 1:
-            self[word] = -1
-            return -1
-        self[word] = i = len(self.words)
-        self.words.append(word)
-        self.marks.append(mark)
-        return i
-
-
-_COUNTS = "lang string, phrase string, f long, mark long"
-
-
-def _rows(lang: str, phrases: list[bytes], f, marks: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64()), pa.array(np.asarray(marks, np.uint64).view(np.int64))],
-        names=["lang", "phrase", "f", "mark"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, size = {}, 0
-
-    def send() -> Iterator[pa.RecordBatch]:
-        for lang, c in counts.items():
-            yield _rows(lang, [b""], [sum(c.values())], np.zeros(1))
-            words, seed = list(c), _seed(lang)
-            for i in range(0, len(words), 50_000):
-                part = words[i:i + 50_000]
-                yield _rows(lang, part, [c[w] for w in part], np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in part), np.uint64, len(part)))
-
-    for b in slices(batches, "text", 2 << 20):
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            got = counts.setdefault(lang, Counter())
-            got.update(tokens(text))
-            del got[_END]
-            size += len(text)
-        if size >= TEXT or sum(map(len, counts.values())) >= WORDS:
-            yield from send()
-            counts, size = {}, 0
-    yield from send()
-
-
-def _phrases(known: _Words, ids: np.ndarray, n: int, filters: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(phrase, count, mark) of the phrases of n words whose parts of one
-    word less are in the filters."""
-    word_marks = np.array(known.marks, np.uint64)
-    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    marks = _longer(word_marks[ids[at]], word_marks[ids[at + 1]])
-    for k in range(2, n):  # from phrases of k words to those of k + 1
-        keep = _in_filter(filters[k - 1], marks)
-        at, marks = at[keep], marks[keep]
-        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        at = at[follows]
-        marks = _longer(marks[follows], word_marks[ids[at + k]])
-    if not len(at):
-        return [], np.empty(0, np.int64), marks
-    key = ids[at]
-    for j in range(1, n):
-        if j > 1:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key << 32 | ids[at + j]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    word = known.words.__getitem__
-    rows = np.stack([ids[at[first] + j] for j in range(n)], axis=1).tolist()
-    return [b" ".join(map(word, r)) for r in rows], counts, marks[first]
-
-
-def _count_phrases(n: int, sent: list) -> callable:
+def _phrases(words: _Words, filters: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(n, first words, marks) of the phrases of n words whose parts of one
+    word less are in the filters, n from 1 to ``longest``."""
+    at, marks = np.arange(len(words.start)), words.marks
+    for n in range(1, longest + 1):
+        yield n, at, marks
+        if n < longest:
+            keep = np.flatnonzero(_in_filter(filters[n - 1], marks[0]))
+            at, marks = at[keep], [m[keep] for m in marks]
+            follows = at[1:] == at[:-1] + 1
+            if n == 1:
+                follows &= words.piece[at[1:]] == words.piece[at[:-1]]
+            follows = np.flatnonzero(follows)
+            at = at[follows]
+            marks = [_longer(m[follows], w[at + n]) for m, w in zip(marks, words.marks)]
+
+
+# -- filters --------------------------------------------------------------------
+
+_MOST = (1 << 32 - BLOCK_BITS) - 1  # a count takes the rest of 32 bits
+
+
+def _bucket_counts(n: int, sent: list, bits: int) -> callable:
+    """Counts of the phrases of n words by bucket: a row for each block of
+    buckets, with bucket and count in 32 bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [np.frombuffer(s.value, np.uint8) for s in sent]
-        plain = filters[0].tobytes()
-        known, runs, size, text_size = {}, {}, 0, 0
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            bucket, count = np.unique(np.concatenate(held), return_counts=True)
+            packed = (bucket & (1 << BLOCK_BITS) - 1) << 32 - BLOCK_BITS | np.minimum(count, _MOST)
+            block = bucket >> BLOCK_BITS
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            data = [p.astype("<u4").tobytes() for p in np.split(packed, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
+
+        for b in slices(batches, "text", 1 << 20):
+            *_, (_, _, marks) = _phrases(_Words(b.column("text").to_pylist(), b.column("lang").to_pylist()), filters, n)
+            if len(marks[0]):
+                held.append((marks[0] & np.uint64(bits - 1)).view(np.int64))
+                size += len(held[-1])
+            if size >= POSITIONS:
+                yield send()
+                held, size = [], 0
+        if held:
+            yield send()
+    return run
 
-        def send() -> Iterator[pa.RecordBatch]:
-            for lang, parts in runs.items():
-                phrases, counts, marks = _phrases(known[lang], np.concatenate(parts), n, filters)
-                for i in range(0, len(phrases), 50_000):
-                    yield _rows(lang, phrases[i:i + 50_000], counts[i:i + 50_000], marks[i:i + 50_000])
-
-        for b in slices(batches, "text", 2 << 20):
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                if lang not in known:
-                    known[lang], runs[lang] = _Words(lang, plain), []
-                words = tokens(text)
-                runs[lang].append(np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words)))
-                size, text_size = size + len(words), text_size + len(text)
-            if size >= POSITIONS or text_size >= TEXT or sum(map(len, known.values())) >= WORDS:
-                yield from send()
-                known, runs, size, text_size = {}, {}, 0, 0
-        yield from send()
+
+def _full_buckets(least: int, size: int) -> callable:
+    """Bits of the buckets that have ``least`` phrases; rows come by block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+
+        def bits() -> pa.RecordBatch:
+            made = np.packbits(total >= min(least, _MOST), bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([made], pa.binary())], names=["block", "bits"])
+
+        for b in batches:
+            for here, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
+                if here != block:
+                    if block is not None:
+                        yield bits()
+                    block, total = here, np.zeros(size, np.int64)
+                packed = np.frombuffer(counts, "<u4")
+                total[packed >> 32 - BLOCK_BITS] += packed & _MOST
+        if block is not None:
+            yield bits()
     return run
 
 
-def _filter_of(grams: DataFrame, bits: int) -> bytes:
-    """Bit table of the marks in ``grams``: ``bits`` / 8 bytes however many
-    there are, put together from blocks of 4 KB."""
-    at = F.col("mark").bitwiseAND(bits - 1) + 1
-    blocks = (grams.select(F.bitmap_bucket_number(at).alias("block"), F.bitmap_bit_position(at).alias("bit"))
-              .groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")))
+def _filter(rows: DataFrame, n: int, sent: list, least: int, bits: int) -> bytes:
+    """The filter of the phrases of n words: ``bits`` / 8 bytes however many
+    there are, put together from its blocks."""
+    size = min(bits, 1 << BLOCK_BITS)
+    blocks = (rows.mapInArrow(_bucket_counts(n, sent, bits), "block int, counts binary").repartition("block").sortWithinPartitions("block")
+              .mapInArrow(_full_buckets(least, size), "block int, bits binary"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in blocks.toLocalIterator():
-        out[(r.block - 1) * 4096:r.block * 4096] = np.frombuffer(bytes(r.bits), np.uint8)[:bits // 8]
+    for r in blocks.collect():
+        out[r.block * size // 8:(r.block + 1) * size // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.tobytes()
 
 
-def count_streams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS) -> list[DataFrame]:
+# -- exact counts ------------------------------------------------------------------
+
+
+def _counts(sent: list, longest: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = [np.frombuffer(s.value, np.uint8) for s in sent]
+        counts, size = {}, 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            keys = list(counts)
+            for i in range(0, len(keys), 50_000):
+                part = keys[i:i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.binary()).cast(pa.string()),
+                                                  pa.array([counts[k] for k in part], pa.int64())], names=["lang", "phrase", "f"])
+
+        for b in slices(batches, "text", 1 << 20):
+            langs = b.column("lang").to_pylist()
+            words = _Words(b.column("text").to_pylist(), langs, twice=True)
+            for text, n in zip(*(x.tolist() for x in np.unique(words.text, return_counts=True))):
+                counts[langs[text], b""] = counts.get((langs[text], b""), 0) + n
+            for n, at, marks in _phrases(words, filters, longest):
+                if n <= len(filters):
+                    keep = np.flatnonzero(_in_filter(filters[n - 1], marks[0]))
+                    at, marks = at[keep], [m[keep] for m in marks]
+                if not len(at):
+                    break
+                # Equal phrases side by side; those with equal first hashes differ in the second.
+                order = np.argsort(marks[0])
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(marks[0][order]) != 0) | (np.diff(marks[1][order]) != 0)]))
+                here = at[order[first]]
+                for text, a, z, f in zip(words.text[here].tolist(), words.start[here].tolist(), words.end[here + n - 1].tolist(), np.diff(first, append=len(at)).tolist()):
+                    key = langs[text], words.data[a:z] if n == 1 else b" ".join(words.data[a:z].split())
+                    if key in counts:
+                        counts[key] += f
+                    else:
+                        counts[key] = f
+                        size += z - a
+            if len(counts) >= PHRASES or size >= PHRASE_BYTES:
+                yield from send()
+                counts, size = {}, 0
+        yield from send()
+    return run
+
+
+def count_stream(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, phrase, f) of the phrases of 1 to ``longest`` words that occur
-    ``least`` times, one table a length; the first one also has the number
-    of words as the count of the empty phrase."""
+    ``least`` times, and the number of words as the count of the empty
+    phrase."""
     spark = docs.sparkSession
     rows = pick(docs, lang="string", text="string").fillna({"lang": "und", "text": ""})
-    out, sent = [], []
-    for n in range(1, longest + 1):
-        counted = rows.mapInArrow(_count_words if n == 1 else _count_phrases(n, sent), _COUNTS)
-        grams = materialize(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.max("mark").alias("mark"))
-                            .filter((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{n}")
-        out.append(grams.select("lang", "phrase", "f"))
-        if n < longest:
-            sent.append(spark.sparkContext.broadcast(_filter_of(grams.filter(F.col("phrase") != ""), filter_bits)))
-    return out
+    sent = []
+    for n in range(1, longest):
+        sent.append(spark.sparkContext.broadcast(_filter(rows, n, sent, least, filter_bits)))
+    return materialize(rows.mapInArrow(_counts(sent, longest), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+                       .filter((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
 
 
 # -- streams in lockstep --------------------------------------------------------
@@ -309,9 +350,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     without frequent phrases has no rows, and an empty table gives an empty
     result; extra columns are ignored."""
     ready(docs.sparkSession)
-    streams = None
-    for grams in count_streams(docs, least, longest, filter_bits):
-        streams = grams if streams is None else streams.unionByName(grams)
+    streams = count_stream(docs, least, longest, filter_bits)
     null = F.lit(None)
     ahead = _merged(streams, False).select("lang", "phrase", "f", F.col("parts").alias("heads"), null.cast("array<long>").alias("tails"), "extension")
     back = _merged(streams, True).select("lang", "phrase", "f", null.cast("array<long>").alias("heads"), F.col("parts").alias("tails"), "extension")
