@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import doc_number, doc_tail, parse_bool
 from ..plans.materialize import materialize as write_table
-from ..sources.schemas import NOT_NULL, UNIQUE_KEYS, conform, typed, with_defaults
+from ..plans.skew import annotate
+from ..sources.schemas import FOREIGN_KEYS, NOT_NULL, UNIQUE_KEYS, conform, typed, with_defaults
 from .quality import (RULES, ParentCheck, check_parents, check_unique, check_unique_multi,
                       validate)
 
@@ -103,9 +104,10 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
     rows of the batch) -> insert with defaults and ids.
 
     The duplicate check reads the checked batch twice (per-key first row,
-    then the join back).  With ``materialize=True`` the checked batch is
-    written once as a table in the shared ``spark.checkpoint.dir``
-    so the upstream scans and joins are not run twice and lineage is cut."""
+    then the join back).  With ``materialize=True`` the checked batch, and
+    then the report, is written once as a table in the shared
+    ``spark.checkpoint.dir`` so the upstream scans and joins are not run twice
+    and lineage is cut."""
     v = validate(batch, RULES[rules]) if rules else batch.withColumn("errors", F.array())
     v = typed(v, name)
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
@@ -119,6 +121,8 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
         checked = check_unique(checked, keys[0], base, seq)
     elif len(keys) > 1:
         checked = check_unique_multi(checked, keys, base, seq)
+    if materialize:
+        checked = write_table(checked, "checked-report")
     ok, bad = _split(checked)
     rows = with_defaults(assign_ids(ok, base, seq), name, as_of, keep=(seq,))
     return ChangeSet(append(base, rows, name), rows, bad, checked)
@@ -232,7 +236,8 @@ def full_update(base: DataFrame, changes: DataFrame, cols: list[str], name: str,
         for c in k:
             notnull = notnull & F.col(c).isNotNull()
         held = base.filter(notnull).groupBy(*k).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-        v = v.join(held, k, "left").withColumn("reason", F.coalesce(F.col("reason"), F.when(
+        asked = v.filter(notnull).groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).join(held, k)
+        v = annotate(v, asked, k, "_n", F.col(seq)).withColumn("reason", F.coalesce(F.col("reason"), F.when(
             (F.col("_first") != F.col(key)) | (F.col("_last") != F.col(key)), F.lit("doublon")))).drop("_first", "_last")
     ok, bad = _split(v)
     last = _latest(ok, key, seq)
@@ -341,6 +346,48 @@ def guarded_delete(base: DataFrame, keys: DataFrame, children: dict[str, tuple[D
     return ChangeSet(table, deletable, report.filter(F.col("reason").isNotNull()), report)
 
 
+def dependents(tables: dict[str, DataFrame], name: str, keys: DataFrame) -> DataFrame:
+    """Rows at all levels below the rows of table ``name`` with the given
+    ``id``s: (root, table, n), only tables with some.  The foreign-key graph
+    is walked from parents to children; a row that is reached over several
+    ways, as a payment is by its bill and by its student, counts once.  Only
+    a root and a row's key move from level to level."""
+    reached = {name: keys.select(F.col("id").alias("root"), F.col("id").cast("string").alias("key")).distinct()}
+    counts = None
+    for child, fks in FOREIGN_KEYS.items():
+        if child not in tables or child == name:
+            continue
+        # Enrolments have no id of their own; their pair is the key.
+        own = F.concat_ws("/", *[F.col(c).cast("string") for c in UNIQUE_KEYS["inscriptions"][0]]) \
+            if child == "inscriptions" else F.col("id").cast("string")
+        rows = None
+        for fk, parent in fks.items():
+            if parent in reached:
+                hit = (tables[child].select(F.col(fk).cast("string").alias("key"), own.alias("_own"))
+                       .join(reached[parent], "key").select("root", F.col("_own").alias("key")))
+                rows = hit if rows is None else rows.unionByName(hit)
+        if rows is not None:
+            reached[child] = write_table(rows.distinct(), "dependents")
+            n = reached[child].groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.lit(child).alias("table"), "n")
+            counts = n if counts is None else counts.unionByName(n)
+    return counts
+
+
+def guarded_delete_deep(tables: dict[str, DataFrame], name: str, keys: DataFrame) -> ChangeSet:
+    """W6 over all levels: a key goes only if nothing is below it; a blocked
+    one is reported as ``enfants`` with the counts of every table below, a
+    missing one as ``introuvable``."""
+    below = [t for t in FOREIGN_KEYS if t in tables and t != name]
+    k = keys.select("id").distinct().join(tables[name].select("id").withColumn("_exists", F.lit(True)), "id", "left")
+    found = dependents(tables, name, k.filter("_exists"))
+    per = found.groupBy("root").pivot("table", below).agg(F.sum("n"))
+    report = k.join(per, k["id"] == per["root"], "left").select(
+        "id", *[F.when(F.col("_exists").isNotNull(), F.coalesce(F.col(t), F.lit(0))).cast("bigint").alias(t) for t in below],
+        F.when(F.col("_exists").isNull(), F.lit("introuvable")).when(F.col("root").isNotNull(), F.lit("enfants")).alias("reason"))
+    gone = report.filter(F.col("reason").isNull()).select("id")
+    return ChangeSet(tables[name].join(gone, "id", "left_anti"), gone, report.filter(F.col("reason").isNotNull()), report)
+
+
 def delete_enrolments(enrolments: DataFrame, pairs: DataFrame) -> ChangeSet:
     """W7 by (student, course) pair."""
     k = pairs.select("etudiant_id", "cours_id").distinct()

@@ -156,6 +156,51 @@ def deep_page(rows: DataFrame, order: list[Column], offset: int, limit: int,
             .orderBy("_pos").drop("_pid", "_pos"))
 
 
+def numbered(rows: DataFrame, order: list[Column], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their key range ``_range`` and their position ``_pos`` in
+    ``order`` from 0 on, and a sample of ranks: the position that each range
+    begins at and how many rows it has.  A row is numbered within its range;
+    only the sample, one row for each range, is summed up in one task."""
+    from pyspark.sql import Window
+
+    from ..plans.materialize import materialize
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranks = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    ranks = materialize(ranks.withColumn("first", F.sum("n").over(Window.orderBy("_range")) - F.col("n")), "ranks")
+    within = Window.partitionBy("_range").orderBy(*order)
+    placed = (ranged.withColumn("_pos", F.row_number().over(within) - 1).join(ranks.select("_range", "first"), "_range")
+              .withColumn("_pos", F.col("_pos") + F.col("first")).drop("first"))
+    return placed, ranks
+
+
+def with_place(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place in ``order``, from 1 on, as a column, so
+    that the order outlives shuffles and files."""
+    return numbered(rows, order)[0].withColumn(name, (F.col("_pos") + 1).cast("bigint")).drop("_pos", "_range")
+
+
+def store_ranked(rows: DataFrame, order: list[Column], path: str, partitions: int | None = None) -> None:
+    """Store a sorted listing with the position of each row, in key ranges,
+    and its sample of ranks beside it.  :func:`ranked_page` then reads the
+    ranges of a page alone, whatever its offset."""
+    placed, ranks = numbered(rows, order, partitions)
+    ranks.write.parquet(f"{path}/ranks")
+    placed.repartition("_range").sortWithinPartitions("_range", "_pos").write.partitionBy("_range").parquet(f"{path}/rows")
+
+
+def ranked_page(spark, path: str, page: int, limit: int) -> DataFrame:
+    """A page of a listing stored by :func:`store_ranked`: the ranges that it
+    lies in come from the sample (one or two of them), the rest of the
+    listing isn't read."""
+    _check_page(page, limit)
+    offset = (page - 1) * limit
+    ranges = [r["_range"] for r in spark.read.parquet(f"{path}/ranks")
+              .filter((F.col("first") < offset + limit) & (F.col("first") + F.col("n") > offset) & (F.col("n") > 0)).collect()]
+    return (spark.read.parquet(f"{path}/rows").filter(F.col("_range").isin(ranges))
+            .filter((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit)).orderBy("_pos").drop("_pos", "_range"))
+
+
 def pagination(base: DataFrame, page: int, limit: int) -> DataFrame:
     """One row: page, limit, total (of the filtered base, T8), pages."""
     _check_page(page, limit)

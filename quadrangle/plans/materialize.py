@@ -17,10 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by :func:`cleanup`."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/quadrangle-tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "m") -> DataFrame:
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/quadrangle-tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 

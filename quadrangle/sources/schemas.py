@@ -82,6 +82,23 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
     "teaching_staff": [("employeeId",), ("email",)],
     "admin_staff": [("employeeId",), ("email",)],
 }
+# Foreign keys of each table, by column (fixed values of the schema).  Parents
+# stand before their children in this order, so one pass goes down all levels.
+FOREIGN_KEYS: dict[str, dict[str, str]] = {
+    "departements": {},
+    "etudiants": {"departement_id": "departements"},
+    "professeurs": {"departement_id": "departements"},
+    "cours": {"departement_id": "departements", "professeur_id": "professeurs"},
+    "inscriptions": {"etudiant_id": "etudiants", "cours_id": "cours"},
+    "notes": {"etudiant_id": "etudiants", "cours_id": "cours"},
+    "emplois_temps": {"cours_id": "cours"},
+    "absences": {"etudiant_id": "etudiants", "cours_id": "cours"},
+    "bills": {"studentId": "etudiants"},
+    "payments": {"billId": "bills", "studentId": "etudiants"},
+    "expenses": {"departmentId": "departements"},
+    "teaching_staff": {"departmentId": "departements"},
+    "admin_staff": {"departmentId": "departements"},
+}
 # Columns declared NOT NULL (besides the key).
 NOT_NULL: dict[str, tuple[str, ...]] = {
     "departements": ("nom",),

@@ -2,13 +2,13 @@
 
 The reference has no stream; its write rules take one request at a time.
 Here each micro-batch of incoming rows is one batch for the bulk rule
-(W1 / W13): ``foreachBatch`` reads the current table version, applies the
-rule, and writes the new table version and the rejected rows to fresh
-paths under the sink root.  The table version written by batch N is the
-base of batch N+1; the checkpoint location makes the query restartable
-after a driver or executor loss: a replayed epoch reads the version of the
-epoch before it and rewrites its own version path (``mode("overwrite")`` on
-that epoch only), so replays are idempotent.
+(W1 / W13): ``foreachBatch`` reads the table as it was before the epoch,
+applies the rule once, and commits what was accepted as the epoch's change
+over the stored table (:class:`sources.deltas.DeltaTable`), beside the
+rejected rows.  An epoch so writes what it changed and not the table.  The
+checkpoint location makes the query restartable after a driver or executor
+loss: a replayed epoch reads the epochs before it and writes its own folder
+anew, so replays are idempotent.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import ChangeSet
+from ..sources.deltas import DeltaTable
 
 
 def latest_version(spark: SparkSession, root: str, name: str, before: int | None = None
@@ -43,21 +44,22 @@ def latest_version(spark: SparkSession, root: str, name: str, before: int | None
 
 def checked_append_stream(stream: DataFrame, base_path: str, sink_root: str, name: str,
                           rule: Callable[[DataFrame, DataFrame], ChangeSet],
-                          checkpoint: str, trigger: dict | None = None):
+                          checkpoint: str, trigger: dict | None = None, key: str = "id",
+                          compact_every: int = 16):
     """Start a streaming query that applies ``rule(table, batch)`` to every
-    micro-batch.  ``seq`` (arrival order) is required on the stream rows."""
+    micro-batch.  ``seq`` (arrival order) is required on the stream rows.  The
+    rule's report should be written (``materialize=True``), so that accepted
+    and rejected rows don't run it twice."""
     spark = stream.sparkSession
+    table = DeltaTable(spark, sink_root, name, key, compact_every)
+    if not table.epochs("base"):
+        table.create(spark.read.parquet(base_path))
 
     def apply(batch: DataFrame, epoch: int):
-        # the base of epoch N is the newest version written by an earlier
-        # epoch - a replayed epoch never builds on its own earlier output
-        src = latest_version(spark, sink_root, name, before=epoch) or base_path
-        table = spark.read.parquet(src)
-        cs = rule(table, batch)
-        out = f"{sink_root.rstrip('/')}/{name}/epoch={epoch}"
+        cs = rule(table.read(before=epoch), batch)
         rej = f"{sink_root.rstrip('/')}/{name}_rejected/epoch={epoch}"
         cs.rejected.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(rej)
-        cs.table.write.mode("overwrite").parquet(out)
+        table.commit(epoch, added=cs.accepted)
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
