@@ -318,13 +318,13 @@ STUDENTS_AFTER_UPDATE = """
 WITH asked AS (
   SELECT id AS seq, id, niveau, departement_id,
          CASE WHEN id % 10 = 0 THEN 'e' || CAST(id + 1 AS VARCHAR) || '@campus.fr'
-              WHEN id % 25 = 5 THEN 'same' || CAST(id // 50 AS VARCHAR) || '@campus.fr'
+              WHEN id % 25 = 1 THEN 'same' || CAST(id // 50 AS VARCHAR) || '@campus.fr'
               ELSE 'new' || CAST(id AS VARCHAR) || '@campus.fr' END AS email
-  FROM etudiants WHERE id % 5 = 0
+  FROM etudiants
   UNION ALL
   SELECT id + 1000000000000, id, 'L9', departement_id,
          CASE WHEN id % 2 = 0 THEN email
-              WHEN id % 25 = 5 THEN 'same' || CAST(id // 50 AS VARCHAR) || '@campus.fr'
+              WHEN id % 25 = 1 THEN 'same' || CAST(id // 50 AS VARCHAR) || '@campus.fr'
               ELSE 'new' || CAST(id AS VARCHAR) || '@campus.fr' END
   FROM etudiants WHERE id % 15 = 0),
 allowed AS (

@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 
 def _load():
     # Importing the modules registers their queries.
-    from . import catalog  # noqa: F401
+    from . import catalog, catalog_changes  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
