@@ -20,6 +20,7 @@ bins, a fixed number for each class, are all that is gathered for it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -44,6 +45,8 @@ JOINED, WHOLE = 4, 100.0
 CLUSTER = 4.0
 #: Lower ends of the classes of length.
 CLASSES = (20, 32, 48, 96)
+#: Characters of a run whose windows are tested together.
+STRETCH = 1 << 20
 #: Bins of -log10 p, so many for each power of ten, up to the last.
 BINS, LAST_BIN = 20, 6000
 
@@ -77,6 +80,10 @@ def _normal(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _normals(z: np.ndarray) -> np.ndarray:
+    return 0.5 * np.fromiter(map(math.erfc, (-z / math.sqrt(2)).tolist()), float, len(z))
+
+
 def _chi2_tail(x: float, df: int) -> float:
     """P(chi-squared >= x), by Wilson and Hilferty's cube root."""
     if x <= 0:
@@ -85,6 +92,27 @@ def _chi2_tail(x: float, df: int) -> float:
     return _normal(-((x / df) ** (1 / 3) - 1 + v) / math.sqrt(v))
 
 
+def _largest(holds: callable) -> float:
+    """The largest number, to a part in 10^12, for which ``holds`` does; it
+    holds from 0 up to some number."""
+    lo, hi = 0.0, 1.0
+    while holds(hi):
+        lo, hi = hi, 2 * hi
+    while hi - lo > 1e-12 * hi:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if holds(mid) else (lo, mid)
+    return lo
+
+
+@functools.cache
+def _chi2_most(df: int) -> float:
+    """Chi-squared up to which a run passes as uniform."""
+    return _largest(lambda x: _chi2_tail(x, df) >= UNIFORM)
+
+
+_MOST_DEVIATION = _largest(lambda x: 2 * _normal(-x) >= UNIFORM)
+
+
 @dataclass
 class TextModel:
     """What ordinary text does in each alphabet: the squared distance of its
@@ -139,14 +167,84 @@ class TextModel:
         return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def _windows(start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Overlapping windows of several lengths; their number grows with the run."""
-    size = SHORTEST
-    while size < end - start:
-        for i in range(start, end - size, max(1, size // 4)):
-            yield i, i + size
-        yield end - size, end
-        size = size * 7 // 5
+    def probabilities(self, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """:meth:`probability` of each of many windows of ``text``, NaN for
+        None and for windows of four characters or fewer, from running sums:
+        the cost goes by the text and the number of windows, not by what they
+        hold together."""
+        codes, n = np.frombuffer(text.encode(), np.uint8), (ends - starts).astype(float)
+        distinct, squares = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for c in np.unique(codes):
+            sums = np.concatenate([[0], np.cumsum(codes == c)])
+            held = sums[ends] - sums[starts]
+            distinct += held > 0
+            squares += held * held
+        out, left = np.full(len(starts), np.nan), distinct > 4
+        for alphabet, (distance, cross, mean, var) in zip(ALPHABETS, self.figures):
+            if not left.any():
+                break
+            sums, k = _Running.over(codes, alphabet), len(alphabet)
+            here = np.flatnonzero(left)
+            here = here[sums.inside[ends[here]] - sums.inside[starts[here]] == ends[here] - starts[here]]
+            left[here] = False
+            a, z, m = starts[here], ends[here], n[here]
+            chi2 = squares[here] * k / m - m
+            runs = (sums.changes[z - 1] - sums.changes[a]).astype(float)
+            product = (sums.products[z - 1] - sums.products[a]) * 3 / (k * k - 1) / (m - 1)
+            even = 2 * (k // 2) * (k - k // 2) / k ** 2
+            deviation = np.maximum(np.abs(runs - (m - 1) * even) / np.sqrt((m - 1) * even * (1 - even)), np.abs(product) * np.sqrt(m - 1))
+            random = np.flatnonzero((chi2 <= _chi2_most(k - 1)) & (deviation <= _MOST_DEVIATION))
+            here, m, chi2, runs, product = here[random], m[random], chi2[random], runs[random], product[random]
+            ps = [_normals((chi2 - (k - 1) - m * distance) / np.sqrt(CLUSTER * (2 * (k - 1) + 4 * m * distance)))]
+            z = (runs - (m - 1) * cross) / np.sqrt(CLUSTER * (m - 1) * cross * (1 - cross))
+            ps.append(_normals(z if even < cross else -z))
+            z = (product - mean) / np.sqrt(CLUSTER * var / (m - 1))
+            ps.append(_normals(z if mean > 0 else -z))
+            half = -sum(np.log(np.maximum(p, 1e-300)) for p in ps)
+            out[here] = np.exp(-half) * (1 + half + half * half / 2)
+        return out
+
+
+@dataclass
+class _Running:
+    """Running sums over a text in one alphabet: characters in it, changes of
+    side and products of neighbours (as twice the distance from the middle,
+    so whole numbers)."""
+
+    inside: np.ndarray
+    changes: np.ndarray
+    products: np.ndarray
+
+    @classmethod
+    def over(cls, codes: np.ndarray, alphabet: list[str]) -> _Running:
+        k, place = len(alphabet), np.full(128, -1, np.int64)
+        place[[ord(c) for c in alphabet]] = np.arange(k)
+        at = place[codes]
+        x = 2 * at - (k - 1)
+        zero = np.zeros(1, np.int64)
+        return cls(np.concatenate([zero, np.cumsum(at >= 0)]), np.concatenate([zero, np.cumsum((x[1:] > 0) != (x[:-1] > 0))]),
+                   np.concatenate([zero, np.cumsum(x[1:] * x[:-1])]))
+
+
+def _windows(start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of overlapping windows of several lengths, those of one
+    stretch of text together; their number grows with the run."""
+    sizes = [SHORTEST]
+    while sizes[-1] * 7 // 5 < end - start:
+        sizes.append(sizes[-1] * 7 // 5)
+    sizes = np.array([size for size in sizes if size < end - start], np.int64)
+    for some in [sizes[sizes <= STRETCH // 4], *sizes[sizes > STRETCH // 4, None]]:
+        for at in range(start, end, STRETCH) if len(some) else ():
+            starts = []
+            for size in some.tolist():
+                step = max(1, size // 4)
+                first = start + -(-(at - start) // step) * step
+                starts.append(np.arange(first, min(at + STRETCH, end - size), step))
+                if at <= end - size < at + STRETCH:
+                    starts[-1] = np.append(starts[-1], end - size)
+            every = np.concatenate(starts)
+            if len(every):
+                yield every, every + np.repeat(some, [len(x) for x in starts])
 
 
 def pieces(model: TextModel, run: str) -> list[tuple[int, int, float | None]]:
@@ -178,14 +276,19 @@ def pieces(model: TextModel, run: str) -> list[tuple[int, int, float | None]]:
             start, end = parts[i][0], parts[j][1]
             if end - start >= SHORTEST and not ((start, end) == (0, n) and whole):
                 if ((start, end) == (0, n) or not tried(start, end)) and i == j:
-                    for w in _windows(start, end):
-                        tried(*w)
+                    for first, last in _windows(start, end):
+                        lo, hi = int(first.min()), int(last.max())
+                        tests += len(first)
+                        ps = model.probabilities(run[lo:hi], first - lo, last - lo)
+                        for w in np.flatnonzero(~np.isnan(ps)).tolist():
+                            a, z, p = int(first[w]), int(last[w]), float(ps[w])
+                            found.append((p, a - z, a, z, p))
             if words[j]:
                 break
     out: list[tuple[int, int, float | None]] = []
     taken = bytearray(n)
     for _, _, start, end, p in sorted(found):
-        if any(taken[start:end]) or out and p * tests >= 1:
+        if taken.find(1, start, end) >= 0 or out and p * tests >= 1:
             continue
         taken[start:end] = b"\1" * (end - start)
         out.append((start, end, min(1.0, p * tests)))

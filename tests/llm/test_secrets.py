@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -122,3 +123,44 @@ def test_parts_beside_a_base_span_are_tested():
     assert list(S._outside(0, 100, [(10, "hex", 40), (45, "hex", 60)])) == [(60, 100)]
     assert list(S._outside(0, 50, [(30, "access", 50)])) == [(0, 30)]
     assert list(S._outside(0, 50, [])) == [(0, 50)]
+
+
+def one_by_one(start, end):
+    """All windows of a stretch, in a loop."""
+    size = S.SHORTEST
+    while size < end - start:
+        for i in range(start, end - size, max(1, size // 4)):
+            yield i, i + size
+        yield end - size, end
+        size = size * 7 // 5
+
+
+@pytest.mark.parametrize("stretch", [64, 1 << 20])
+def test_windows_together_against_one_by_one(monkeypatch, stretch):
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    r, letters = random.Random(3), string.ascii_lowercase
+    pairs = np.ones((128, 128)) + 50 * np.eye(128)
+    model = S.TextModel.of(pairs)
+    alphabets = [letters, string.digits, string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/-_"]
+    for _ in range(60):
+        n, alphabet = r.randint(21, 400), r.choice(alphabets)
+        part = "".join(r.choices(alphabet, k=n)) if r.random() < 0.6 else "".join(r.choices("aeinorst", k=n // 2) + r.choices(alphabet, k=n - n // 2))
+        got = [(int(a), int(z), p) for first, last in S._windows(0, n) for a, z, p in zip(first, last, model.probabilities(part, first, last))]
+        assert sorted((a, z) for a, z, _ in got) == sorted(one_by_one(0, n))
+        for a, z, p in got:
+            want = model.probability(part[a:z]) if len(set(part[a:z])) > 4 else None
+            assert np.isnan(p) if want is None else abs(p - want) <= 1e-9 * max(want, 1e-12)
+
+
+def test_a_long_run_takes_time_by_its_length():
+    import time
+
+    r = random.Random(8)
+    model = S.TextModel.of(np.ones((128, 128)))
+    times = []
+    for n in (100_000, 400_000):
+        run = "".join(r.choices("aeinorstAEINORST019", k=n))  # uniform in no alphabet
+        before = time.process_time()
+        S.pieces(model, run)
+        times.append(time.process_time() - before)
+    assert times[1] < 8 * times[0] + 1
