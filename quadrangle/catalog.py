@@ -232,10 +232,10 @@ def _grade_append_check(c):
     v = quality.validate(c.notes, quality.RULES["grade"])
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     out = quality.check_parents(v, [
-        quality.ParentCheck("etudiant_introuvable", c.etudiants, ("etudiant_id",), ("id",)),
-        quality.ParentCheck("cours_introuvable", c.cours, ("cours_id",), ("id",)),
+        quality.ParentCheck("etudiant_introuvable", c.etudiants, ("etudiant_id",), ("id",), unique=True),
+        quality.ParentCheck("cours_introuvable", c.cours, ("cours_id",), ("id",), unique=True),
         quality.ParentCheck("non_inscrit", c.inscriptions, ("etudiant_id", "cours_id"),
-                            ("etudiant_id", "cours_id")),
+                            ("etudiant_id", "cours_id"), unique=True),
     ], prior=prior)
     return out.select("id", "reason")
 

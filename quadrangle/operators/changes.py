@@ -131,10 +131,10 @@ def append_valid(base: DataFrame, batch: DataFrame, name: str, rules: str | None
 def add_grades(notes, batch, students, courses, enrolments, seq="seq", as_of=None) -> ChangeSet:
     """W1 for grades: rules, student, course, enrolment (no duplicate rule)."""
     return append_valid(notes, batch, "notes", "grade", [
-        ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",)),
-        ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
+        ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",), unique=True),
+        ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",), unique=True),
         ParentCheck("non_inscrit", enrolments, ("etudiant_id", "cours_id"),
-                    ("etudiant_id", "cours_id"))], unique=[], seq=seq, as_of=as_of)
+                    ("etudiant_id", "cours_id"), unique=True)], unique=[], seq=seq, as_of=as_of)
 
 
 def add_absences(absences, batch, students, courses, enrolments, seq="seq",
@@ -144,10 +144,10 @@ def add_absences(absences, batch, students, courses, enrolments, seq="seq",
     batch = batch.withColumn("justifiee", parse_bool("justifiee")) \
         if dict(batch.dtypes).get("justifiee") == "string" else batch
     return append_valid(absences, batch, "absences", "absence", [
-        ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",)),
-        ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
+        ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",), unique=True),
+        ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",), unique=True),
         ParentCheck("non_inscrit", enrolments, ("etudiant_id", "cours_id"),
-                    ("etudiant_id", "cours_id"))],
+                    ("etudiant_id", "cours_id"), unique=True)],
         unique=[["etudiant_id", "cours_id", "date_absence"]], seq=seq, as_of=as_of,
         materialize=materialize)
 
@@ -182,8 +182,8 @@ def enrol_check(enrolments, batch, students, courses, seq="seq", materialize=Fal
     v = typed(validate(batch, RULES["enrolment"]), "inscriptions")
     prior = F.when(F.size("errors") > 0, F.lit("invalide"))
     out = check_parents(v, [
-        ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",)),
-        ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",))], prior=prior)
+        ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",), unique=True),
+        ParentCheck("etudiant_introuvable", students, ("etudiant_id",), ("id",), unique=True)], prior=prior)
     if materialize:
         out = write_table(out, "checked-batch")
     out = check_unique(out, ["etudiant_id", "cours_id"], enrolments, seq,

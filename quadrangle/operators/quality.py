@@ -4,10 +4,10 @@ orphan audit (W12).
 ``validate`` adds ``errors: array<string>`` - the codes (field names) of
 every failing rule, in rule order, all failures kept - as built-in Column
 expressions, so validation is a single projection inside whole-stage
-codegen.  Checks against other tables (a parent exists, a key is already
-stored) are decided per key - the batch reduced to its distinct keys,
-joined to the other table's distinct keys - and the verdict is joined back
-onto the rows with hot keys salted, so the first failing check can be
+codegen.  Whether a parent exists is a left join with its keys; whether a key
+is already stored, or asked for twice, is decided per key - the batch reduced
+to its distinct keys, joined to the table's - and the verdict is joined back
+onto the rows with hot keys salted.  So the first failing check can be
 reported as the reason without row fan-out or a single-task hot key.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.materialize import materialize
-from ..plans.skew import annotate
+from ..plans.skew import annotate, annotate_many
 
 TIME_PATTERN = r"^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -42,7 +42,6 @@ class Rule:
     hi: float | None = None
     values: tuple = ()
     optional: bool = False
-    message: str = ""
 
 
 def _text(c: Column) -> Column:
@@ -140,82 +139,73 @@ def split(validated: DataFrame, errors: str = "errors") -> tuple[DataFrame, Data
 # Rule sets (fixed values of the reference's request validators).
 RULES: dict[str, list[Rule]] = {
     "student": [  # V1
-        Rule("matricule", "required", message="Le matricule est requis"),
-        Rule("nom", "required", message="Le nom est requis"),
-        Rule("prenom", "required", message="Le prénom est requis"),
-        Rule("email", "email", message="Email invalide"),
-        Rule("departement_id", "int", message="ID du département invalide"),
-        Rule("niveau", "required", message="Le niveau est requis"),
-        Rule("annee_etude", "int", lo=1, hi=5, message="Année d'étude invalide"),
+        Rule("matricule", "required"),
+        Rule("nom", "required"),
+        Rule("prenom", "required"),
+        Rule("email", "email"),
+        Rule("departement_id", "int"),
+        Rule("niveau", "required"),
+        Rule("annee_etude", "int", lo=1, hi=5),
     ],
     "professor": [  # V2
-        Rule("matricule", "required", message="Le matricule est requis"),
-        Rule("nom", "required", message="Le nom est requis"),
-        Rule("prenom", "required", message="Le prénom est requis"),
-        Rule("email", "email", message="Email invalide"),
-        Rule("departement_id", "int", message="ID du département invalide"),
-        Rule("specialite", "required", message="La spécialité est requise"),
-        Rule("grade", "required", message="Le grade est requis"),
+        Rule("matricule", "required"),
+        Rule("nom", "required"),
+        Rule("prenom", "required"),
+        Rule("email", "email"),
+        Rule("departement_id", "int"),
+        Rule("specialite", "required"),
+        Rule("grade", "required"),
     ],
     "course": [  # V3
-        Rule("code", "required", message="Le code du cours est requis"),
-        Rule("nom", "required", message="Le nom du cours est requis"),
-        Rule("credits", "int", lo=1, message="Le nombre de crédits doit être positif"),
-        Rule("heures_cours", "int", lo=0,
-             message="Le nombre d'heures de cours doit être positif"),
-        Rule("heures_tp", "int", lo=0, message="Le nombre d'heures de TP doit être positif"),
-        Rule("departement_id", "int", message="ID du département invalide"),
-        Rule("semestre", "required", message="Le semestre est requis"),
-        Rule("annee_academique", "required", message="L'année académique est requise"),
+        Rule("code", "required"),
+        Rule("nom", "required"),
+        Rule("credits", "int", lo=1),
+        Rule("heures_cours", "int", lo=0),
+        Rule("heures_tp", "int", lo=0),
+        Rule("departement_id", "int"),
+        Rule("semestre", "required"),
+        Rule("annee_academique", "required"),
     ],
     "enrolment": [  # V4
-        Rule("etudiant_id", "int", message="ID de l'étudiant invalide"),
+        Rule("etudiant_id", "int"),
     ],
     "grade": [  # V5
-        Rule("etudiant_id", "int", message="ID de l'étudiant invalide"),
-        Rule("cours_id", "int", message="ID du cours invalide"),
-        Rule("type_evaluation", "required", message="Le type d'évaluation est requis"),
-        Rule("note", "float", lo=0, hi=20, message="La note doit être entre 0 et 20"),
-        Rule("coefficient", "float", lo=0.1, message="Le coefficient doit être positif"),
-        Rule("date_evaluation", "date", message="Date d'évaluation invalide"),
+        Rule("etudiant_id", "int"),
+        Rule("cours_id", "int"),
+        Rule("type_evaluation", "required"),
+        Rule("note", "float", lo=0, hi=20),
+        Rule("coefficient", "float", lo=0.1),
+        Rule("date_evaluation", "date"),
     ],
     "timetable": [  # V6
-        Rule("cours_id", "int", message="ID du cours invalide"),
-        Rule("jour", "enum", values=tuple(WEEKDAYS), message="Jour invalide"),
-        Rule("heure_debut", "pattern", values=(TIME_PATTERN,),
-             message="Format d'heure invalide (HH:MM)"),
-        Rule("heure_fin", "pattern", values=(TIME_PATTERN,),
-             message="Format d'heure invalide (HH:MM)"),
-        Rule("salle", "required", message="La salle est requise"),
-        Rule("type_seance", "enum", values=tuple(SESSION_TYPES),
-             message="Type de séance invalide"),
+        Rule("cours_id", "int"),
+        Rule("jour", "enum", values=tuple(WEEKDAYS)),
+        Rule("heure_debut", "pattern", values=(TIME_PATTERN,)),
+        Rule("heure_fin", "pattern", values=(TIME_PATTERN,)),
+        Rule("salle", "required"),
+        Rule("type_seance", "enum", values=tuple(SESSION_TYPES)),
     ],
     "absence": [  # V7
-        Rule("etudiant_id", "int", message="ID de l'étudiant invalide"),
-        Rule("cours_id", "int", message="ID du cours invalide"),
-        Rule("date_absence", "date", message="Date d'absence invalide"),
-        Rule("motif", "string", optional=True,
-             message="Le motif doit être une chaîne de caractères"),
-        Rule("justifiee", "bool",
-             message="Le statut de justification doit être un booléen"),
+        Rule("etudiant_id", "int"),
+        Rule("cours_id", "int"),
+        Rule("date_absence", "date"),
+        Rule("motif", "string", optional=True),
+        Rule("justifiee", "bool"),
     ],
     "justification": [  # V8
-        Rule("justifiee", "bool",
-             message="Le statut de justification doit être un booléen"),
-        Rule("motif", "string", optional=True,
-             message="Le motif doit être une chaîne de caractères"),
+        Rule("justifiee", "bool"),
+        Rule("motif", "string", optional=True),
     ],
     "department": [  # V9
-        Rule("nom", "required", message="Le nom du département est requis"),
-        Rule("description", "string", optional=True,
-             message="La description doit être une chaîne de caractères"),
+        Rule("nom", "required"),
+        Rule("description", "string", optional=True),
     ],
     "scholarship": [  # V10
         Rule("nom", "truthy"), Rule("prenoms", "truthy"), Rule("telephone", "truthy"),
         Rule("email", "truthy"), Rule("serieBac", "truthy"), Rule("moyenneBac", "present"),
     ],
     "scholarship_status": [  # V11
-        Rule("statut", "truthy", message="Statut requis"),
+        Rule("statut", "truthy"),
     ],
 }
 
@@ -227,29 +217,7 @@ class ParentCheck:
     parent: DataFrame
     batch_cols: tuple[str, ...]
     parent_cols: tuple[str, ...]
-    unique: bool = True  # the parent's columns are a primary or UNIQUE key
-
-
-def key_verdict(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
-                flag: str) -> DataFrame:
-    """One row per distinct key of ``out`` with its row count ``_n`` and
-    ``flag`` (TRUE when ``other`` holds the key): partial + final
-    aggregation, then a key-level join - one row per key on each side."""
-    notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    need = out.filter(notnull).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    keys = (other.select(*[F.col(o).alias(c) for o, c in zip(other_cols, cols)])
-            .distinct().withColumn(flag, F.lit(True)))
-    return need.join(keys, cols, "left")
-
-
-def key_flag(out: DataFrame, other: DataFrame, cols: list[str], other_cols: list[str],
-             flag: str, spread: Column, skew_safe: bool = True,
-             checkpoint: bool = True) -> DataFrame:
-    """Add ``flag`` (TRUE or NULL): whether the row's key ``cols`` occurs in
-    ``other`` (as ``other_cols``), decided per key (:func:`key_verdict`) and
-    joined back with hot keys salted."""
-    return annotate(out, key_verdict(out, other, cols, other_cols, flag), cols, "_n", spread,
-                    skew_safe, checkpoint=checkpoint)
+    unique: bool = False  # the parent's columns are a primary or UNIQUE key: no distinct is needed
 
 
 def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str = "reason",
@@ -259,8 +227,9 @@ def check_parents(batch: DataFrame, checks: list[ParentCheck], reason_col: str =
 
     Each check is one left join with the parent's key columns, read once and
     without a pass over the batch before: a plain shuffle on both sides, so
-    AQE splits the partition of a hot key or of NULL keys.  Only a parent
-    whose columns are no key (``unique=False``) is made distinct first.
+    AQE splits the partition of a hot key or of NULL keys.  A parent is made
+    distinct first unless its columns are said to be a key (``unique=True``),
+    so repeated parent keys never multiply batch rows.
     Integer keys coming as text are ``try_cast``."""
     out = batch
     reason = prior if prior is not None else F.lit(None).cast("string")
@@ -344,21 +313,19 @@ def _take_firsts(work: DataFrame, keys: list[list[str]], seq: str) -> DataFrame:
     """One round over undecided rows: ``_state`` 1 (accepted) for a row that
     is the first at each of its keys, 2 (refused) for one that shares a key
     with such a row, else 0."""
-    step = work
-    for i, k in enumerate(keys):
-        first = (work.filter(_notnull(k)).groupBy(*k)
-                 .agg(F.min(seq).alias(f"_m{i}"), F.count(F.lit(1)).alias(f"_n{i}")))
-        step = annotate(step, first.withColumn("_n", F.col(f"_n{i}")), k, "_n", F.col(seq), checkpoint=False)
+    firsts = [(work.filter(_notnull(k)).groupBy(*k).agg(F.min(seq).alias(f"_m{i}"), F.count(F.lit(1)).alias("_n")), k)
+              for i, k in enumerate(keys)]
+    step = annotate_many(work, firsts, "_n", F.col(seq), checkpoint=False)
     own = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_m{i}") == F.col(seq), F.lit(True)) for i in range(len(keys))])
-    step = materialize(step.withColumn("_own", own), "unique-rounds")
+    step = materialize(step.select(*work.columns, own.alias("_own")), "unique-rounds")
     out = step
-    for i, k in enumerate(keys):  # a key has one accepted row at most
-        taken = (step.filter(F.col("_own") & _notnull(k)).select(*k, F.col(f"_n{i}").alias("_n"))
-                 .withColumn(f"_t{i}", F.lit(True)))
-        out = annotate(out, taken, k, "_n", F.col(seq), checkpoint=False)
+    for i, k in enumerate(keys):
+        # A key has one accepted row at most; both sides are plain shuffles, so AQE splits a hot key.
+        taken = step.filter(F.col("_own") & _notnull(k)).select(*k).withColumn(f"_t{i}", F.lit(True))
+        out = out.join(taken, k, "left")
     hit = reduce(lambda a, b: a | b, [F.col(f"_t{i}").isNotNull() for i in range(len(keys))])
-    out = out.withColumn("_state", F.when(F.col("_own"), 1).when(hit, 2).otherwise(0))
-    return materialize(out.drop("_own", *[f"_{x}{i}" for i in range(len(keys)) for x in "mnt"]), "unique-rounds")
+    state = F.when(F.col("_own"), 1).when(hit, 2).otherwise(0)
+    return materialize(out.select(*work.columns, state.alias("_state")), "unique-rounds")
 
 
 def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame | None = None,
@@ -381,22 +348,21 @@ def check_unique_multi(batch: DataFrame, keys: list[list[str]], base: DataFrame
     keys; components are dealt over the tasks.  ``seq`` is unique."""
     if reason_col not in batch.columns:
         batch = batch.withColumn(reason_col, F.lit(None).cast("string"))
-    cur = batch
+    # per key: whether the table holds it, and whether several rows ask for it
+    eligible, frames = F.col(reason_col).isNull(), []
     for i, k in enumerate(keys):
+        per = batch.filter(_notnull(k)).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"), (F.count_if(eligible) > 1).alias(f"_s{i}"))
         if base is not None:
-            cur = key_flag(cur, base, k, k, f"_b{i}", F.col(seq))
-            cur = cur.withColumn(reason_col, F.coalesce(
-                F.col(reason_col), F.when(_notnull(k) & F.col(f"_b{i}").isNotNull(),
-                                          F.lit(base_reason)))).drop(f"_b{i}")
-    # rows with a key shared by another eligible row take part in the rounds
-    eligible = cur.filter(F.col(reason_col).isNull())
-    for i, k in enumerate(keys):
-        n = (eligible.filter(_notnull(k)).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > 1).withColumn(f"_n{i}", F.lit(True)))
-        cur = annotate(cur, n, k, "_n", F.col(seq))
-    shared = reduce(lambda a, b: a | b, [F.col(f"_n{i}").isNotNull() for i in range(len(keys))])
-    cur = materialize(cur.withColumn("_collides", F.col(reason_col).isNull() & shared).drop(
-        *[f"_n{i}" for i in range(len(keys))]), "unique-batch")
+            per = per.join(base.select(*k).distinct().withColumn(f"_b{i}", F.lit(True)), k, "left")
+        frames.append((per, k))
+    cur = annotate_many(batch, frames, "_n", F.col(seq))
+    if base is not None:
+        held = reduce(lambda a, b: a | b, [F.col(f"_b{i}").isNotNull() for i in range(len(keys))])
+        cur = cur.withColumn(reason_col, F.coalesce(F.col(reason_col), F.when(held, F.lit(base_reason))))
+    # Rows with a key that others ask for, too, take part in the rounds; one
+    # whose others are refused already is taken in the first.
+    shared = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_s{i}"), F.lit(False)) for i in range(len(keys))])
+    cur = materialize(cur.select(*batch.columns, (F.col(reason_col).isNull() & shared).alias("_collides")), "unique-batch")
     settled = [cur.filter(~F.col("_collides")).drop("_collides")]
     work = cur.filter(F.col("_collides")).drop("_collides")
     for _ in range(FIRST_ROUNDS):

@@ -238,7 +238,7 @@ def book_sessions(sessions: DataFrame, batch: DataFrame, courses: DataFrame,
     from .quality import RULES, ParentCheck, check_parents, validate
 
     v = validate(batch, RULES["timetable"])
-    v = check_parents(v, [ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",))],
+    v = check_parents(v, [ParentCheck("cours_introuvable", courses, ("cours_id",), ("id",), unique=True)],
                       reason_col="_course_reason")
     v = v.withColumn("_course_ok", F.col("_course_reason").isNull()).drop("_course_reason")
     ok = v.filter((F.size("errors") == 0) & F.col("_course_ok"))

@@ -106,3 +106,15 @@ def annotate(big: DataFrame, per_key: DataFrame, on: list[str], count_col: str,
         per_key = materialize(per_key, "per-key")
     hot = heavy_hitters(per_key, on, count_col, max_keys, min_rows)
     return salted_left_join(big, per_key.drop(count_col), on, hot, spread)
+
+
+def annotate_many(big: DataFrame, frames: list[tuple[DataFrame, list[str]]], count_col: str, spread: Column,
+                  checkpoint: bool = True) -> DataFrame:
+    """:func:`annotate` by several keys, with the totals and largest counts of
+    all of them found in one job."""
+    if checkpoint:
+        frames = [(materialize(per_key, "per-key"), on) for per_key, on in frames]
+    hots = heavy_hitters_many([(per_key, on, count_col) for per_key, on in frames])
+    for (per_key, on), hot in zip(frames, hots):
+        big = salted_left_join(big, per_key.drop(count_col), on, hot, spread)
+    return big
