@@ -26,6 +26,7 @@ one word: an extension by several has a count at most that of one by one.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -45,8 +46,9 @@ FILTER_BITS = 1 << 27
 BLOCK_BITS = 19
 #: Phrase hashes after which a task combines and sends them.
 POSITIONS = 4_000_000
-#: Distinct phrases, and bytes in them, after which a task sends their counts.
-PHRASES, PHRASE_BYTES = 400_000, 64 << 20
+#: Distinct phrases, and bytes in them, after which a task sends their counts,
+#: in a row for each of so many groups of phrases.
+PHRASES, PHRASE_BYTES, GROUPS = 400_000, 64 << 20, 4096
 #: Rows looked at to find the ends of the ranges.
 SAMPLE = 20_000
 
@@ -208,12 +210,13 @@ def _counts(sent: list, longest: int) -> callable:
         filters = [np.frombuffer(s.value, np.uint8) for s in sent]
         counts, size = {}, 0
 
-        def send() -> Iterator[pa.RecordBatch]:
-            keys = list(counts)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i:i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.binary()).cast(pa.string()),
-                                                  pa.array([counts[k] for k in part], pa.int64())], names=["lang", "phrase", "f"])
+        def send() -> pa.RecordBatch:
+            groups = {}
+            for (lang, phrase), f in counts.items():
+                groups.setdefault((zlib.crc32(phrase) ^ zlib.crc32(lang.encode())) % GROUPS, []).append((lang, phrase.decode(), f))
+            cols = [list(map(list, zip(*rows))) for rows in groups.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int32()), *[pa.array([c[i] for c in cols], pa.list_(t)) for i, t in
+                                                                                   enumerate((pa.string(), pa.string(), pa.int64()))]], names=["group", "lang", "phrase", "f"])
 
         for b in slices(batches, "text", 1 << 20):
             langs = b.column("lang").to_pylist()
@@ -238,9 +241,31 @@ def _counts(sent: list, longest: int) -> callable:
                         counts[key] = f
                         size += z - a
             if len(counts) >= PHRASES or size >= PHRASE_BYTES:
-                yield from send()
+                yield send()
                 counts, size = {}, 0
-        yield from send()
+        if counts:
+            yield send()
+    return run
+
+
+def _added_up(least: int) -> callable:
+    """Counts of the phrases of each group over all tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, counts = None, {}
+
+        def done() -> pa.RecordBatch:
+            kept = [(lang, phrase, f) for (lang, phrase), f in counts.items() if f >= least or not phrase]
+            cols = list(zip(*kept)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+
+        for b in batches:
+            for here, *cols in zip(*(b.column(n).to_pylist() for n in ("group", "lang", "phrase", "f"))):
+                if here != group:
+                    yield done()
+                    group, counts = here, {}
+                for lang, phrase, f in zip(*cols):
+                    counts[lang, phrase] = counts.get((lang, phrase), 0) + f
+        yield done()
     return run
 
 
@@ -253,8 +278,8 @@ def count_stream(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     sent = []
     for n in range(1, longest):
         sent.append(spark.sparkContext.broadcast(_filter(rows, n, sent, least, filter_bits)))
-    return materialize(rows.mapInArrow(_counts(sent, longest), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-                       .filter((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    groups = rows.mapInArrow(_counts(sent, longest), "group int, lang array<string>, phrase array<string>, f array<long>")
+    return materialize(groups.repartition("group").sortWithinPartitions("group").mapInArrow(_added_up(least), "lang string, phrase string, f long"), "phrases")
 
 
 # -- streams in lockstep --------------------------------------------------------
