@@ -53,7 +53,9 @@ def encode_ids(ids: np.ndarray) -> bytes:
         more = (rest >> np.uint32(CHUNK_BITS)) > 0
         bits = np.packbits(more, bitorder="little")
         blocks = -(-len(rest) // RANK_BLOCK)
-        ones = np.bincount(np.flatnonzero(more) // RANK_BLOCK, minlength=blocks)
+        whole = np.zeros(blocks * RANK_BLOCK // 8, np.uint8)
+        whole[:len(bits)] = bits
+        ones = np.bitwise_count(whole).reshape(blocks, RANK_BLOCK // 8).sum(axis=1, dtype=np.int64)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
         out += [struct.pack("<Q", len(rest)), _padded((rest & np.uint32((1 << CHUNK_BITS) - 1)).astype(np.uint8).tobytes()),
                 _padded(bits.tobytes()), ranks.tobytes()]
@@ -112,10 +114,14 @@ class Segment:
 
 #: Unicode White_Space, which the vocabulary's splitting pattern calls \s.
 _SPACE = "\t-\r \x85\xa0  -     　"
+#: Latin letters, all of which the vocabulary's splitting pattern calls \\p{L}.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: The splitting pattern always cuts at these places, so each unit's ids stand
-#: by themselves: a run of other characters with one space before it, or a run
-#: of white space less the space that the next unit takes.
-_UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: by themselves: a run of Latin letters with one space before it, where white
+#: space, the end or one of these signs comes next; else a run of characters
+#: other than white space with one space before it, or a run of white space
+#: less the space that the next unit takes.
+_UNIT = re.compile(f" ?[{_LATIN}]++(?![^{_SPACE}.,;:!?])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 _WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
@@ -123,11 +129,14 @@ _WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
 
 class Encoder:
     """Ids of texts by the ``tokenizers`` library, which sees each distinct
-    unit once as long as the memory of units, bounded by ``most`` entries in
-    each of two generations, holds it.  Texts with a special string in them
-    go to the library whole."""
+    unit once as long as the memory of units holds it: two generations of
+    about ``most_bytes`` each, whatever the texts are.  Texts with a special
+    string in them go to the library whole."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    #: What an entry takes besides its characters and ids: two objects and its place.
+    ENTRY = 220
+
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -135,40 +144,51 @@ class Encoder:
         #: Ids whose bytes begin with a space (the byte-level alphabet's sign for it).
         self.spaced = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.spaced[[i for t, i in self.library.get_vocab().items() if t[0] == "Ġ"]] = True
-        self.most, self.known, self.older = most, {}, {}
+        self.most_bytes, self.size, self.known, self.older = most_bytes, 0, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(s in t for s in self.special) else _UNIT.findall(t) for t in texts]
-        new, known, older = {}, self.known, self.older
-        for units in split:
-            for u in set(units or ()):
-                if u not in known:
-                    if (got := older.get(u)) is not None:
-                        known[u] = got
-                    else:
-                        new[u] = None
-        known.update(self._library_ids(list(new)))
+        new = set().union(*(u for u in split if u is not None)).difference(self.known)
+        back = new.intersection(self.older)
+        got = {u: self.older[u] for u in back} | self._library_ids(list(new - back))
+        known = self.known
+        known.update(got)
         out = [np.asarray(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if units is None
                else np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4") for t, units in zip(texts, split)]
-        if len(known) > self.most:
-            self.known, self.older = {}, known
+        self.size += len(got) * self.ENTRY + 2 * sum(map(len, got)) + sum(map(len, got.values()))
+        if self.size > self.most_bytes:
+            # One batch alone may be beyond the bound; then nothing is kept of it.
+            self.older = known if self.size <= 2 * self.most_bytes else {}
+            self.known, self.size = {}, 0
         return out
 
-
     def _library_ids(self, units: list[str], step: int = 4096) -> dict[str, bytes]:
         """Ids of each unit.  Units with their space go to the library strung
         together - it cuts before each space - and each begins with the one id
         in it that has a space; the others go one by one."""
         out = {}
         strung = [u for u in units if u[0] == " " and len(u) > 1 and u[1] not in _WHITE]
-        for i in range(0, len(strung), step):
-            part = strung[i:i + step]
-            ids = np.asarray(self.library.encode("".join(part), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(part):
-                raise AssertionError("a unit has more than one space")
-            data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-            out.update((u, data[a:b]) for u, a, b in zip(part, (starts * 4).tolist(), ends))
+        parts = [strung[i:i + step] for i in range(0, len(strung), step)]
+        for i in range(0, len(parts), 8):
+            some = parts[i:i + 8]
+            for part, e in zip(some, self.library.encode_batch_fast(["".join(p) for p in some], add_special_tokens=False)):
+                ids = np.asarray(e.ids, "<u4")
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) != len(part):
+                    raise AssertionError("a unit has more than one space")
+                data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
+                out.update((u, data[a:b]) for u, a, b in zip(part, (starts * 4).tolist(), ends))
+        # Those without white space, strung together by line ends.
+        line_end = np.asarray(self.library.encode("\n", add_special_tokens=False).ids, "<u4")
+        plain = [u for u in units if u not in out and _WHITE.isdisjoint(u)] if len(line_end) == 1 else []
+        for i in range(0, len(plain), step):
+            part = plain[i:i + step]
+            ids = np.asarray(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == line_end[0])
+            if len(ends) != len(part) - 1:
+                raise AssertionError("a unit has a line end")
+            data, starts = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
+            out.update((u, data[a:b]) for u, a, b in zip(part, starts, [*(ends * 4).tolist(), len(data)]))
         single = [u for u in units if u not in out]
         for i in range(0, len(single), step):
             part = single[i:i + step]
@@ -239,9 +259,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         rows = pick(docs, doc_id="long", text="string").fillna({"text": ""})
         order = [F.col("doc_id"), F.xxhash64("text")]
     else:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                           *[c.alias(f"_order{i}") for i, c in enumerate(order_by)])
-        order = [F.col(f"_order{i}") for i in range(len(order_by))]
+        names = [f"_order{i}" for i in range(len(order_by))]
+        both = docs.select(*[c.alias(n) for c, n in zip(order_by, names)], "*")
+        rows = pick(both, doc_id="long", text="string", **{n: f.dataType.simpleString() for n, f in zip(names, both.schema)}).fillna({"text": ""})
+        order = [F.col(n) for n in names]
     (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(_segments(vocabulary, end_id), _SEGMENTS).write.parquet(path))
 

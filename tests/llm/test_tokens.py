@@ -13,7 +13,7 @@ public = pytest.importorskip("public_tokenizers")
 def strange_texts(n=300):
     r = random.Random(5)
     parts = ["the", " ", "  ", "\n", "\t", "▁", "▁▁", "é", "é", "don't", "123", "...", " ", " ", "\x1c", "\x85", "😀", "ﬁ", "<s>", "</s>", "<unk>", "<|endoftext|>", "ß", "中文", "a" * 40,
-             "\x00", "'ll", "_", "x_y", "--", "​", "ver"]
+             "\x00", "'ll", "_", "x_y", "--", "word.", "été, ", "A:b", "é!", "it's.", "a;", "?z", "\u0142.", "\u00d7", "n\u0303.", "​", "ver"]
     return ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(n)]
 
 
@@ -25,7 +25,7 @@ def library():
 
 
 def test_units_give_the_library_ids(library):
-    enc = O.Encoder(public.path("byte_bpe_50k.json"), most=50)  # a small memory, so generations change
+    enc = O.Encoder(public.path("byte_bpe_50k.json"), most_bytes=12_000)  # a small memory, so generations change
     texts = strange_texts()
     for i in range(0, len(texts), 20):
         for t, ids in zip(texts[i:i + 20], enc.encode(texts[i:i + 20])):
