@@ -190,3 +190,24 @@ def test_conflict_counts_and_classes_match_the_listing(spark, seed, numeric):
     # with the candidates' own rows, the classes hold as many pairs as the listing
     free = schedule.conflicts(cand.drop("emploi_id"), s, courses, numeric).count()
     assert schedule.conflict_classes(cand, s, courses, numeric).selectExpr("sum(nb_candidats * nb_seances)").first()[0] == free
+
+
+def test_conflict_pairs_are_made_in_blocks_behind_the_last_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "BLOCK_ROWS", 3)
+    rows = [(i, i % 3, "S1", "Lundi", f"1{i % 2}:00", f"1{i % 2 + 1}:30") for i in range(40)]
+    rows += [(i, i % 4, "S2", "Mardi", "10:00", "11:00") for i in range(40, 47)] + [(47, 1, None, "Lundi", "10:00", "11:00")]
+    rows += rows[:2]  # rows that come twice, courses too
+    s = spark.createDataFrame(rows, "id long, cours_id long, salle string, jour string, heure_debut string, heure_fin string")
+    courses = spark.createDataFrame([(i % 3, f"n{i % 3}", f"c{i % 3}") for i in range(4)], "id long, nom string, code string")
+    cand = s.filter("id % 2 = 0 OR id = 47").select(F.col("id").alias("cand_id"), F.col("id").alias("emploi_id"), *schedule.CLASS)
+    got = schedule.conflicts(cand, s, courses)
+    held = [0, 1, 2, 0]
+    test = lambda x, c: (x[4] <= c[4] < x[5]) or (x[4] < c[5] <= x[5]) or (x[4] >= c[4] and x[5] <= c[5])
+    want = sorted((c[0], x[0], f"c{x[1]}") for c in rows if c[0] % 2 == 0 or c[0] == 47 for x in rows for h in held
+                  if h == x[1] and x[2:4] == c[2:4] and c[2] and x[0] != c[0] and test(x, c))
+    assert sorted((r.cand_id, r.id, r.cours_code) for r in got.collect()) == want
+    # courses are joined to the sessions, not to the pairs: both sides of the
+    # last join are dealt out by number, and nothing is shuffled after it
+    plan = schedule.conflicts(cand, s, courses)._jdf.queryExecution().executedPlan().toString()
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert "Exchange" not in plan[:plan.index("Join")] and plan.count(f", {n}), REPARTITION_BY_NUM") == 2
