@@ -6,7 +6,9 @@ prunes columns and pushes the fixture filters into the scans.  Nothing is
 cached or collected; the two fact tables that need ``orders`` (grades,
 absences, payments, enrolments) join ``lineitem`` to ``orders`` on
 ``orderkey`` - a shuffle (sort-merge) join at scale, a broadcast only when
-AQE measures the ``orders`` side as small at run time.
+AQE measures the ``orders`` side as small at run time.  The number of its
+tasks goes by the lines, so that what a task sorts and groups is bounded
+however large the tables are.
 """
 
 from __future__ import annotations
@@ -25,6 +27,17 @@ SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 WEEKDAYS = ["Lundi", "Mardi", "Mercredi", "Jeudi", "Vendredi", "Samedi", "Dimanche"]
 SESSION_TYPES = ["cours", "tp", "td", "examen"]
 
+#: Lines that a task of the join with ``orders`` gets.  AQE goes by the bytes
+#: of compressed shuffle files, of which 64 MB may hold millions of lines.
+LINES_PER_TASK = 300_000
+#: Fewer tasks than these are left to AQE.
+LEAST_TASKS = 8
+#: Up to this number Spark writes a shuffle without holding its rows
+#: (``spark.shuffle.sort.bypassMergeThreshold``); beyond it tasks first get more
+#: lines each.
+UNBUFFERED_TASKS = 200
+MOST_LINES_PER_TASK = 1_200_000
+
 
 def _s(c: Column) -> Column:
     return c.cast("string")
@@ -121,13 +134,22 @@ class Campus:
         return conform(df, "cours")
 
     # -- facts over lineitem x orders ------------------------------------------
+    @cached_property
+    def _line_tasks(self) -> int:
+        """Tasks for all lines; their number stands in the files' footers."""
+        lines = self.src("lineitem").count()
+        return max(min(-(-lines // LINES_PER_TASK), UNBUFFERED_TASKS), -(-lines // MOST_LINES_PER_TASK))
+
     def _lines(self, line_filter: Column | None = None, line_cols=(), order_cols=()) -> DataFrame:
         li = self.src("lineitem")
         if line_filter is not None:
             li = li.filter(line_filter)
+        li = li.select("l_orderkey", *line_cols)
         o = self.src("orders").select("o_orderkey", *order_cols)
-        return li.select("l_orderkey", *line_cols).join(
-            o, F.col("l_orderkey") == F.col("o_orderkey"))
+        if self._line_tasks > LEAST_TASKS:
+            li = li.repartition(self._line_tasks, "l_orderkey")
+            o = o.repartition(self._line_tasks, "o_orderkey")
+        return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
 
     _ID_COLS = ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_returnflag")
 

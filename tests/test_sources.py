@@ -1,12 +1,16 @@
 """Stored tables round-trip; queries over stored tables equal the
 fixture-derived ones."""
 
+import re
 import tempfile
 
 from quadrangle.operators import grades, reports
+from quadrangle.sources import fixtures
 from quadrangle.sources.schemas import SCHEMAS
 from quadrangle.sources.tables import CampusTables, materialize
 
+from .conftest import SF_SMALL
+
 
 def test_materialize_and_read_back(spark, campus):
     root = tempfile.mkdtemp(prefix="quad-tables-") + "/campus"
@@ -80,3 +84,23 @@ def test_partitioned_table_prunes_partitions(spark, campus):
     plan = base._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(justifiee" in plan
     assert base.count() == campus.absences.filter("justifiee").count()
+
+
+def _exchanges(df) -> set[str]:
+    return set(re.findall(r"hashpartitioning\([lo]_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_tasks_of_the_line_join_go_by_the_lines(spark, monkeypatch):
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    plain = fixtures.Campus(spark, SF_SMALL)
+    assert not _exchanges(plain.notes)  # few lines: AQE's choice
+    monkeypatch.setattr(fixtures, "LINES_PER_TASK", lines // 20)
+    spread = fixtures.Campus(spark, SF_SMALL)
+    n = str(-(-lines // (lines // 20)))
+    for name in ("notes", "inscriptions", "absences", "payments"):
+        assert _exchanges(spread.table(name)) == {n}, name
+        rows = lambda c: sorted(map(str, c.table(name).collect()))  # noqa: B023, E731
+        assert rows(plain) == rows(spread), name
+    monkeypatch.setattr(fixtures, "UNBUFFERED_TASKS", 10)
+    monkeypatch.setattr(fixtures, "MOST_LINES_PER_TASK", lines)
+    assert _exchanges(fixtures.Campus(spark, SF_SMALL).notes) == {"10"}
