@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
@@ -116,20 +117,102 @@ class Segment:
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Latin letters, all of which the vocabulary's splitting pattern calls \\p{L}.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: The splitting pattern always cuts at these places, so each unit's ids stand
-#: by themselves: a run of Latin letters with one space before it, where white
-#: space, the end or one of these signs comes next; else a run of characters
-#: other than white space with one space before it, or a run of white space
-#: less the space that the next unit takes.
-_UNIT = re.compile(f" ?[{_LATIN}]++(?![^{_SPACE}.,;:!?])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-
-
 _WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
+#: Kinds of characters; those from _SPACE_SIGN on end a run.  _END stands for
+#: the byte between texts, _LEAD and _INNER for bytes of longer characters.
+_OTHER, _LETTER, _SIGN, _SPACE_SIGN, _BLANK, _END, _LEAD, _INNER = range(8)
+
+
+def _kinds() -> tuple[np.ndarray, bytes]:
+    """Kinds of the code points below 0x4000 (the others are _OTHER), and of
+    bytes; a byte is _LEAD if the kind depends on those after it."""
+    points, of_bytes = np.zeros(0x4000, np.uint8), bytearray(256)
+    for kind, pattern in ((_LETTER, _LATIN), (_SIGN, ".,;:!?"), (_BLANK, _SPACE), (_SPACE_SIGN, " ")):
+        points[[m.start() for m in re.finditer(f"[{pattern}]", "".join(map(chr, range(0x4000))))]] = kind
+    for point in np.flatnonzero(points).tolist():
+        of_bytes[chr(point).encode()[0]] = _LEAD if point > 127 else points[point]
+    of_bytes[0x80:0xC0], of_bytes[0xFF] = bytes([_INNER]) * 64, _END
+    return points, bytes(of_bytes)
+
+
+_POINT_KINDS, _BYTE_KINDS = _kinds()
+
+
+def _units(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and size of each unit of the texts in ``data`` (UTF-8, the
+    byte 0xFF before the first and after each), and the units in each text.
+
+    The splitting pattern always cuts at these places, so each unit's ids stand
+    by themselves: a run of Latin letters with one space before it, where white
+    space, the end or one of the signs .,;:!? comes next; else a run of
+    characters other than white space with one space before it; or, of a run of
+    white space with characters after it, all but the last and, unless it is
+    the space of the next unit, the last; or such a run at the end."""
+    kind = np.frombuffer(data.translate(_BYTE_KINDS), np.uint8)
+    at = np.flatnonzero(kind != _INNER)
+    kind = kind[at]
+    long = np.flatnonzero(kind == _LEAD)
+    if len(long):
+        raw = np.frombuffer(data, np.uint8)
+        a, b, c = (raw[np.minimum(at[long] + i, len(raw) - 1)].astype(np.intp) & 0x3F for i in range(3))
+        kind[long] = _POINT_KINDS[np.where(raw[at[long]] < 0xE0, (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c)]
+    gap, end = kind >= _SPACE_SIGN, kind == _END
+    first = np.ones(len(kind), bool)
+    first[1:] = np.where(gap[1:], ~gap[:-1] | end[:-1] | end[1:], gap[:-1] & (kind[:-1] != _SPACE_SIGN))
+    first[:-1] |= gap[:-1] & ~gap[1:]
+    # Signs right after the letters that a run begins with.
+    stops = np.flatnonzero(kind != _LETTER)
+    first[stops[1:][(kind[stops[1:]] == _SIGN) & gap[stops[:-1]] & (np.diff(stops) > 1)]] = True
+    first = np.flatnonzero(first)
+    ends = np.flatnonzero(end[first])
+    starts, real = at[first], ~end[first][:-1]
+    return starts[:-1][real], np.diff(starts)[real], np.diff(ends) - 1
+
+
+#: Units of more bytes aren't compared by ``_numbered``.
+_LONGEST = 63
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], "<u8")
+
+
+def _numbered(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 on for each unit, the same for equal ones (those beyond
+    ``_LONGEST`` bytes have one each), and a unit of each number.  Seven bytes
+    with the size are numbered first, then eight at a time with the number of
+    what stands before them."""
+    words = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    number, found = pd.factorize(words[starts] & _MASKS[np.minimum(sizes, 7)] | np.minimum(sizes, _LONGEST + 1).astype(np.uint64) << np.uint64(56))
+    count, done, rest = len(found), 7, np.flatnonzero(sizes > 7)
+    while done < _LONGEST and len(rest):
+        word, _ = pd.factorize(words[starts[rest] + done] & _MASKS[np.minimum(sizes[rest] - done, 8)])
+        of_both, found = pd.factorize(number[rest] << 32 | word)
+        number[rest] = of_both + count
+        count, done = count + len(found), done + 8
+        rest = rest[sizes[rest] > done]
+    number[rest] = count + np.arange(len(rest))
+    some = np.full(count + len(rest), -1)
+    some[number] = np.arange(len(number))
+    used = some >= 0
+    return (np.cumsum(used) - 1)[number], some[used]
+
+
+#: Longer texts are cut before white space, where a unit always begins.
+_LONG_TEXT = 1 << 21
+_CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
+
+
+def _parts(text: str, most: int) -> Iterator[str]:
+    at = 0
+    while len(text) - at > most and (cut := _CUT.search(text, at + most)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
+
 
 class Encoder:
     """Ids of texts by the ``tokenizers`` library, which sees each distinct
-    unit once as long as the memory of units holds it: two generations of
+    unit once as long as the memory of units holds it (looked up once for all
+    its places in a batch): two generations of
     about ``most_bytes`` each, whatever the texts are.  Texts with a special
     string in them go to the library whole."""
 
@@ -147,26 +230,45 @@ class Encoder:
         self.most_bytes, self.size, self.known, self.older = most_bytes, 0, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(s in t for s in self.special) else _UNIT.findall(t) for t in texts]
-        new = set().union(*(u for u in split if u is not None)).difference(self.known)
-        back = new.intersection(self.older)
-        got = {u: self.older[u] for u in back} | self._library_ids(list(new - back))
+        out = [np.asarray(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if any(s in t for s in self.special)
+               else np.concatenate([self._encode([p])[0] for p in _parts(t, _LONG_TEXT)]) if len(t) > _LONG_TEXT else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        data = b"\xff" + b"".join(t.encode() + b"\xff" for t in texts)
+        starts, sizes, in_text = _units(data)
+        number, some = _numbered(data, starts, sizes)
+        got = self._unit_ids([data[a:b] for a, b in zip(starts[some].tolist(), (starts + sizes)[some].tolist())])
+        counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        # The ids of each unit in its place: from where its number's ids begin, one after the other.
+        begin, n = (np.cumsum(counts) - counts)[number], counts[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(got), "<u4")[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(in_text)])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _unit_ids(self, units: list[bytes]) -> list[bytes]:
         known = self.known
+        new = [u for u in units if u not in known]
+        got = {u: self.older[u] for u in new if u in self.older}
+        got |= self._library_ids([u for u in new if u not in got])
         known.update(got)
-        out = [np.asarray(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if units is None
-               else np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4") for t, units in zip(texts, split)]
-        self.size += len(got) * self.ENTRY + 2 * sum(map(len, got)) + sum(map(len, got.values()))
+        out = list(map(known.__getitem__, units))
+        self.size += len(got) * self.ENTRY + sum(map(len, got)) + sum(map(len, got.values()))
         if self.size > self.most_bytes:
             # One batch alone may be beyond the bound; then nothing is kept of it.
             self.older = known if self.size <= 2 * self.most_bytes else {}
             self.known, self.size = {}, 0
         return out
 
-    def _library_ids(self, units: list[str], step: int = 4096) -> dict[str, bytes]:
+    def _library_ids(self, new: list[bytes], step: int = 256) -> dict[bytes, bytes]:
         """Ids of each unit.  Units with their space go to the library strung
         together - it cuts before each space - and each begins with the one id
         in it that has a space; the others go one by one."""
-        out = {}
+        out, units = {}, [u.decode() for u in new]
         strung = [u for u in units if u[0] == " " and len(u) > 1 and u[1] not in _WHITE]
         parts = [strung[i:i + step] for i in range(0, len(strung), step)]
         for i in range(0, len(parts), 8):
@@ -193,7 +295,7 @@ class Encoder:
         for i in range(0, len(single), step):
             part = single[i:i + step]
             out.update((u, np.asarray(e.ids, "<u4").tobytes()) for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        return out
+        return {b: out[u] for b, u in zip(new, units)}
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -32,6 +32,38 @@ def test_units_give_the_library_ids(library):
             assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_repeated_units_are_looked_up_once_a_batch(library):
+    class Counted(dict):
+        got = 0
+
+        def __getitem__(self, unit):
+            self.got += 1
+            return super().__getitem__(unit)
+
+    enc = O.Encoder(public.path("byte_bpe_50k.json"))
+    enc.known = known = Counted()
+    text = "the cat, the cat. the cat\n"
+    assert [ids.tolist() for ids in enc.encode([text] * 200)] == [library.encode(text, add_special_tokens=False).ids] * 200
+    assert known.got == len(known) == 6
+
+
+def test_units_of_all_sizes(library):
+    """Units that differ in one byte, by a zero byte at the end, or beyond the bytes compared at once."""
+    words = ["é" * (n % 2) + "a" * n + end for n in (*range(18), *range(60, 68), 300) for end in ("", "b", "\x00", "\x00\x00", "中")]
+    texts = [" ".join(words), "\n".join(reversed(words)), "", " \u2003".join(words), "   "]
+    enc = O.Encoder(public.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert [ids.tolist() for ids in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_cut_where_units_begin(library, monkeypatch):
+    monkeypatch.setattr(O, "_LONG_TEXT", 40)
+    enc = O.Encoder(public.path("byte_bpe_50k.json"))
+    for t in [*strange_texts(200), "  \n  word" * 100, "x" * 500, " " * 500]:
+        assert "".join(O._parts(t, 40)) == t
+        assert enc.encode([t, "end"])[0].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256], [2] * 513, list(range(0, 70_000, 7)), [2 ** 32 - 1, 0, 65536, 1]])
 def test_code_round_trip_and_random_access(ids):
     seg = O.Segment(O.encode_ids(np.array(ids, np.uint32)))
