@@ -211,3 +211,29 @@ def test_conflict_pairs_are_made_in_blocks_behind_the_last_shuffle(spark, monkey
     plan = schedule.conflicts(cand, s, courses)._jdf.queryExecution().executedPlan().toString()
     n = spark.conf.get("spark.sql.shuffle.partitions")
     assert "Exchange" not in plan[:plan.index("Join")] and plan.count(f", {n}), REPARTITION_BY_NUM") == 2
+
+
+def test_conflict_pairs_come_from_lists_of_candidates(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(schedule, "BLOCK_CANDIDATES", 10)
+    s_rows = [(i if i % 9 else None, i % 3, "S1", "Lundi", f"1{i % 3}:00", f"1{i % 3 + 1}:30") for i in range(1, 31)]
+    s = spark.createDataFrame(s_rows, "id long, cours_id long, salle string, jour string, heure_debut string, heure_fin string")
+    courses = spark.createDataFrame([(i, f"n{i}", f"c{i}") for i in range(2)], "id long, nom string, code string")
+    # ids that come often or are null, exclusions that are null or another row's
+    c_rows = [(None if i % 4 == 0 else 7, i % 5 or None, "S1", "Lundi", f"1{i % 2}:00", f"1{i % 2 + 1}:00") for i in range(60)]
+    c_rows += [(8, 1, "S2", "Lundi", "10:00", "11:00"), (9, 1, None, "Lundi", "10:00", "11:00")]
+    cand = spark.createDataFrame(c_rows, "cand_id long, emploi_id long, salle string, jour string, heure_debut string, heure_fin string")
+    test = lambda x, c: (x[4] <= c[4] < x[5]) or (x[4] < c[5] <= x[5]) or (x[4] >= c[4] and x[5] <= c[5])
+    want = sorted((str(c[0]), str(x[0]), x[4], f"c{x[1]}") for c in c_rows for x in s_rows if x[1] < 2 and x[2:4] == c[2:4] and test(x, c)
+                  and (c[1] is None or (x[0] is not None and x[0] != c[1])))
+    got = schedule.conflicts(cand, s, courses)
+    assert sorted((str(r.cand_id), str(r.id), r.heure_debut, r.cours_code) for r in got.collect()) == want and len(want) > 500
+    sizes = [len(r._cands) for r in schedule._candidate_lists(cand, schedule.interval_classes(cand)).collect()]
+    assert sum(sizes) == len(c_rows) - 1 and max(sizes) == 4
+    # sessions are read row by row, lists are what waits for them; a pair is
+    # made behind the join, from one session and one entry of a list
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline(_cands") < plan.index("SortMergeJoin")
+    first = plan.index("REPARTITION_BY_NUM")
+    second = plan.index("REPARTITION_BY_NUM", first + 1)
+    assert "cours_nom" in plan[first:second] and "collect_list" in plan[second:] and "collect_list" not in plan[:second]
